@@ -109,13 +109,40 @@ def clean_feature_name(c: str | Column,
     return F.replace(out, F.lit("_"), F.lit(" "))
 
 
-def format_percent(c: str | Column, digits: int = 2) -> Column:
-    """Python ``format(x, '.2%')``."""
-    return F.format_string(f"%.{digits}f%%", col_of(c) * F.lit(100.0))
+def _two_product(a: Column, b: float) -> tuple[Column, Column]:
+    """Error-free product: ``a * b == p + err`` exactly (Dekker / Veltkamp)."""
+    def split(x):
+        c = F.lit(134217729.0) * x
+        hi = c - (c - x)
+        return hi, x - hi
+    p = a * F.lit(b)
+    ah, al = split(a)
+    bh, bl = split(F.lit(b))
+    err = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    return p, err
 
 
 def format_fixed(c: str | Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", col_of(c).cast("double"))
+    """Python ``format(x, '.2f')``: rounds the *exact* binary value half to
+    even (0.595 -> '0.59').  Java's ``%.2f`` rounds the shortest decimal text
+    half up ('0.60'), so the scaled value is split into an exact sum
+    ``p + err`` and ties of ``p`` are settled by the sign of ``err``."""
+    x = col_of(c).cast("double")
+    p, err = _two_product(x, float(10 ** digits))
+    fl = F.floor(p)
+    frac = p - fl
+    up = (F.when(frac > 0.5, True).when(frac < 0.5, False)
+           .when(err > 0, True).when(err < 0, False)
+           .otherwise(fl % 2 != 0))
+    n = (fl + F.when(up, 1).otherwise(0)).cast("decimal(38,0)")
+    text = (n / F.lit(10 ** digits)).cast(f"decimal(38,{digits})").cast("string")
+    return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(text)
+
+
+def format_percent(c: str | Column, digits: int = 2) -> Column:
+    """Python ``format(x, '.2%')``: x * 100 in double arithmetic, then exact
+    fixed formatting and a percent sign."""
+    return F.concat(format_fixed(col_of(c).cast("double") * F.lit(100.0), digits), F.lit("%"))
 
 
 def parse_int_tuple(c: str | Column) -> Column:

@@ -11,3 +11,16 @@ from ..operators import profile as pr
 def segment_summary_job(raw: DataFrame) -> DataFrame:
     """JOB-3: raw -> model-ready -> plan x inquiries summary."""
     return pr.two_key_summary(raw.transform(fe.build_model_ready))
+
+
+def model_ready_job(raw: DataFrame) -> DataFrame:
+    """JOB-1: raw -> model-ready (write it with ``sources.io.write_table``)."""
+    return raw.transform(fe.build_model_ready)
+
+
+def incoming_prediction_ready_job(raw_incoming: DataFrame, raw_train: DataFrame) -> DataFrame:
+    """JOB-2: incoming -> same preparation -> aligned to the training schema.
+    Only the training *schema* is needed: no training rows are read."""
+    train_schema = raw_train.transform(fe.build_model_ready).schema
+    prepared = raw_incoming.transform(fe.build_model_ready)
+    return fe.align_to_schema(prepared, train_schema)
