@@ -24,3 +24,11 @@ def incoming_prediction_ready_job(raw_incoming: DataFrame, raw_train: DataFrame)
     train_schema = raw_train.transform(fe.build_model_ready).schema
     prepared = raw_incoming.transform(fe.build_model_ready)
     return fe.align_to_schema(prepared, train_schema)
+
+
+def base_and_pool_job(model_ready: DataFrame, pool_size: int = 1000, seed: int = 42,
+                      target: str = "churned", id_col: str = "customer_id") -> DataFrame:
+    """JOB-4: flag an exact-size stratified retraining pool (``in_pool``);
+    base = in_pool 0, pool = in_pool 1 — write both with ``write_table``."""
+    from ..operators.split import reserve_pool
+    return reserve_pool(model_ready, target, id_col, pool_size, seed)
