@@ -63,39 +63,41 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
          .otherwise(F.col("__s")[2 * j + 1]).alias(f"hi{j}") for j, p in enumerate(probs)])
     bounds = bounds.where(F.col("n") > 0)
 
-    # pass 2: rows below each bracket, and the rows inside one
+    # pass 2: each row falls below a bracket (counted in one sentinel row per
+    # bracket, value -inf) or inside it; duplicates collapse map-side
     joined = _join_groups(data, bounds, g)
-    below = [F.sum((F.col("v") < F.col(f"lo{j}")).cast("long")).alias(f"below{j}")
-             for j in range(len(probs))]
-    offsets = joined.groupBy(*g).agg(*below) if g else joined.agg(*below)
-    in_band = F.array(*[F.when((F.col("v") >= F.col(f"lo{j}")) & (F.col("v") <= F.col(f"hi{j}")),
-                               F.lit(j)) for j in range(len(probs))])
-    band = (joined.select(*g, "v", F.explode(F.array_compact(in_band)).alias("j"))
-                  .groupBy(*g, "j", "v").agg(F.count(F.lit(1)).alias("c")))
-
-    # wanted positions per (group, j)
-    per_j = F.explode(F.array(*[
-        F.struct(F.lit(j).alias("j"), ((F.col("n") - 1) * F.lit(float(p))).alias("h"),
-                 F.col(f"below{j}").alias("off")) for j, p in enumerate(probs)]))
-    wanted = (_join_groups(offsets, bounds.select(*g, "n"), g)
-              .select(*g, per_j.alias("w")).select(*g, "w.*")
-              .withColumn("lo", F.floor("h").cast("long"))
-              .withColumn("hi", F.ceil("h").cast("long")))
-
-    w_in = Window.partitionBy(*g, "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    parts = []
+    for j in range(len(probs)):
+        lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
+        parts.append(F.when(F.col("v") < lo, F.struct(F.lit(j).alias("j"), F.lit(float("-inf")).alias("k")))
+                      .when(F.col("v") <= hi, F.struct(F.lit(j).alias("j"), F.col("v").alias("k"))))
+    band = (joined.select(*g, "n", F.explode(F.array_compact(F.array(*parts))).alias("e"))
+                  .select(*g, "n", "e.j", "e.k")
+                  .groupBy(*g, "n", "j", "k").agg(F.count(F.lit(1)).alias("c")))
+    # one small shuffle by group; the window and the pick below reuse it
+    if g:
+        band = band.repartition(*g)
+    w_in = Window.partitionBy(*g, "j").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
+    h = (F.col("n") - 1) * F.element_at(probs_arr, F.col("j") + 1)
     ranked = (band.withColumn("cum", F.sum("c").over(w_in))
-                  .join(wanted.select(*g, "j", "off", "lo", "hi"), [*g, "j"])
-                  .withColumn("first_pos", F.col("off") + F.col("cum") - F.col("c"))
-                  .withColumn("last_pos", F.col("off") + F.col("cum") - 1))
-    at = lambda pos: (F.col(pos) >= F.col("first_pos")) & (F.col(pos) <= F.col("last_pos"))
-    picked = (ranked.groupBy(*g, "j")
-              .agg(F.max(F.when(at("lo"), F.col("v"))).alias("x_lo"),
-                   F.max(F.when(at("hi"), F.col("v"))).alias("x_hi")))
-    per_prob = (picked.join(wanted.select(*g, "j", "h", "lo"), [*g, "j"])
-                .withColumn("q", F.col("x_lo") + (F.col("h") - F.col("lo")) *
-                            (F.col("x_hi") - F.col("x_lo"))))
-    aggs = [F.max(F.when(F.col("j") == j, F.col("q"))).alias(name) for j, name in enumerate(names)]
-    return per_prob.groupBy(*g).agg(*aggs) if g else per_prob.agg(*aggs)
+                  .withColumn("h", h)
+                  .withColumn("lo", F.floor("h").cast("long"))
+                  .withColumn("hi", F.ceil("h").cast("long"))
+                  .withColumn("first_pos", F.col("cum") - F.col("c"))
+                  .withColumn("last_pos", F.col("cum") - 1))
+    aggs = []
+    for j, name in enumerate(names):
+        mine = F.col("j") == j
+        at_lo = mine & (F.col("lo") >= F.col("first_pos")) & (F.col("lo") <= F.col("last_pos"))
+        at_hi = mine & (F.col("hi") >= F.col("first_pos")) & (F.col("hi") <= F.col("last_pos"))
+        aggs += [F.max(F.when(at_lo, F.col("k"))).alias(f"__xlo{j}"),
+                 F.max(F.when(at_hi, F.col("k"))).alias(f"__xhi{j}"),
+                 F.max(F.when(mine, F.col("h") - F.col("lo"))).alias(f"__t{j}")]
+    picked = ranked.groupBy(*g).agg(*aggs) if g else ranked.agg(*aggs)
+    return picked.select(*g, *[
+        (F.col(f"__xlo{j}") + F.col(f"__t{j}") * (F.col(f"__xhi{j}") - F.col(f"__xlo{j}"))).alias(name)
+        for j, name in enumerate(names)])
 
 
 def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),

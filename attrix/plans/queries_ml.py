@@ -1 +1,296 @@
-"""Registered queries."""
+"""Registered ML queries: metric queries with oracle SQL (ML-12…16, 20, 21,
+24, ML-1/2) and model queries checked by rows and invariants (ML-3…11,
+17…19, 22, 23; JOB-5…7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import dims
+from ..functions.columns import none_text_to_null, parse_int_tuple
+from ..operators import features as fe
+from ..operators import filters as fl
+from ..operators import metrics as me
+from ..operators import ml
+from .catalog import register, round_doubles
+from .fixtures import labelled_documents, scores, subscribers
+from .sqltext import with_ctes
+
+_NUM = ["weekly_hours", "signup_date", "age"]
+_TXT = ["customer_service_inquiries", "subscription_type", "location"]
+
+
+def _mode_expr(c: str, src: str = "subscribers") -> str:
+    return (f"(SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {src} WHERE {c} IS NOT NULL "
+            f"GROUP BY 1) ORDER BY n DESC, v ASC LIMIT 1)")
+
+
+@register("ml_impute_median", with_ctes("SELECT customer_id, " + ", ".join(
+    f"round(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM subscribers)), 6) "
+    f"AS {c}" for c in _NUM) + " FROM subscribers"))
+def ml_impute_median(spark, sf):
+    df = subscribers(spark, sf)
+    return round_doubles(ml.impute(df, numeric=_NUM).select("customer_id", *_NUM))
+
+
+@register("ml_impute_mode", with_ctes("SELECT customer_id, " + ", ".join(
+    f"coalesce({c}, {_mode_expr(c)}) AS {c}" for c in _TXT) + " FROM subscribers"))
+def ml_impute_mode(spark, sf):
+    df = subscribers(spark, sf)
+    return ml.impute(df, categorical=_TXT).select("customer_id", *_TXT)
+
+
+@register("ml_what_if_profile", with_ctes(
+    "SELECT customer_id, subscription_type, round(weekly_hours, 6) AS weekly_hours, "
+    "round(coalesce(CAST(NULL AS DOUBLE), (SELECT quantile_cont(song_skip_rate, 0.5) FROM subscribers)), 6) "
+    "AS song_skip_rate, round(coalesce(CAST(NULL AS DOUBLE), (SELECT quantile_cont(CAST(age AS DOUBLE), 0.5) "
+    "FROM subscribers)), 6) AS age, "
+    f"coalesce(CAST(NULL AS VARCHAR), {_mode_expr('customer_service_inquiries')}) AS customer_service_inquiries "
+    "FROM subscribers WHERE customer_id % 7 = 0 AND subscription_type IS NOT NULL AND weekly_hours IS NOT NULL"))
+def ml_what_if(spark, sf):
+    """ML-21 in bulk: partial profiles (plan and hours given) completed with
+    the feature table's medians / modes."""
+    feats = subscribers(spark, sf)
+    profiles = feats.where((F.col("customer_id") % 7 == 0) & F.col("subscription_type").isNotNull()
+                           & F.col("weekly_hours").isNotNull()).select(
+        "customer_id", "subscription_type", "weekly_hours",
+        F.lit(None).cast("double").alias("song_skip_rate"), F.lit(None).cast("long").alias("age"),
+        F.lit(None).cast("string").alias("customer_service_inquiries"))
+    filled = ml.impute(profiles, numeric=["song_skip_rate", "age"], categorical=["customer_service_inquiries"],
+                       reference=feats)
+    return round_doubles(filled)
+
+
+_CNT = """
+SELECT {g} count(*) AS n,
+  sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN y_true = 0 AND y_pred = 0 THEN 1 ELSE 0 END) AS tn,
+  sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS fp,
+  sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS fn FROM {src} {gb}"""
+
+_AUC = """
+SELECT {g} sum(neg * (tp - pos / 2.0)) / (max(P) * max(N)) AS roc_auc FROM (
+  SELECT *, sum(pos) OVER (PARTITION BY {p} ORDER BY s DESC) AS tp,
+         sum(pos) OVER (PARTITION BY {p}) AS P, sum(neg) OVER (PARTITION BY {p}) AS N FROM (
+    SELECT {g} p_churn AS s, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+           sum(CASE WHEN y_true = 0 THEN 1 ELSE 0 END) AS neg FROM {src} GROUP BY {g} p_churn)) {gb}"""
+
+
+def _metrics_sql(src: str, grouped: bool) -> str:
+    g = "model," if grouped else ""
+    gb = "GROUP BY model" if grouped else ""
+    p = "model" if grouped else "1"
+    cnt = _CNT.format(g=g, src=src, gb=gb)
+    auc = _AUC.format(g=g, src=src, gb=gb, p=p)
+    join = "JOIN a USING (model)" if grouped else ", a"
+    return f"""
+WITH c AS ({cnt}), a AS ({auc})
+SELECT {g} round((tp + tn) * 1.0 / n, 6) AS accuracy,
+  round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0), 6) AS precision,
+  round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0.0), 6) AS recall,
+  round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1,
+  round(roc_auc, 6) AS roc_auc FROM c {join}"""
+
+
+def _nested(sql_body: str, *ctes: str) -> str:
+    return with_ctes(f"SELECT * FROM ({sql_body})", *ctes)
+
+
+@register("ml_metrics", _nested(_metrics_sql("scores", False), "scores"))
+def ml_metrics(spark, sf):
+    return round_doubles(me.classification_metrics(scores(spark, sf)))
+
+
+@register("ml_metrics_signal", _nested(_metrics_sql("signal_scores", False), "signal_scores"))
+def ml_metrics_signal(spark, sf):
+    return round_doubles(me.classification_metrics(scores(spark, sf, signal=True)))
+
+
+@register("ml_compare", _nested(_metrics_sql("scores", True), "scores"))
+def ml_compare(spark, sf):
+    return round_doubles(me.compare_models(scores(spark, sf)))
+
+
+@register("ml_select_model", with_ctes(
+    f"SELECT * FROM ({_metrics_sql('scores', True)}) WHERE model = 'm1'", "scores"))
+def ml_select(spark, sf):
+    return fl.row_for(round_doubles(me.compare_models(scores(spark, sf))), "model", "m1")
+
+
+@register("ml_auc", _nested(_AUC.format(g="model,", src="scores", gb="GROUP BY model", p="model")
+                            .replace("sum(neg * (tp - pos / 2.0)) / (max(P) * max(N))",
+                                     "round(sum(neg * (tp - pos / 2.0)) / (max(P) * max(N)), 6)"), "scores"))
+def ml_auc(spark, sf):
+    return round_doubles(me.roc_auc(scores(spark, sf), group_cols=["model"]))
+
+
+@register("ml_roc", with_ctes("""
+SELECT model, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr, 'inf'::DOUBLE AS threshold FROM scores GROUP BY model
+UNION ALL
+SELECT model, round(coalesce(fp * 1.0 / nullif(N, 0), 0.0), 6), round(coalesce(tp * 1.0 / nullif(P, 0), 0.0), 6),
+       round(s, 6) FROM (
+  SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY model ORDER BY s DESC) AS fp,
+         sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N FROM (
+    SELECT model, p_churn AS s, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+           sum(CASE WHEN y_true = 0 THEN 1 ELSE 0 END) AS neg FROM scores GROUP BY model, p_churn))""", "scores"))
+def ml_roc(spark, sf):
+    return round_doubles(me.roc_curve(scores(spark, sf), group_cols=["model"]))
+
+
+@register("ml_confusion", with_ctes("""
+SELECT CAST(l.label AS BIGINT) AS label,
+  round(coalesce(c.p0, 0) * 100.0 / nullif(coalesce(c.p0, 0) + coalesce(c.p1, 0), 0), 6) AS pred_0,
+  round(coalesce(c.p1, 0) * 100.0 / nullif(coalesce(c.p0, 0) + coalesce(c.p1, 0), 0), 6) AS pred_1
+FROM (VALUES (0), (1)) l(label) LEFT JOIN (
+  SELECT y_true, sum(CASE WHEN y_pred = 0 THEN 1 ELSE 0 END) AS p0, sum(CASE WHEN y_pred = 1 THEN 1 ELSE 0 END) AS p1
+  FROM signal_scores GROUP BY y_true) c ON c.y_true = l.label""", "signal_scores"))
+def ml_confusion(spark, sf):
+    return round_doubles(me.confusion_matrix(scores(spark, sf, signal=True), normalize=True))
+
+
+@register("ml_confusion_counts", with_ctes("""
+SELECT model, CAST(y_true AS BIGINT) AS label, CAST(sum(CASE WHEN y_pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pred_0,
+  CAST(sum(CASE WHEN y_pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pred_1 FROM scores GROUP BY model, y_true""", "scores"))
+def ml_confusion_counts(spark, sf):
+    return me.confusion_matrix(scores(spark, sf), normalize=False, group_cols=["model"])
+
+
+@register("ml_class_weights", with_ctes("""
+SELECT customer_id, churned, round((SELECT count(*) FROM subscribers) * 1.0 /
+  (2 * count(*) OVER (PARTITION BY churned)), 6) AS weight FROM subscribers"""))
+def ml_class_weights(spark, sf):
+    return round_doubles(me.class_weights(subscribers(spark, sf).select("customer_id", "churned"), "churned"))
+
+
+# -- model queries (rows-only checks; invariants in tests) ------------------------------------------------
+
+def _model_ready(spark, sf):
+    return subscribers(spark, sf).transform(fe.build_model_ready)
+
+
+_BUNDLE_CACHE: dict = {}
+
+
+def _bundle(spark, sf, n_trees: int = 300):
+    key = (sf, n_trees)
+    if key not in _BUNDLE_CACHE:
+        _BUNDLE_CACHE[key] = ml.train_final_model(_model_ready(spark, sf),
+                                                  rf_params={"n_estimators": n_trees})
+    return _BUNDLE_CACHE[key]
+
+
+@register("ml_rf_final_metrics")
+def ml_rf_metrics(spark, sf):
+    """ML-6 / JOB-5: the final forest (300 trees, depth 12, leaf 2, all features)."""
+    return _bundle(spark, sf)["metrics_df"]
+
+
+@register("ml_rf_confusion")
+def ml_rf_confusion(spark, sf):
+    return _bundle(spark, sf)["cm_df"]
+
+
+@register("ml_rf_importances")
+def ml_rf_importances(spark, sf):
+    """ML-17."""
+    return _bundle(spark, sf)["feature_importance_df"]
+
+
+@register("ml_rf_validation_predictions")
+def ml_rf_predictions(spark, sf):
+    """ML-22 + ML-11."""
+    return _bundle(spark, sf)["valid_predictions_df"]
+
+
+@register("ml_logreg_coefficients")
+def ml_logreg(spark, sf):
+    """ML-4/5/7/18: scaled preprocessing + logistic regression coefficients."""
+    from ..operators.split import split_frames
+    df = _model_ready(spark, sf)
+    train, _valid = split_frames(df, "churned", "customer_id", 0.2)
+    nums, cats = ml.feature_columns(df)
+    stages = ml.build_preprocessor(train, nums, cats, scale=True)
+    n = train.count()
+    from pyspark.ml import Pipeline
+    model = Pipeline(stages=[*stages, ml.logistic_regression(C=12.33, n_rows=n)]).fit(
+        train.withColumn("churned", F.col("churned").cast("double")))
+    names = ml.feature_names(model.transform(train.limit(0)))
+    return ml.importance_table(spark, names, model.stages[-1].coefficients.toArray(), "coefficient")
+
+
+@register("ml_decision_tree_metrics")
+def ml_decision_tree(spark, sf):
+    """ML-8: shallow tree, metrics on the exact hold-out."""
+    from pyspark.ml import Pipeline
+    from ..operators.split import split_frames
+    df = _model_ready(spark, sf)
+    train, valid = split_frames(df, "churned", "customer_id", 0.2)
+    nums, cats = ml.feature_columns(df)
+    model = Pipeline(stages=[*ml.build_preprocessor(train, nums, cats), ml.decision_tree(4, 20)]).fit(
+        train.withColumn("churned", F.col("churned").cast("double")))
+    return me.classification_metrics(ml.validation_predictions(model, valid), model_name="Decision Tree")
+
+
+@register("ml_dense_network_metrics")
+def ml_dnn(spark, sf):
+    """ML-9 (re-aimed as Spark's multilayer perceptron)."""
+    from pyspark.ml import Pipeline
+    from ..operators.split import split_frames
+    df = _model_ready(spark, sf)
+    train, valid = split_frames(df, "churned", "customer_id", 0.2)
+    nums, cats = ml.feature_columns(df)
+    stages = ml.build_preprocessor(train, nums, cats, scale=True)
+    width = Pipeline(stages=stages).fit(train).transform(train.limit(1)).first()["features"].size
+    model = Pipeline(stages=[*stages, ml.dense_network(width, epochs=50)]).fit(
+        train.withColumn("churned", F.col("churned").cast("double")))
+    return me.classification_metrics(ml.validation_predictions(model, valid), model_name="DNN")
+
+
+@register("ml_random_search")
+def ml_search(spark, sf):
+    """ML-10: 4 seeded draws x 3 stratified folds, AUC-scored (forest)."""
+    df = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
+    nums, cats = ml.feature_columns(df)
+    stages = ml.build_preprocessor(df, nums, cats)
+    rf = ml.random_forest({"n_estimators": 20})
+    _model, table = ml.random_search(df, rf, stages, {"maxDepth": [4, 8, 12], "numTrees": [10, 20]},
+                                     n_iter=4, folds=3)
+    return table
+
+
+@register("ml_training_history")
+def ml_history(spark, sf):
+    """ML-23: objective per iteration of a logistic regression."""
+    from pyspark.ml import Pipeline
+    df = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
+    nums, cats = ml.feature_columns(df)
+    model = Pipeline(stages=[*ml.build_preprocessor(df, nums, cats, scale=True),
+                             ml.logistic_regression(C=1.0, n_rows=None, max_iter=50)]).fit(df)
+    return ml.training_history(spark, model.stages[-1].summary.objectiveHistory)
+
+
+@register("ml_documents_quality")
+def ml_documents(spark, sf):
+    """ML on a second real binary target: document quality from length,
+    language and source (small, unbalanced)."""
+    from pyspark.ml import Pipeline
+    docs = labelled_documents(spark, sf).withColumnRenamed("doc_id", "customer_id")
+    docs = docs.select("customer_id", "n_chars", "lang", "source", F.col("quality").cast("double").alias("churned"))
+    nums, cats = ["n_chars"], ["lang", "source"]
+    from ..operators.split import split_frames
+    train, valid = split_frames(docs, "churned", "customer_id", 0.2)
+    model = Pipeline(stages=[*ml.build_preprocessor(train, nums, cats),
+                             ml.random_forest({"n_estimators": 50, "max_depth": 5})]).fit(train)
+    return me.classification_metrics(ml.validation_predictions(model, valid), model_name="RF quality")
+
+
+@register("ml_best_params_parse")
+def ml_params(spark, sf):
+    """ML-19: best-parameter table read back with type repair (tuple text ->
+    int array, 'none' -> NULL) — over one row per model of the comparison."""
+    models = scores(spark, sf).select("model").distinct()
+    raw = models.select("model",
+                        F.concat(F.lit("("), (F.length("model") * 64).cast("string"), F.lit(", 64)")).alias("hidden_units"),
+                        F.when(F.col("model") == "m0", F.lit("None")).otherwise(F.lit("12")).alias("max_depth"))
+    return raw.select("model", parse_int_tuple("hidden_units").alias("hidden_units"),
+                      none_text_to_null("max_depth").cast("int").alias("max_depth"))
