@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions import dims
 from ..functions.binning import cut, label_table
 from ..functions.columns import classify_risk, half_even
+from .groups import attach_per_group
 from .quantiles import exact_quantiles, modes
 
 
@@ -207,16 +208,16 @@ def churn_crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence |
 
 def describe_by_group(df: DataFrame, value: str, group_col: str, digits: int | None = 3) -> DataFrame:
     """AGG-17: count, mean, median, sample std, min, max per group (null
-    group dropped); rounded half-even like the page."""
+    group dropped); rounded half-even like the page.  Count, mean, std, min
+    and max ride along the quantile operator's first pass: two scans total."""
     base = df.where(F.col(group_col).isNotNull())
-    stats = base.groupBy(group_col).agg(
-        F.count(value).alias("count"),
-        F.avg(F.col(value).cast("double")).alias("mean"),
-        F.stddev_samp(F.col(value).cast("double")).alias("std"),
-        F.min(F.col(value).cast("double")).alias("min"),
-        F.max(F.col(value).cast("double")).alias("max"))
-    med = exact_quantiles(base, value, [0.5], [group_col], names=["median"])
-    out = stats.join(med, [group_col], "left")
+    v = F.col("v")
+    out = exact_quantiles(base, value, [0.5], [group_col], names=["median"], extra_aggs=[
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max")])
+    # groups whose values are all null still get a row (count 0)
+    keys = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("__rows"))
+    out = keys.join(out, [group_col], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     if digits is not None:
         out = out.select(group_col, "count",
                          *[half_even(c, digits).alias(c) for c in ["mean", "median", "std", "min", "max"]])
@@ -233,22 +234,24 @@ def _long_numeric(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
 def outliers_iqr(df: DataFrame, numeric_cols: Sequence[str], iqr_factor: float = 1.5) -> DataFrame:
     """AGG-21 ``detect_outliers_iqr``: per column q1, q3, iqr, bounds, number
     and percent (of non-null values, rounded to 2) of values outside.  All
-    columns in one unpivoted table: one quantile job, one counting job."""
+    columns in one unpivoted table: one quantile job and one counting pass
+    that carries the quartiles along (the quartile table is used once)."""
     long = _long_numeric(df, numeric_cols).where(F.col("value").isNotNull())
     q = exact_quantiles(long, "value", [0.25, 0.75], ["column"], names=["q1", "q3"])
-    q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
-          .withColumn("lower_bound", F.col("q1") - F.lit(iqr_factor) * F.col("iqr"))
-          .withColumn("upper_bound", F.col("q3") + F.lit(iqr_factor) * F.col("iqr")))
-    counted = (long.join(F.broadcast(q.select("column", "lower_bound", "upper_bound")), "column")
+    lo = F.col("q1") - F.lit(iqr_factor) * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + F.lit(iqr_factor) * (F.col("q3") - F.col("q1"))
+    counted = (attach_per_group(long, q, ["column"])
                .groupBy("column")
-               .agg(F.count(F.lit(1)).alias("__n"),
-                    F.sum(((F.col("value") < F.col("lower_bound")) |
-                           (F.col("value") > F.col("upper_bound"))).cast("long")).alias("n_outliers")))
-    return (q.join(counted, "column")
-             .withColumn("pct_outliers", F.round(F.col("n_outliers") * 100.0 / F.col("__n"), 2))
-             .select("column", "q1", "q3", "iqr", "lower_bound", "upper_bound", "n_outliers",
-                     "pct_outliers")
-             .orderBy(F.col("pct_outliers").desc(), "column"))
+               .agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"),
+                    F.count(F.lit(1)).alias("__n"),
+                    F.sum(((F.col("value") < lo) | (F.col("value") > hi)).cast("long")).alias("n_outliers")))
+    return (counted.withColumn("iqr", F.col("q3") - F.col("q1"))
+                   .withColumn("lower_bound", F.col("q1") - F.lit(iqr_factor) * F.col("iqr"))
+                   .withColumn("upper_bound", F.col("q3") + F.lit(iqr_factor) * F.col("iqr"))
+                   .withColumn("pct_outliers", F.round(F.col("n_outliers") * 100.0 / F.col("__n"), 2))
+                   .select("column", "q1", "q3", "iqr", "lower_bound", "upper_bound", "n_outliers",
+                           "pct_outliers")
+                   .orderBy(F.col("pct_outliers").desc(), "column"))
 
 
 def boxplot_long(df: DataFrame, metric_col: str, churn_col: str = dims.TARGET,
@@ -262,23 +265,22 @@ def boxplot_long(df: DataFrame, metric_col: str, churn_col: str = dims.TARGET,
 
 def boxplot_stats(df: DataFrame, value: str, group_col: str, whisker: float = 1.5) -> DataFrame:
     """AGG-22: q1, median, q3, whiskers (most extreme values inside
-    1.5 IQR) and number of outliers per group."""
+    1.5 IQR) and number of outliers per group.  The quartile table is joined
+    once and carried through the second aggregate."""
     base = df.where(F.col(group_col).isNotNull() & F.col(value).isNotNull()) \
              .select(group_col, F.col(value).cast("double").alias(value))
     q = exact_quantiles(base, value, [0.25, 0.5, 0.75], [group_col], names=["q1", "median", "q3"])
-    q = (q.withColumn("__lo", F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1")))
-          .withColumn("__hi", F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))))
-    inside = (F.col(value) >= F.col("__lo")) & (F.col(value) <= F.col("__hi"))
-    stats = (base.join(q.select(group_col, "__lo", "__hi"), group_col)
-             .groupBy(group_col)
-             .agg(F.count(F.lit(1)).alias("n"),
-                  F.min(F.when(inside, F.col(value))).alias("lower_whisker"),
-                  F.max(F.when(inside, F.col(value))).alias("upper_whisker"),
-                  F.sum((~inside).cast("long")).alias("n_outliers")))
-    return (q.join(stats, group_col)
-             .select(group_col, "n", "q1", "median", "q3", "lower_whisker", "upper_whisker",
-                     "n_outliers")
-             .orderBy(group_col))
+    lo = F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))
+    inside = (F.col(value) >= lo) & (F.col(value) <= hi)
+    return (attach_per_group(base, q, [group_col])
+            .groupBy(group_col)
+            .agg(F.count(F.lit(1)).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
+                 F.first("q3").alias("q3"),
+                 F.min(F.when(inside, F.col(value))).alias("lower_whisker"),
+                 F.max(F.when(inside, F.col(value))).alias("upper_whisker"),
+                 F.sum((~inside).cast("long")).alias("n_outliers"))
+            .orderBy(group_col))
 
 
 # -- AGG-19/20: missing values and overview ------------------------------------------------------

@@ -30,19 +30,21 @@ _MARGIN_FACTOR = 4.0
 
 
 def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach the per-group table (one row per group).  With no keys it is a
-    single row, broadcast; otherwise AQE picks broadcast or shuffle from the
-    measured size of the group table."""
-    if not keys:
-        return left.crossJoin(F.broadcast(right))
-    return left.join(right, list(keys))
+    """Attach the per-group table (one row per group): broadcast after a size
+    check, so a few hot groups never funnel their rows into few tasks."""
+    from .groups import attach_per_group
+    return attach_per_group(left, right, keys)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, extra_aggs: Sequence = ()) -> DataFrame:
     """One row per group with a non-null value: group columns + one column per
-    probability (``q0``, ``q1``… or ``names``), exact with linear interpolation."""
+    probability (``q0``, ``q1``… or ``names``), exact with linear interpolation.
+
+    ``extra_aggs`` are aggregate expressions over the non-null values (column
+    ``v``) computed in the first pass and returned alongside (e.g. count,
+    mean, min, max), so a profile needs no extra scan."""
     g = list(group_cols)
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
     margin = _MARGIN_FACTOR / accuracy
@@ -54,7 +56,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     for p in probs:
         fracs += [max(0.0, p - margin), min(1.0, p + margin)]
     sketch = [F.count(F.lit(1)).alias("n"),
-              F.percentile_approx("v", fracs, accuracy).alias("__s")]
+              F.percentile_approx("v", fracs, accuracy).alias("__s"), *extra_aggs]
     stats = data.groupBy(*g).agg(*sketch) if g else data.agg(*sketch)
     bounds = stats.select(*g, "n", *[
         F.when(F.lit(p - margin <= 0.0), F.lit(float("-inf")))
@@ -62,6 +64,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         F.when(F.lit(p + margin >= 1.0), F.lit(float("inf")))
          .otherwise(F.col("__s")[2 * j + 1]).alias(f"hi{j}") for j, p in enumerate(probs)])
     bounds = bounds.where(F.col("n") > 0)
+    extras = stats.drop("n", "__s")
 
     # pass 2: each row falls below a bracket (counted in one sentinel row per
     # bracket, value -inf) or inside it; duplicates collapse map-side
@@ -95,9 +98,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                  F.max(F.when(at_hi, F.col("k"))).alias(f"__xhi{j}"),
                  F.max(F.when(mine, F.col("h") - F.col("lo"))).alias(f"__t{j}")]
     picked = ranked.groupBy(*g).agg(*aggs) if g else ranked.agg(*aggs)
-    return picked.select(*g, *[
+    out = picked.select(*g, *[
         (F.col(f"__xlo{j}") + F.col(f"__t{j}") * (F.col(f"__xhi{j}") - F.col(f"__xlo{j}"))).alias(name)
         for j, name in enumerate(names)])
+    if extra_aggs:
+        out = out.join(extras, g) if g else out.crossJoin(extras)
+    return out
 
 
 def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),

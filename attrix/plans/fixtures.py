@@ -45,7 +45,8 @@ def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sum((F.col("o_orderpriority") == "1-URGENT").cast("long")).alias("n_urgent"),
                          F.min("d").alias("first_day"),
                          F.max("d").alias("last_day")))
-    latest = orders.agg(F.max(_day("o_orderdate")).alias("latest_day"))
+    # the latest order day from the per-customer table: no second scan of orders
+    latest = per_customer.agg(F.max("last_day").alias("latest_day"))
 
     k = F.col("c_custkey")
     n_urgent = F.coalesce(F.col("n_urgent"), F.lit(0))

@@ -294,3 +294,46 @@ def ml_params(spark, sf):
                         F.when(F.col("model") == "m0", F.lit("None")).otherwise(F.lit("12")).alias("max_depth"))
     return raw.select("model", parse_int_tuple("hidden_units").alias("hidden_units"),
                       none_text_to_null("max_depth").cast("int").alias("max_depth"))
+
+
+@register("job_7_scoring_log")
+def job_7(spark, sf):
+    """JOB-7: score the aligned incoming table with a forest trained on the
+    base, classify risk, add provenance (append-ready log records)."""
+    from pyspark.ml import Pipeline
+    from .jobs import incoming_prediction_ready_job, scoring_log_job
+    from .queries_prj import incoming
+    base = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
+    nums, cats = ml.feature_columns(base)
+    model = Pipeline(stages=[*ml.build_preprocessor(base, nums, cats),
+                             ml.random_forest({"n_estimators": 20})]).fit(base)
+    aligned = incoming_prediction_ready_job(incoming(spark, sf), subscribers(spark, sf))
+    return scoring_log_job(model, aligned, "incoming", "RF Tuned").select(
+        "customer_id", "p_churn", "risk_level", "source", "model_used")
+
+
+@register("st_retrain_batches")
+def st_retrain(spark, sf):
+    """ST-1..4 / JOB-5: three labelled batches (one empty) cut from the
+    subscribers land in a fresh folder under the shared checkpoint
+    directory; an available-now stream retrains once per non-empty batch
+    and logs (batch_id, n_rows, churn_rate, n_new)."""
+    import uuid
+    from ..session import shared_path
+    from ..sources.io import read_data, save_batch
+    from ..streaming.retrain import start_retraining
+    run = shared_path(spark, "st-retrain", uuid.uuid4().hex)
+    raw = subscribers(spark, sf)
+    k = F.col("customer_id")
+    base = raw.where(k % 10 >= 3)
+    for i, cond in enumerate([k % 10 == 1, k % 10 == 2, F.lit(False)]):
+        save_batch(raw.where(cond), f"{run}/batches", batch_name=f"b{i}")
+    def light(combined, out):
+        from ..operators.ml import export_training_outputs, train_final_model
+        bundle = train_final_model(combined.transform(fe.build_model_ready), rf_params={"n_estimators": 20})
+        export_training_outputs(bundle, out)
+        bundle["data"].unpersist()
+    q = start_retraining(spark, f"{run}/batches", raw.schema, base, f"{run}/out", f"{run}/ckpt",
+                         trainer=light, log_path=f"{run}/log")
+    q.awaitTermination()
+    return read_data(spark, f"{run}/log", fmt="parquet")
