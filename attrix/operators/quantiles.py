@@ -8,7 +8,8 @@ task:
 1. one partial-aggregated pass computes, per group, the row count and a
    Greenwald-Khanna sketch (``percentile_approx``, bounded memory).  The
    sketch's rank error is at most ``n / accuracy``, so the values at
-   probabilities ``p -/+ margin`` bracket the exact order statistics;
+   probabilities ``p -/+ margin`` bracket the exact order statistics (a
+   group with fewer than ``accuracy`` rows is its own bracket);
 2. a second pass counts, per group, the rows below each bracket (partial
    aggregation again) and keeps only the rows inside a bracket — about
    ``2 * margin * n`` rows, with duplicates collapsed by a group-by;
@@ -58,10 +59,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     sketch = [F.count(F.lit(1)).alias("n"),
               F.percentile_approx("v", fracs, accuracy).alias("__s"), *extra_aggs]
     stats = data.groupBy(*g).agg(*sketch) if g else data.agg(*sketch)
+    # Rank guarantee: the sketch answer at q has rank within n/accuracy of
+    # q*n, and the wanted 0-based positions floor/ceil((n-1)p) lie within two
+    # elements of p*n; with margin 4/accuracy the bracket holds them once
+    # n >= accuracy.  A smaller group takes its whole range as the band
+    # (fewer than ``accuracy`` rows).
+    small = F.col("n") < F.lit(accuracy)
     bounds = stats.select(*g, "n", *[
-        F.when(F.lit(p - margin <= 0.0), F.lit(float("-inf")))
+        F.when(F.lit(p - margin <= 0.0) | small, F.lit(float("-inf")))
          .otherwise(F.col("__s")[2 * j]).alias(f"lo{j}") for j, p in enumerate(probs)], *[
-        F.when(F.lit(p + margin >= 1.0), F.lit(float("inf")))
+        F.when(F.lit(p + margin >= 1.0) | small, F.lit(float("inf")))
          .otherwise(F.col("__s")[2 * j + 1]).alias(f"hi{j}") for j, p in enumerate(probs)])
     bounds = bounds.where(F.col("n") > 0)
     extras = stats.drop("n", "__s")
