@@ -147,7 +147,10 @@ def random_forest(params: Mapping[str, Any] | None = None, label: str = dims.TAR
               maxDepth=30 if max_depth is None else min(int(max_depth), 30),
               minInstancesPerNode=int(p.get("min_samples_leaf") or 1),
               featureSubsetStrategy="all" if p.get("max_features") in (None, 1.0) else str(p["max_features"]),
-              seed=int(p.get("random_state") or 42))
+              seed=int(p.get("random_state") or 42),
+              # deep forests: larger node batches per pass over the data, and
+              # node ids cached with the rows instead of shipping trees
+              maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     if weight_col:
         kw["weightCol"] = weight_col
     return RandomForestClassifier(**kw)
@@ -237,7 +240,8 @@ def random_search(train: DataFrame, estimator, stages: list, grid: Mapping[str,
     (exact fold column), refit on the best map.  Returns the fitted
     CrossValidatorModel and a (draw, params, mean AUC) table."""
     from .split import stratified_folds
-    with_folds = stratified_folds(train, target, id_col, folds, seed, fold_col="__fold")
+    # every fold fit re-reads the training rows: keep them (recomputable)
+    with_folds = stratified_folds(train, target, id_col, folds, seed, fold_col="__fold").cache()
     draws = draw_params(grid, n_iter, seed)
     maps = [{getattr(estimator, k): v for k, v in d.items()} for d in draws]
     cv = CrossValidator(estimator=Pipeline(stages=[*stages, estimator]),
@@ -297,3 +301,56 @@ def export_training_outputs(bundle: Mapping[str, Any], root: str, prefix: str =
         write_table(bundle[key], path, fmt="parquet")
         paths[f"{name}_path"] = path
     return paths
+
+
+def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float = 0.2, seed: int = 42,
+                     folds: int = 5, draws: Mapping[str, int] | None = None,
+                     grids: Mapping[str, Mapping[str, Sequence[Any]]] | None = None,
+                     id_col: str = "customer_id") -> dict[str, DataFrame]:
+    """JOB-6: random search per model family on the training part (stratified
+    folds, AUC), refit on the best draw, then on the exact hold-out:
+    metrics per model (wide and long), AUC summary, ROC points and the
+    best-parameter table."""
+    from .reshape import stack, to_long
+    from .split import stratified_split
+    draws = dict({"Random Forest": 4, "Logistic Regression": 3, "DNN": 2}, **(draws or {}))
+    grids = dict({
+        "Random Forest": {"numTrees": [50, 100], "maxDepth": [6, 10, 12], "minInstancesPerNode": [1, 2, 4]},
+        "Logistic Regression": {"regParam": [0.0001, 0.001, 0.01, 0.1]},
+        "DNN": {"stepSize": [0.001, 0.01], "maxIter": [20, 50]},
+    }, **(grids or {}))
+    data = df.withColumn(target, F.col(target).cast("double"))
+    flagged = stratified_split(data, target, id_col, test_size, seed=seed, flag_col="__is_test").cache()
+    train = flagged.where(F.col("__is_test") == 0).drop("__is_test")
+    valid = flagged.where(F.col("__is_test") == 1).drop("__is_test")
+    nums, cats = feature_columns(df, target)
+    spark = df.sparkSession
+    preds, params = [], []
+    for name, n_draws in draws.items():
+        scale = name != "Random Forest"
+        stages = build_preprocessor(train, nums, cats, scale=scale)
+        if name == "Random Forest":
+            est = random_forest(label=target)
+        elif name == "Logistic Regression":
+            est = logistic_regression(label=target)
+        else:
+            width = Pipeline(stages=stages).fit(train).transform(train.limit(1)).first()["features"].size
+            est = dense_network(width, label=target)
+        cv_model, _table = random_search(train, est, stages, grids[name], n_iter=n_draws, folds=folds,
+                                         seed=seed, target=target, id_col=id_col)
+        best = cv_model.bestModel
+        preds.append(validation_predictions(best, valid, target).select(
+            F.lit(name).alias("model"), "y_true", "y_pred", "p_churn"))
+        best_map = draw_params(grids[name], n_draws, seed)[int(max(range(len(cv_model.avgMetrics)),
+                                                               key=lambda i: cv_model.avgMetrics[i]))]
+        params += [(name, k, str(v)) for k, v in sorted(best_map.items())]
+    all_preds = stack(preds)
+    wide = me.compare_models(all_preds)
+    return {
+        "comparison": wide,
+        "comparison_long": to_long(wide, ["model"], ["accuracy", "precision", "recall", "f1", "roc_auc"]),
+        "auc_summary": wide.select("model", "roc_auc"),
+        "roc_points": me.roc_curve(all_preds, group_cols=["model"]),
+        "best_params": spark.createDataFrame(params, "model string, param string, value string"),
+        "data": flagged,
+    }

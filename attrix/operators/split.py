@@ -124,3 +124,11 @@ def random_row(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """SPL-5: one row (the smallest hash key) — a top-1, one row per task."""
     return (df.withColumn("__h", hash_key(id_col, seed))
               .orderBy("__h", id_col).limit(1).drop("__h"))
+
+
+def generate_batch(pool: DataFrame, n: int, batches_dir: str, id_col: str, seed: int = 42,
+                   fmt: str = "parquet") -> str:
+    """SPL-6: sample ``n`` rows of the labelled pool and store them as a new
+    pending batch (a new directory the retraining stream will pick up)."""
+    from ..sources.io import save_batch
+    return save_batch(sample_rows(pool, n, id_col, seed), batches_dir, fmt=fmt)

@@ -460,3 +460,9 @@ def _mode_sql(c: str) -> str:
     [_mode_sql(c) for c in _PROFILE_TXT])))
 def agg_29(spark, sf):
     return round_doubles(pr.default_profile(subscribers(spark, sf), _PROFILE_NUM, _PROFILE_TXT))
+
+
+@register("agg_20_overview")
+def agg_20(spark, sf):
+    """AGG-20: one-row overview (rows, columns, nulls, churn rate, types)."""
+    return pr.basic_overview(_mr(spark, sf))

@@ -337,3 +337,12 @@ def st_retrain(spark, sf):
                          trainer=light, log_path=f"{run}/log")
     q.awaitTermination()
     return read_data(spark, f"{run}/log", fmt="parquet")
+
+
+@register("job_6_model_comparison")
+def job_6(spark, sf):
+    """JOB-6: random search for forest, logistic regression and perceptron
+    (one draw x 3 folds each here), compared on the exact hold-out."""
+    out = ml.model_comparison(_model_ready(spark, sf), folds=3,
+                              draws={"Random Forest": 1, "Logistic Regression": 1, "DNN": 1})
+    return out["comparison"]

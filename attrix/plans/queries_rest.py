@@ -331,3 +331,10 @@ def spl_4b(spark, sf):
 SELECT * FROM subscribers ORDER BY md5(CAST(customer_id AS VARCHAR) || ':3'), customer_id LIMIT 1"""))
 def spl_5(spark, sf):
     return sp.random_row(_subs(spark, sf), "customer_id", seed=3)
+
+
+@register("srt_7_preview", with_ctes(
+    "SELECT * FROM scores WHERE y_true = 0 ORDER BY p_churn DESC, customer_id LIMIT 20", "scores"))
+def srt_7(spark, sf):
+    """SRT-7: first 20 rows of the ordered active risk table."""
+    return tk.preview(tk.filter_risk_table(scores(spark, sf), dims.RISK_ALL, active=True).drop("risk_level"), 20)
