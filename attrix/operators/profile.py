@@ -199,9 +199,12 @@ def churn_crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence |
     a missing combination is NULL.  Null keys are dropped (pandas pivot)."""
     base = _drop_null_keys(df, [row_col, col_col], False)
     val = F.col(target).cast("double") * F.lit(scale)
-    grouped = base.groupBy(row_col)
-    pivoted = grouped.pivot(col_col, list(values)) if values is not None else grouped.pivot(col_col)
-    return pivoted.agg(F.avg(val)).orderBy(row_col)
+    if values is None:
+        return base.groupBy(row_col).pivot(col_col).agg(F.avg(val)).orderBy(row_col)
+    # known categories: one conditional aggregate, one shuffle (``pivot``
+    # would aggregate twice)
+    cells = [F.avg(F.when(F.col(col_col) == F.lit(v), val)).alias(str(v)) for v in values]
+    return base.groupBy(row_col).agg(*cells).orderBy(row_col)
 
 
 # -- AGG-17, 21, 22: distribution statistics ------------------------------------------------

@@ -37,10 +37,8 @@ def _stratum(label: str | None) -> Column:
     return F.coalesce(F.col(label).cast("string"), F.lit(NULL_STRATUM))
 
 
-def ranked_within_strata(df: DataFrame, id_col: str, seed: int, label: str | None = None,
-                         prefix_len: int = PREFIX_LEN) -> DataFrame:
-    """Adds ``__stratum``, ``__n_stratum`` and ``__rank`` (1-based, by hash key
-    then id, exact within the stratum)."""
+def _rank_parts(df: DataFrame, id_col: str, seed: int, label: str | None,
+                prefix_len: int = PREFIX_LEN) -> tuple[DataFrame, DataFrame]:
     keyed = (df.withColumn("__stratum", _stratum(label))
                .withColumn("__h", hash_key(id_col, seed))
                .withColumn("__p", F.substring("__h", 1, prefix_len)))
@@ -49,6 +47,10 @@ def ranked_within_strata(df: DataFrame, id_col: str, seed: int, label: str | Non
     starts = (counts.withColumn("__start", F.coalesce(F.sum("__c").over(w_before), F.lit(0)))
                     .withColumn("__n_stratum", F.sum("__c").over(Window.partitionBy("__stratum")))
                     .drop("__c"))
+    return keyed, starts
+
+
+def _rank(keyed: DataFrame, starts: DataFrame, id_col: str) -> DataFrame:
     # starts has (strata x 16**prefix_len) rows at most: a bounded table
     w_in = Window.partitionBy("__stratum", "__p").orderBy("__h", id_col)
     return (keyed.join(F.broadcast(starts), ["__stratum", "__p"])
@@ -56,20 +58,27 @@ def ranked_within_strata(df: DataFrame, id_col: str, seed: int, label: str | Non
                  .drop("__start", "__h", "__p"))
 
 
-def stratum_quotas(df: DataFrame, label: str | None, fraction: float | None = None,
-                   size: int | None = None) -> DataFrame:
-    """(``__stratum``, ``__quota``): largest-remainder allocation of the test size."""
-    counts = df.groupBy(_stratum(label).alias("__stratum")).agg(F.count(F.lit(1)).alias("__ns"))
+def ranked_within_strata(df: DataFrame, id_col: str, seed: int, label: str | None = None,
+                         prefix_len: int = PREFIX_LEN) -> DataFrame:
+    """Adds ``__stratum``, ``__n_stratum`` and ``__rank`` (1-based, by hash key
+    then id, exact within the stratum)."""
+    keyed, starts = _rank_parts(df, id_col, seed, label, prefix_len)
+    return _rank(keyed, starts, id_col)
+
+
+def stratum_quotas(sizes: DataFrame, fraction: float | None = None, size: int | None = None) -> DataFrame:
+    """(``__stratum``, ``__quota``) from stratum sizes (``__stratum``, ``__ns``):
+    largest-remainder allocation of the test size.  One row per stratum."""
     w_all = Window.partitionBy()
     n = F.sum("__ns").over(w_all)
     nt = (F.lit(int(size)).cast("long") if size is not None
           else F.ceil(n.cast("double") * F.lit(float(fraction))).cast("long"))
-    q = (counts.withColumn("__n", n).withColumn("__nt", F.least(nt, F.col("__n")))
-               .withColumn("__fl", F.floor(F.col("__nt") * F.col("__ns") / F.col("__n")).cast("long"))
-               .withColumn("__rem", (F.col("__nt") * F.col("__ns")) % F.col("__n"))
-               .withColumn("__left", F.col("__nt") - F.sum("__fl").over(w_all))
-               .withColumn("__r", F.row_number().over(
-                   w_all.orderBy(F.col("__rem").desc(), F.col("__stratum").asc()))))
+    q = (sizes.withColumn("__n", n).withColumn("__nt", F.least(nt, F.col("__n")))
+              .withColumn("__fl", F.floor(F.col("__nt") * F.col("__ns") / F.col("__n")).cast("long"))
+              .withColumn("__rem", (F.col("__nt") * F.col("__ns")) % F.col("__n"))
+              .withColumn("__left", F.col("__nt") - F.sum("__fl").over(w_all))
+              .withColumn("__r", F.row_number().over(
+                  w_all.orderBy(F.col("__rem").desc(), F.col("__stratum").asc()))))
     return q.select("__stratum", (F.col("__fl") + (F.col("__r") <= F.col("__left")).cast("long"))
                     .alias("__quota"))
 
@@ -77,12 +86,15 @@ def stratum_quotas(df: DataFrame, label: str | None, fraction: float | None = No
 def stratified_split(df: DataFrame, label: str, id_col: str, fraction: float | None = 0.2,
                      size: int | None = None, seed: int = 42, flag_col: str = "is_test") -> DataFrame:
     """SPL-1/SPL-2: the table with a 0/1 ``flag_col`` — exactly the quota of
-    each stratum is 1.  Use :func:`split_frames` for (train, test)."""
-    ranked = ranked_within_strata(df, id_col, seed, label)
-    quotas = stratum_quotas(df, label, fraction, size)   # one row per stratum
-    return (ranked.join(F.broadcast(quotas), "__stratum")
-                  .withColumn(flag_col, (F.col("__rank") <= F.col("__quota")).cast("long"))
-                  .drop("__stratum", "__n_stratum", "__rank", "__quota"))
+    each stratum is 1.  Stratum sizes come from the per-bucket counts, so
+    the input is read twice (count, rank) and never a third time."""
+    keyed, starts = _rank_parts(df, id_col, seed, label)
+    sizes = starts.groupBy("__stratum").agg(F.max("__n_stratum").alias("__ns"))
+    quotas = stratum_quotas(sizes, fraction, size)
+    with_quota = starts.join(quotas, "__stratum")      # both small (strata x buckets)
+    return (_rank(keyed, with_quota, id_col)
+            .withColumn(flag_col, (F.col("__rank") <= F.col("__quota")).cast("long"))
+            .drop("__stratum", "__n_stratum", "__rank", "__quota"))
 
 
 def split_frames(df: DataFrame, label: str, id_col: str, fraction: float | None = 0.2,
