@@ -33,8 +33,24 @@ def _day(c: str):
     return F.unix_date(F.to_date(F.col(c)))
 
 
+_VIEWS: dict = {}
+
+
+def _view(spark: SparkSession, key: tuple, build):
+    """A derived view is defined once per session (a lazy plan, like a temp
+    view); every query reading it still executes it from the source tables."""
+    k = (id(spark._jsparkSession), *key)
+    if k not in _VIEWS:
+        _VIEWS[k] = build()
+    return _VIEWS[k]
+
+
 def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw subscriber table (fixture B1) with the 20 raw columns."""
+    return _view(spark, ("subscribers", sf_dir), lambda: _subscribers(spark, sf_dir))
+
+
+def _subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     customer = read_table(spark, sf_dir, "customer")
 
@@ -150,6 +166,10 @@ subscribers AS (
 
 def scores(spark: SparkSession, sf_dir: str, signal: bool = False) -> DataFrame:
     """Deterministic score table (B2; B3 with ``signal=True``)."""
+    return _view(spark, ("scores", sf_dir, signal), lambda: _scores(spark, sf_dir, signal))
+
+
+def _scores(spark: SparkSession, sf_dir: str, signal: bool) -> DataFrame:
     subs = subscribers(spark, sf_dir)
     k = F.col("customer_id")
     noise = ((k * 7919) % 1000).cast("double") / 1000.0
