@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import attach_per_group
+
 N_BUCKETS = 4096
 
 
@@ -43,8 +45,7 @@ def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Se
     rng = sg.groupBy(*g).agg(*rng_aggs) if g else sg.agg(*rng_aggs)
     span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
     bucket = F.least(F.floor((F.col("__hi") - F.col("s")) / span * n_buckets), F.lit(n_buckets - 1))
-    sg = (sg.join(rng, g) if g else sg.crossJoin(F.broadcast(rng))).withColumn("b", bucket.cast("int")) \
-        .drop("__lo", "__hi")
+    sg = attach_per_group(sg, rng, g).withColumn("b", bucket.cast("int")).drop("__lo", "__hi")
     totals = sg.groupBy(*g, "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     w_grp = Window.partitionBy(*g) if g else Window.partitionBy()
     w_before = w_grp.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +56,7 @@ def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Se
                     .drop("bp", "bn"))
     w_in = Window.partitionBy(*g, "b").orderBy(F.col("s").desc()).rowsBetween(
         Window.unboundedPreceding, 0)
-    return (sg.join(starts, [*g, "b"])
+    return (attach_per_group(sg, starts, [*g, "b"])
               .withColumn("tp", F.col("tp0") + F.sum("pos").over(w_in))
               .withColumn("fp", F.col("fp0") + F.sum("neg").over(w_in))
               .drop("tp0", "fp0", "b"))
@@ -149,4 +150,4 @@ def class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> Data
     w_all = Window.partitionBy()
     weights = counts.select(label, (F.sum("__nc").over(w_all).cast("double") /
                                     (F.count(F.lit(1)).over(w_all) * F.col("__nc"))).alias(weight_col))
-    return df.join(F.broadcast(weights), label, "left")
+    return attach_per_group(df, weights, [label], how="left")

@@ -341,7 +341,7 @@ def histogram_by_group(df: DataFrame, value: str, group_col: str, nbins: int = 3
                  .withColumn("bin_end", F.col("bin_start") + F.col("__w")))
     if density:
         totals = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("__n"))
-        out = (out.join(totals, group_col)
+        out = (attach_per_group(out, totals, [group_col])
                   .withColumn("density", F.col("count") / (F.col("__n") * F.col("__w")))
                   .drop("__n"))
     return out.drop("__lo", "__w").orderBy(group_col, "bin")

@@ -51,9 +51,10 @@ def _rank_parts(df: DataFrame, id_col: str, seed: int, label: str | None,
 
 
 def _rank(keyed: DataFrame, starts: DataFrame, id_col: str) -> DataFrame:
-    # starts has (strata x 16**prefix_len) rows at most: a bounded table
+    # starts has (strata x 16**prefix_len) rows: broadcast after a size check
+    from .groups import attach_per_group
     w_in = Window.partitionBy("__stratum", "__p").orderBy("__h", id_col)
-    return (keyed.join(F.broadcast(starts), ["__stratum", "__p"])
+    return (attach_per_group(keyed, starts, ["__stratum", "__p"])
                  .withColumn("__rank", F.col("__start") + F.row_number().over(w_in))
                  .drop("__start", "__h", "__p"))
 
