@@ -39,7 +39,8 @@ _VIEWS: dict = {}
 def _view(spark: SparkSession, key: tuple, build):
     """A derived view is defined once per session (a lazy plan, like a temp
     view); every query reading it still executes it from the source tables."""
-    k = (id(spark._jsparkSession), *key)
+    from ..session import session_key
+    k = (session_key(spark), *key)
     if k not in _VIEWS:
         _VIEWS[k] = build()
     return _VIEWS[k]

@@ -172,7 +172,8 @@ _BUNDLE_CACHE: dict = {}
 
 
 def _bundle(spark, sf, n_trees: int = 300):
-    key = (sf, n_trees)
+    from ..session import session_key
+    key = (session_key(spark), sf, n_trees)
     if key not in _BUNDLE_CACHE:
         _BUNDLE_CACHE[key] = ml.train_final_model(_model_ready(spark, sf),
                                                   rf_params={"n_estimators": n_trees})

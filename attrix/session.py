@@ -63,3 +63,9 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder, for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session (application id + JVM session hash), for
+    per-session definitions of tables and views."""
+    return (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())

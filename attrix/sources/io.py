@@ -31,7 +31,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the (read-only) test tables (Parquet; filters and projections
     push down).  The DataFrame is defined once per session — like a table in
     a catalogue — so file listing and footer reads are not repeated."""
-    key = (id(spark._jsparkSession), table_path(sf_dir, name))
+    from ..session import session_key
+    key = (session_key(spark), table_path(sf_dir, name))
     df = _TABLES.get(key)
     if df is None:
         df = _TABLES[key] = spark.read.parquet(table_path(sf_dir, name))
