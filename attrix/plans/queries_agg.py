@@ -20,9 +20,6 @@ def _basic(spark, sf):
     return subscribers(spark, sf).transform(fe.add_basic_features)
 
 
-R6 = "round({}, 6)"
-
-
 # AGG-10 (flagship): plan x inquiries summary, null groups kept
 AGG10_SQL = with_ctes("""
 SELECT subscription_type, customer_service_inquiries,

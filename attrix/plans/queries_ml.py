@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dims
 from ..functions.columns import none_text_to_null, parse_int_tuple
 from ..operators import features as fe
 from ..operators import filters as fl

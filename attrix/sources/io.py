@@ -8,7 +8,6 @@ write: partitioned files in a shared folder, never a single local file.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -160,7 +159,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
-
-
-def local_dir_exists(path: str) -> bool:
-    return os.path.isdir(path)
