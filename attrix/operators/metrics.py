@@ -36,7 +36,7 @@ def score_groups(df: DataFrame, y_true: str, y_score: str, group_cols: Sequence[
 
 
 def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Sequence[str] = (),
-                        n_buckets: int = N_BUCKETS) -> DataFrame:
+                        n_buckets: int = N_BUCKETS, with_next: bool = False) -> DataFrame:
     """Per (group, distinct score), in descending score order: pos, neg,
     cumulative tp / fp (inclusive) and group totals P / N."""
     g = list(group_cols)
@@ -54,20 +54,39 @@ def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Se
                     .withColumn("P", F.sum("bp").over(w_grp))
                     .withColumn("N", F.sum("bn").over(w_grp))
                     .drop("bp", "bn"))
-    w_in = Window.partitionBy(*g, "b").orderBy(F.col("s").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    return (attach_per_group(sg, starts, [*g, "b"])
-              .withColumn("tp", F.col("tp0") + F.sum("pos").over(w_in))
-              .withColumn("fp", F.col("fp0") + F.sum("neg").over(w_in))
-              .drop("tp0", "fp0", "b"))
+    w_order = Window.partitionBy(*g, "b").orderBy(F.col("s").desc())
+    w_in = w_order.rowsBetween(Window.unboundedPreceding, 0)
+    out = (attach_per_group(sg, starts, [*g, "b"])
+           .withColumn("tp", F.col("tp0") + F.sum("pos").over(w_in))
+           .withColumn("fp", F.col("fp0") + F.sum("neg").over(w_in)))
+    if with_next:
+        # the next score group (in descending order): inside the bucket by
+        # ``lead``; for a bucket's last row, the first row of the next bucket
+        firsts = (sg.groupBy(*g, "b")
+                    .agg(F.max_by(F.struct("pos", "neg"), F.col("s")).alias("__f")))
+        w_b = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("b")
+        nxt = firsts.select(*g, "b", F.lead("__f").over(w_b).alias("__nf"))
+        out = (attach_per_group(out, nxt, [*g, "b"])
+               .withColumn("next_pos", F.coalesce(F.lead("pos").over(w_order), F.col("__nf.pos")))
+               .withColumn("next_neg", F.coalesce(F.lead("neg").over(w_order), F.col("__nf.neg")))
+               .withColumn("is_first", (F.col("tp") - F.col("pos") == 0) & (F.col("fp") - F.col("neg") == 0))
+               .drop("__nf"))
+    return out.drop("tp0", "fp0", "b")
 
 
 def roc_curve(df: DataFrame, y_true: str = "y_true", y_score: str = "p_churn",
-              group_cols: Sequence[str] = (), n_buckets: int = N_BUCKETS) -> DataFrame:
+              group_cols: Sequence[str] = (), n_buckets: int = N_BUCKETS,
+              drop_intermediate: bool = False) -> DataFrame:
     """ML-14: (group…, fpr, tpr, threshold) for every distinct score, plus the
-    (0, 0, +inf) start point.  Intermediate collinear points are kept."""
+    (0, 0, +inf) start point.  ``drop_intermediate`` drops a point whose
+    next score group adds the same (positives, negatives) as its own — a
+    collinear point, the library default; first and last points stay."""
     g = list(group_cols)
-    c = cumulative_by_score(df, y_true, y_score, g, n_buckets)
+    c = cumulative_by_score(df, y_true, y_score, g, n_buckets, with_next=drop_intermediate)
+    if drop_intermediate:
+        last = F.col("next_pos").isNull()
+        same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+        c = c.where(F.col("is_first") | last | ~same)
     pts = c.select(*g, _div0(F.col("fp"), F.col("N")).alias("fpr"),
                    _div0(F.col("tp"), F.col("P")).alias("tpr"), F.col("s").alias("threshold"))
     start_src = c.select(*g).distinct() if g else c.limit(1).select()

@@ -346,3 +346,23 @@ def job_6(spark, sf):
     out = ml.model_comparison(_model_ready(spark, sf), folds=3,
                               draws={"Random Forest": 1, "Logistic Regression": 1, "DNN": 1})
     return out["comparison"]
+
+
+@register("ml_roc_drop_intermediate", with_ctes("""
+SELECT model, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr, 'inf'::DOUBLE AS threshold FROM scores GROUP BY model
+UNION ALL
+SELECT model, round(coalesce(fp * 1.0 / nullif(N, 0), 0.0), 6), round(coalesce(tp * 1.0 / nullif(P, 0), 0.0), 6),
+       round(s, 6) FROM (
+  SELECT *, lead(pos) OVER w AS npos, lead(neg) OVER w AS nneg, row_number() OVER w AS rn FROM (
+    SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY s DESC) AS tp,
+           sum(neg) OVER (PARTITION BY model ORDER BY s DESC) AS fp,
+           sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N FROM (
+      SELECT model, round(p_churn * 20) / 20 AS s, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+             sum(CASE WHEN y_true = 0 THEN 1 ELSE 0 END) AS neg FROM scores GROUP BY 1, 2))
+  WINDOW w AS (PARTITION BY model ORDER BY s DESC))
+WHERE rn = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg""", "scores"))
+def ml_roc_drop(spark, sf):
+    """ML-14 with collinear points dropped; scores coarsened to 0.05 steps so
+    that many neighbouring groups are collinear."""
+    s = scores(spark, sf).withColumn("p_churn", F.round(F.col("p_churn") * 20) / 20)
+    return round_doubles(me.roc_curve(s, group_cols=["model"], n_buckets=7, drop_intermediate=True))

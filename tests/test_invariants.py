@@ -106,3 +106,17 @@ def test_exact_quantiles_vs_numpy(spark, skewed, accuracy):
         want = np.quantile(vals, [0.0, 0.25, 0.5, 0.9, 1.0])
         got = [out[key][f"q{i}"] for i in range(5)]
         assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_roc_drop_intermediate_vs_numpy(spark):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 400)
+    s = np.round(rng.random(400) * 10) / 10
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y_true int, p_churn double")
+    got = me.roc_curve(df, n_buckets=3, drop_intermediate=True).toPandas()
+    thr = np.sort(np.unique(s))[::-1]
+    tps = np.array([((s >= t) & (y == 1)).sum() for t in thr])
+    fps = np.array([((s >= t) & (y == 0)).sum() for t in thr])
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    want = sorted([(0.0, 0.0)] + [(fps[i] / fps[-1], tps[i] / tps[-1]) for i in keep])
+    assert sorted(zip(got.fpr.round(12), got.tpr.round(12))) == [(round(a, 12), round(b, 12)) for a, b in want]
