@@ -391,9 +391,28 @@ def agg_23b(spark, sf):
                                                "l_returnflag", nbins=40))
 
 
-@register("agg_24_kde_by_churn")
+_KDE_SQL = with_ctes("""
+SELECT bc.g AS churned, round(grid.x, 6) AS x,
+  round(sum(bc.cnt * exp((-0.5 * ((grid.x - bc.centre) / bw.bw)) * ((grid.x - bc.centre) / bw.bw)))
+        / (bw.n * bw.bw * sqrt(2 * pi())), 6) AS density
+FROM (SELECT g, cnt, lo + (fb + 0.5) * span / 2048 AS centre FROM (
+        SELECT g, least(floor((v - lo) / span * 2048), 2047) AS fb, lo, span, count(*) AS cnt
+        FROM base, r2 GROUP BY 1, 2, 3, 4)) bc
+JOIN (SELECT g, n, 1.06 * sd * pow(n, -0.2) AS bw FROM (
+        SELECT g, count(*) AS n, stddev_samp(v) AS sd FROM base GROUP BY g)) bw USING (g),
+     (SELECT gi, lo + gi * span / 99 AS x FROM r2, range(100) t(gi)) grid
+WHERE bw.bw > 0
+GROUP BY bc.g, grid.x, bw.n, bw.bw""", """
+base AS (SELECT churned AS g, song_skip_rate AS v FROM subscribers
+         WHERE song_skip_rate IS NOT NULL AND churned IS NOT NULL),
+r2 AS (SELECT lo, CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END AS span FROM (
+         SELECT min(v) AS lo, max(v) AS hi FROM base))""")
+
+
+@register("agg_24_kde_by_churn", _KDE_SQL)
 def agg_24(spark, sf):
-    return pr.kde_by_group(subscribers(spark, sf), "song_skip_rate", "churned", grid_points=100)
+    return round_doubles(pr.kde_by_group(subscribers(spark, sf), "song_skip_rate", "churned",
+                                         grid_points=100))
 
 
 def _risk_scores(spark, sf):
