@@ -6,8 +6,10 @@ score order; a global window would put every row in one task, so:
 
 1. rows collapse to one row per (group, distinct score) with positive and
    negative counts (partial aggregation);
-2. scores are cut into ``n_buckets`` equal-width ranges per group; bucket
-   totals (a small table) are prefix-summed per group;
+2. scores are cut into ``n_buckets`` equal-width ranges per group (a range
+   holding more than ``big_bucket`` distinct scores is cut once more into
+   ``n_buckets`` sub-ranges); bucket totals (a small table) are prefix-summed
+   per group;
 3. a window partitioned by (group, bucket) finishes the prefix sums inside
    each bucket.
 """
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .groups import attach_per_group
 
 N_BUCKETS = 4096
+BIG_BUCKET = 1_000_000   # distinct scores in one bucket before it is cut again
 
 
 def _div0(num: Column, den: Column) -> Column:
@@ -36,7 +39,8 @@ def score_groups(df: DataFrame, y_true: str, y_score: str, group_cols: Sequence[
 
 
 def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Sequence[str] = (),
-                        n_buckets: int = N_BUCKETS, with_next: bool = False) -> DataFrame:
+                        n_buckets: int = N_BUCKETS, with_next: bool = False,
+                        big_bucket: int = BIG_BUCKET) -> DataFrame:
     """Per (group, distinct score), in descending score order: pos, neg,
     cumulative tp / fp (inclusive) and group totals P / N."""
     g = list(group_cols)
@@ -44,8 +48,20 @@ def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Se
     rng_aggs = [F.min("s").alias("__lo"), F.max("s").alias("__hi")]
     rng = sg.groupBy(*g).agg(*rng_aggs) if g else sg.agg(*rng_aggs)
     span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
-    bucket = F.least(F.floor((F.col("__hi") - F.col("s")) / span * n_buckets), F.lit(n_buckets - 1))
-    sg = attach_per_group(sg, rng, g).withColumn("b", bucket.cast("int")).drop("__lo", "__hi")
+    rel = (F.col("__hi") - F.col("s")) / span * n_buckets
+    sg = (attach_per_group(sg, rng, g)
+          .withColumn("__rel", rel)
+          .withColumn("b1", F.least(F.floor("__rel"), F.lit(n_buckets - 1)).cast("long"))
+          .drop("__lo", "__hi"))
+    # a level-1 bucket holding very many distinct scores is cut again into
+    # n_buckets sub-buckets; the key b1 * n_buckets + b2 keeps score order
+    sizes = sg.groupBy(*g, "b1").agg(F.count(F.lit(1)).alias("__bn"))
+    big = sizes.where(F.col("__bn") > big_bucket).select(*g, "b1", F.lit(True).alias("__big"))
+    frac = F.least(F.greatest(F.col("__rel") - F.col("b1"), F.lit(0.0)), F.lit(1.0))
+    b2 = F.when(F.col("__big"), F.least(F.floor(frac * n_buckets), F.lit(n_buckets - 1))).otherwise(0)
+    sg = (attach_per_group(sg, big, [*g, "b1"], how="left")
+          .withColumn("b", F.col("b1") * n_buckets + b2.cast("long"))
+          .drop("__rel", "b1", "__big"))
     totals = sg.groupBy(*g, "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     w_grp = Window.partitionBy(*g) if g else Window.partitionBy()
     w_before = w_grp.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,13 +92,14 @@ def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Se
 
 def roc_curve(df: DataFrame, y_true: str = "y_true", y_score: str = "p_churn",
               group_cols: Sequence[str] = (), n_buckets: int = N_BUCKETS,
-              drop_intermediate: bool = False) -> DataFrame:
+              drop_intermediate: bool = False, big_bucket: int = BIG_BUCKET) -> DataFrame:
     """ML-14: (group…, fpr, tpr, threshold) for every distinct score, plus the
     (0, 0, +inf) start point.  ``drop_intermediate`` drops a point whose
     next score group adds the same (positives, negatives) as its own — a
     collinear point, the library default; first and last points stay."""
     g = list(group_cols)
-    c = cumulative_by_score(df, y_true, y_score, g, n_buckets, with_next=drop_intermediate)
+    c = cumulative_by_score(df, y_true, y_score, g, n_buckets, with_next=drop_intermediate,
+                            big_bucket=big_bucket)
     if drop_intermediate:
         last = F.col("next_pos").isNull()
         same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
@@ -96,11 +113,12 @@ def roc_curve(df: DataFrame, y_true: str = "y_true", y_score: str = "p_churn",
 
 
 def roc_auc(df: DataFrame, y_true: str = "y_true", y_score: str = "p_churn",
-            group_cols: Sequence[str] = (), n_buckets: int = N_BUCKETS) -> DataFrame:
+            group_cols: Sequence[str] = (), n_buckets: int = N_BUCKETS,
+            big_bucket: int = BIG_BUCKET) -> DataFrame:
     """ML-15: area under the ROC curve with ties counted half (trapezoid),
     one row per group; NULL when a group has one class only."""
     g = list(group_cols)
-    c = cumulative_by_score(df, y_true, y_score, g, n_buckets)
+    c = cumulative_by_score(df, y_true, y_score, g, n_buckets, big_bucket=big_bucket)
     part = F.col("neg").cast("double") * (F.col("tp").cast("double") - F.col("pos").cast("double") / 2.0)
     aggs = [F.sum(part).alias("__a"), F.max("P").alias("__P"), F.max("N").alias("__N")]
     out = c.groupBy(*g).agg(*aggs) if g else c.agg(*aggs)

@@ -70,6 +70,8 @@ def test_auc_matches_rank_formula(spark):
     pos, neg = s[y == 1], s[y == 0]
     want = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert abs(me.roc_auc(df, n_buckets=7).first().roc_auc - want) < 1e-12
+    # concentrated scores: level-1 buckets over the threshold are cut again
+    assert abs(me.roc_auc(df, n_buckets=3, big_bucket=5).first().roc_auc - want) < 1e-12
 
 
 def test_no_positive_predictions(spark):
@@ -113,7 +115,7 @@ def test_roc_drop_intermediate_vs_numpy(spark):
     y = rng.integers(0, 2, 400)
     s = np.round(rng.random(400) * 10) / 10
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y_true int, p_churn double")
-    got = me.roc_curve(df, n_buckets=3, drop_intermediate=True).toPandas()
+    got = me.roc_curve(df, n_buckets=3, drop_intermediate=True, big_bucket=4).toPandas()
     thr = np.sort(np.unique(s))[::-1]
     tps = np.array([((s >= t) & (y == 1)).sum() for t in thr])
     fps = np.array([((s >= t) & (y == 0)).sum() for t in thr])
