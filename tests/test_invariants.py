@@ -122,3 +122,16 @@ def test_roc_drop_intermediate_vs_numpy(spark):
     keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
     want = sorted([(0.0, 0.0)] + [(fps[i] / fps[-1], tps[i] / tps[-1]) for i in keep])
     assert sorted(zip(got.fpr.round(12), got.tpr.round(12))) == [(round(a, 12), round(b, 12)) for a, b in want]
+
+
+def test_split_exact_with_a_hot_stratum(spark):
+    # one label holds ~90 % of the rows (hot key); quotas and folds stay exact
+    rows = [(i, 1 if i % 10 == 0 else 0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "customer_id long, churned int")
+    flagged = sp.stratified_split(df, "churned", "customer_id", 0.25, seed=9)
+    per = {r.churned: r.c for r in flagged.where("is_test = 1").groupBy("churned")
+           .agg(F.count("*").alias("c")).collect()}
+    assert per == {0: 1125, 1: 125}
+    folds = sp.stratified_folds(df, "churned", "customer_id", 4, seed=9)
+    sizes = sorted(r.c for r in folds.where("churned = 0").groupBy("fold").agg(F.count("*").alias("c")).collect())
+    assert sizes == [1125, 1125, 1125, 1125]
