@@ -237,22 +237,30 @@ def random_search(train: DataFrame, estimator, stages: list, grid: Mapping[str,
                   n_iter: int = 10, folds: int = 5, seed: int = 42, target: str = dims.TARGET,
                   id_col: str = "customer_id", parallelism: int = 2):
     """ML-10: seeded draw from the grid, AUC-scored stratified k-fold CV
-    (exact fold column), refit on the best map.  Returns the fitted
-    CrossValidatorModel and a (draw, params, mean AUC) table."""
+    (exact fold column), refit on the best draw.
+
+    The preprocessing stages carry fixed fill values and category lists, so
+    they are fitted once on the training part and the feature vectors are
+    kept (recomputable); only the classifier is cross-validated.  Returns
+    (fitted PipelineModel of preprocessing + best classifier, table of
+    (draw, params, mean AUC), best draw as a dict)."""
     from .split import stratified_folds
-    # every fold fit re-reads the training rows: keep them (recomputable)
-    with_folds = stratified_folds(train, target, id_col, folds, seed, fold_col="__fold").cache()
+    with_folds = stratified_folds(train, target, id_col, folds, seed, fold_col="__fold")
+    prep = Pipeline(stages=stages).fit(with_folds)
+    features = (prep.transform(with_folds)
+                .select("features", F.col(target).cast("double").alias(target), "__fold").cache())
     draws = draw_params(grid, n_iter, seed)
     maps = [{getattr(estimator, k): v for k, v in d.items()} for d in draws]
-    cv = CrossValidator(estimator=Pipeline(stages=[*stages, estimator]),
-                        estimatorParamMaps=maps,
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC"),
                         foldCol="__fold", parallelism=parallelism, seed=seed)
-    cv_model = cv.fit(with_folds)
+    cv_model = cv.fit(features)
+    best_i = max(range(len(cv_model.avgMetrics)), key=lambda i: cv_model.avgMetrics[i])
+    model = PipelineModel(stages=[*prep.stages, cv_model.bestModel])
     spark = train.sparkSession
     table = spark.createDataFrame([(i, str(d), float(m)) for i, (d, m) in enumerate(zip(draws, cv_model.avgMetrics))],
                                   "draw int, params string, mean_auc double")
-    return cv_model, table.orderBy(F.col("mean_auc").desc(), "draw")
+    return model, table.orderBy(F.col("mean_auc").desc(), "draw"), draws[best_i]
 
 
 # -- ML-6 end to end: the final-model bundle ----------------------------------------------------------------
@@ -306,7 +314,7 @@ def export_training_outputs(bundle: Mapping[str, Any], root: str, prefix: str =
 def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float = 0.2, seed: int = 42,
                      folds: int = 5, draws: Mapping[str, int] | None = None,
                      grids: Mapping[str, Mapping[str, Sequence[Any]]] | None = None,
-                     id_col: str = "customer_id") -> dict[str, DataFrame]:
+                     id_col: str = "customer_id", lr_max_iter: int = 3000) -> dict[str, DataFrame]:
     """JOB-6: random search per model family on the training part (stratified
     folds, AUC), refit on the best draw, then on the exact hold-out:
     metrics per model (wide and long), AUC summary, ROC points and the
@@ -332,17 +340,14 @@ def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float
         if name == "Random Forest":
             est = random_forest(label=target)
         elif name == "Logistic Regression":
-            est = logistic_regression(label=target)
+            est = logistic_regression(label=target, max_iter=lr_max_iter)
         else:
             width = Pipeline(stages=stages).fit(train).transform(train.limit(1)).first()["features"].size
             est = dense_network(width, label=target)
-        cv_model, _table = random_search(train, est, stages, grids[name], n_iter=n_draws, folds=folds,
-                                         seed=seed, target=target, id_col=id_col)
-        best = cv_model.bestModel
+        best, _table, best_map = random_search(train, est, stages, grids[name], n_iter=n_draws, folds=folds,
+                                               seed=seed, target=target, id_col=id_col)
         preds.append(validation_predictions(best, valid, target).select(
             F.lit(name).alias("model"), "y_true", "y_pred", "p_churn"))
-        best_map = draw_params(grids[name], n_draws, seed)[int(max(range(len(cv_model.avgMetrics)),
-                                                               key=lambda i: cv_model.avgMetrics[i]))]
         params += [(name, k, str(v)) for k, v in sorted(best_map.items())]
     all_preds = stack(preds)
     wide = me.compare_models(all_preds)

@@ -41,17 +41,16 @@ def ml_impute_mode(spark, sf):
 
 @register("ml_what_if_profile", with_ctes(
     "SELECT customer_id, subscription_type, round(weekly_hours, 6) AS weekly_hours, "
-    "round(coalesce(CAST(NULL AS DOUBLE), (SELECT quantile_cont(song_skip_rate, 0.5) FROM subscribers)), 6) "
-    "AS song_skip_rate, round(coalesce(CAST(NULL AS DOUBLE), (SELECT quantile_cont(CAST(age AS DOUBLE), 0.5) "
-    "FROM subscribers)), 6) AS age, "
-    f"coalesce(CAST(NULL AS VARCHAR), {_mode_expr('customer_service_inquiries')}) AS customer_service_inquiries "
-    "FROM subscribers WHERE customer_id % 7 = 0 AND subscription_type IS NOT NULL AND weekly_hours IS NOT NULL"))
+    "round((SELECT quantile_cont(song_skip_rate, 0.5) FROM subscribers), 6) AS song_skip_rate, "
+    "round((SELECT quantile_cont(CAST(age AS DOUBLE), 0.5) FROM subscribers), 6) AS age, "
+    f"{_mode_expr('customer_service_inquiries')} AS customer_service_inquiries "
+    "FROM subscribers"))
 def ml_what_if(spark, sf):
-    """ML-21 in bulk: partial profiles (plan and hours given) completed with
-    the feature table's medians / modes."""
+    """ML-21 in bulk: every customer becomes a partial profile (plan and
+    hours given as they are) completed with the feature table's exact
+    medians / modes for the fields not given."""
     feats = subscribers(spark, sf)
-    profiles = feats.where((F.col("customer_id") % 7 == 0) & F.col("subscription_type").isNotNull()
-                           & F.col("weekly_hours").isNotNull()).select(
+    profiles = feats.select(
         "customer_id", "subscription_type", "weekly_hours",
         F.lit(None).cast("double").alias("song_skip_rate"), F.lit(None).cast("long").alias("age"),
         F.lit(None).cast("string").alias("customer_service_inquiries"))
@@ -253,8 +252,8 @@ def ml_search(spark, sf):
     nums, cats = ml.feature_columns(df)
     stages = ml.build_preprocessor(df, nums, cats)
     rf = ml.random_forest({"n_estimators": 20})
-    _model, table = ml.random_search(df, rf, stages, {"maxDepth": [4, 8, 12], "numTrees": [10, 20]},
-                                     n_iter=4, folds=3)
+    _model, table, _best = ml.random_search(df, rf, stages, {"maxDepth": [4, 8, 12], "numTrees": [10, 20]},
+                                            n_iter=4, folds=3)
     return table
 
 
@@ -325,7 +324,7 @@ def st_retrain(spark, sf):
     run = shared_path(spark, "st-retrain", uuid.uuid4().hex)
     raw = subscribers(spark, sf)
     k = F.col("customer_id")
-    base = raw.where(k % 10 >= 3)
+    base = raw.where(~(k % 10).isin(1, 2))
     for i, cond in enumerate([k % 10 == 1, k % 10 == 2, F.lit(False)]):
         save_batch(raw.where(cond), f"{run}/batches", batch_name=f"b{i}")
     def light(combined, out):
