@@ -17,6 +17,13 @@ task:
    and the two neighbouring order statistics are interpolated linearly —
    the rule of ``numpy.quantile``, Spark ``percentile`` and DuckDB
    ``quantile_cont``.
+
+The band still grows with the group (``2 * margin * n`` rows).  When the
+largest group's band would exceed ``band_rows_per_task`` rows (a group of
+billions of rows), step 3 gets a second level: the band is cut into
+equal-width sub-buckets, their counts are prefix-summed on a small table,
+and only the one or two sub-buckets that hold a wanted rank are ranked,
+each in its own window partition.
 """
 
 from __future__ import annotations
@@ -28,6 +35,10 @@ from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10000
 _MARGIN_FACTOR = 4.0
+# above this many band rows in one (group, probability) window, rank inside
+# sub-buckets of the band instead
+BAND_ROWS_PER_TASK = 2_000_000
+SUB_BUCKETS = 4096
 
 
 def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,7 +50,9 @@ def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-                    names: Sequence[str] | None = None, extra_aggs: Sequence = ()) -> DataFrame:
+                    names: Sequence[str] | None = None, extra_aggs: Sequence = (),
+                    band_rows_per_task: int = BAND_ROWS_PER_TASK,
+                    sub_buckets: int = SUB_BUCKETS) -> DataFrame:
     """One row per group with a non-null value: group columns + one column per
     probability (``q0``, ``q1``… or ``names``), exact with linear interpolation.
 
@@ -70,8 +83,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
          .otherwise(F.col("__s")[2 * j]).alias(f"lo{j}") for j, p in enumerate(probs)], *[
         F.when(F.lit(p + margin >= 1.0) | small, F.lit(float("inf")))
          .otherwise(F.col("__s")[2 * j + 1]).alias(f"hi{j}") for j, p in enumerate(probs)])
-    bounds = bounds.where(F.col("n") > 0)
+    bounds = bounds.where(F.col("n") > 0).cache()
     extras = stats.drop("n", "__s")
+    # largest band of one (group, probability), from the small cached table
+    max_n = bounds.agg(F.max("n")).first()[0] or 0
+    largest_band = min(max_n, 2 * margin * max_n + 4) if max_n >= accuracy else max_n
 
     # pass 2: each row falls below a bracket (counted in one sentinel row per
     # bracket, value -inf) or inside it; duplicates collapse map-side
@@ -84,18 +100,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     band = (joined.select(*g, "n", F.explode(F.array_compact(F.array(*parts))).alias("e"))
                   .select(*g, "n", "e.j", "e.k")
                   .groupBy(*g, "n", "j", "k").agg(F.count(F.lit(1)).alias("c")))
-    # one small shuffle by group; the window and the pick below reuse it
-    if g:
-        band = band.repartition(*g)
-    w_in = Window.partitionBy(*g, "j").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     h = (F.col("n") - 1) * F.element_at(probs_arr, F.col("j") + 1)
-    ranked = (band.withColumn("cum", F.sum("c").over(w_in))
-                  .withColumn("h", h)
-                  .withColumn("lo", F.floor("h").cast("long"))
-                  .withColumn("hi", F.ceil("h").cast("long"))
-                  .withColumn("first_pos", F.col("cum") - F.col("c"))
-                  .withColumn("last_pos", F.col("cum") - 1))
+    if largest_band > band_rows_per_task:
+        ranked = _rank_in_sub_buckets(band, g, h, sub_buckets)
+    else:
+        # one small shuffle by group; the window and the pick below reuse it
+        if g:
+            band = band.repartition(*g)
+        w_in = Window.partitionBy(*g, "j").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = band.withColumn("cum", F.sum("c").over(w_in))
+    ranked = (ranked.withColumn("h", h)
+                    .withColumn("lo", F.floor("h").cast("long"))
+                    .withColumn("hi", F.ceil("h").cast("long"))
+                    .withColumn("first_pos", F.col("cum") - F.col("c"))
+                    .withColumn("last_pos", F.col("cum") - 1))
     aggs = []
     for j, name in enumerate(names):
         mine = F.col("j") == j
@@ -105,14 +124,59 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                  F.max(F.when(at_hi, F.col("k"))).alias(f"__xhi{j}"),
                  F.max(F.when(mine, F.col("h") - F.col("lo"))).alias(f"__t{j}")]
     picked = ranked.groupBy(*g).agg(*aggs) if g else ranked.agg(*aggs)
+    # equal neighbours (also +/-inf) are the answer as they are
     out = picked.select(*g, *[
-        (F.col(f"__xlo{j}") + F.col(f"__t{j}") * (F.col(f"__xhi{j}") - F.col(f"__xlo{j}"))).alias(name)
+        F.when(F.col(f"__xlo{j}") == F.col(f"__xhi{j}"), F.col(f"__xlo{j}"))
+         .otherwise(F.col(f"__xlo{j}") + F.col(f"__t{j}") * (F.col(f"__xhi{j}") - F.col(f"__xlo{j}")))
+         .alias(name)
         for j, name in enumerate(names)])
     if extra_aggs:
         out = out.join(extras, g) if g else out.crossJoin(extras)
     return out
 
 
+def _rank_in_sub_buckets(band: DataFrame, g: Sequence[str], h, sub_buckets: int) -> DataFrame:
+    """Cumulative counts (``cum``) for the band rows that can hold a wanted
+    rank, without one window over the whole band of a group.
+
+    The band (one row per distinct value, with its count ``c``; the rows
+    below the bracket are one ``-inf`` row) is written to the shared
+    checkpoint folder, so the passes below read it, not the source, and
+    survive a lost executor.  Finite values fall into ``sub_buckets``
+    equal-width slices of the band's range (``-inf`` before, ``+inf``
+    after); slice counts are prefix-summed per (group, probability) on a
+    table of at most ``groups x probabilities x sub_buckets`` rows; only the
+    slices holding position ``floor(h)`` or ``ceil(h)`` are kept and ranked,
+    each slice in its own window partition."""
+    from ..session import ensure_checkpoint_dir
+    from .groups import attach_per_group
+    keys = [*g, "j"]
+    ensure_checkpoint_dir(band.sparkSession)
+    band = band.checkpoint()
+    k = F.col("k")
+    finite = F.abs(k) < F.lit(float("inf"))
+    rng = band.where(finite).groupBy(*keys).agg(F.min("k").alias("__kmin"), F.max("k").alias("__kmax"))
+    span = F.col("__kmax") - F.col("__kmin")
+    slice_no = (F.when(k == F.lit(float("-inf")), F.lit(-1))
+                 .when(k == F.lit(float("inf")), F.lit(sub_buckets))
+                 .when(span > 0, F.least(F.floor((k - F.col("__kmin")) / span * sub_buckets).cast("int"),
+                                         F.lit(sub_buckets - 1)))
+                 .otherwise(F.lit(0)))
+    keyed = (attach_per_group(band, rng, keys, how="left")
+             .withColumn("__sb", slice_no).drop("__kmin", "__kmax"))
+    w_sub = Window.partitionBy(*keys).orderBy("__sb").rowsBetween(Window.unboundedPreceding, 0)
+    slices = (keyed.groupBy(*keys, "n", "__sb").agg(F.sum("c").alias("__sc"))
+                   .withColumn("__scum", F.sum("__sc").over(w_sub))
+                   .withColumn("__first", F.col("__scum") - F.col("__sc")))
+    lo, hi = F.floor(h), F.ceil(h)
+    inside = lambda pos: (pos >= F.col("__first")) & (pos < F.col("__scum"))
+    wanted = slices.where(inside(lo) | inside(hi)).select(*keys, "__sb", "__first")
+    w_in = Window.partitionBy(*keys, "__sb").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return (attach_per_group(keyed, wanted, [*keys, "__sb"])
+            .withColumn("cum", F.col("__first") + F.sum("c").over(w_in))
+            .drop("__sb", "__first"))
+
+
 def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),
                  name: str = "median", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     return exact_quantiles(df, value, [0.5], group_cols, accuracy, names=[name])

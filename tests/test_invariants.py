@@ -110,6 +110,34 @@ def test_exact_quantiles_vs_numpy(spark, skewed, accuracy):
         assert np.allclose(got, want, rtol=0, atol=1e-9)
 
 
+@pytest.mark.parametrize("accuracy,sub_buckets", [(100, 8), (50, 1), (5000, 16)])
+def test_exact_quantiles_sub_buckets_vs_numpy(spark, accuracy, sub_buckets):
+    # band_rows_per_task=0 forces the second level (ranking inside slices)
+    rng = np.random.default_rng(7)
+    g = np.where(rng.random(5000) < 0.85, "hot", "cold")
+    v = np.round(rng.normal(0.0, 5.0, 5000), 2)
+    v[:5] = [np.inf, -np.inf, np.inf, 3.0, -np.inf]
+    df = spark.createDataFrame([(a, float(b)) for a, b in zip(g, v)], "g string, v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.999, 1.0]
+    out = {r.g: r for r in exact_quantiles(df, "v", probs, ["g"], accuracy=accuracy,
+                                           band_rows_per_task=0, sub_buckets=sub_buckets).collect()}
+    glob = exact_quantiles(df.where("abs(v) < double('inf')"), "v", probs,
+                           accuracy=accuracy, band_rows_per_task=0, sub_buckets=sub_buckets).first()
+    fin = np.isfinite(v)
+    want_glob = np.quantile(v[fin], probs)
+    assert np.allclose([glob[f"q{i}"] for i in range(len(probs))], want_glob, rtol=0, atol=1e-9)
+    for key in ("hot", "cold"):
+        vals = np.sort(v[g == key])
+        for i, p in enumerate(probs):
+            pos = (len(vals) - 1) * p
+            a, b = vals[int(np.floor(pos))], vals[int(np.ceil(pos))]
+            if a != b and not (np.isfinite(a) and np.isfinite(b)):
+                continue                       # interpolating into an infinity
+            want = a if a == b else a + (pos - np.floor(pos)) * (b - a)
+            got = out[key][f"q{i}"]
+            assert got == want or abs(got - want) < 1e-9, (key, p, got, want)
+
+
 def test_roc_drop_intermediate_vs_numpy(spark):
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 400)
