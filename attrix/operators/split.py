@@ -15,7 +15,10 @@ rows per (stratum, bucket) gives a small table (strata x buckets) whose
 prefix sums are each bucket's starting rank; a window partitioned by
 (stratum, bucket) then ranks rows inside their bucket.  The rank of a row
 is bucket start + rank in bucket: one shuffle, no partition larger than a
-bucket, however hot a stratum is.
+bucket, however hot a stratum is.  When the largest bucket would still
+exceed ``BUCKET_ROWS_PER_TASK`` rows (a stratum of hundreds of billions of
+rows), the counts are redone with a longer prefix; the order (hash key,
+then id) does not depend on the prefix, so the ranks are the same.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX_LEN = 4   # 65,536 buckets per stratum
+MAX_PREFIX_LEN = 8
+BUCKET_ROWS_PER_TASK = 2_000_000
 NULL_STRATUM = "\u0000null"
 
 
@@ -38,11 +43,18 @@ def _stratum(label: str | None) -> Column:
 
 
 def _rank_parts(df: DataFrame, id_col: str, seed: int, label: str | None,
-                prefix_len: int = PREFIX_LEN) -> tuple[DataFrame, DataFrame]:
-    keyed = (df.withColumn("__stratum", _stratum(label))
-               .withColumn("__h", hash_key(id_col, seed))
-               .withColumn("__p", F.substring("__h", 1, prefix_len)))
-    counts = keyed.groupBy("__stratum", "__p").agg(F.count(F.lit(1)).alias("__c"))
+                prefix_len: int = PREFIX_LEN,
+                bucket_rows: int = BUCKET_ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+    hashed = df.withColumn("__stratum", _stratum(label)).withColumn("__h", hash_key(id_col, seed))
+    while True:
+        keyed = hashed.withColumn("__p", F.substring("__h", 1, prefix_len))
+        # strata x 16**prefix_len rows at most; kept for the size check below
+        counts = keyed.groupBy("__stratum", "__p").agg(F.count(F.lit(1)).alias("__c")).cache()
+        largest = counts.agg(F.max("__c")).first()[0] or 0
+        if largest <= bucket_rows or prefix_len >= MAX_PREFIX_LEN:
+            break
+        counts.unpersist()
+        prefix_len += 1
     w_before = Window.partitionBy("__stratum").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = (counts.withColumn("__start", F.coalesce(F.sum("__c").over(w_before), F.lit(0)))
                     .withColumn("__n_stratum", F.sum("__c").over(Window.partitionBy("__stratum")))
@@ -60,10 +72,11 @@ def _rank(keyed: DataFrame, starts: DataFrame, id_col: str) -> DataFrame:
 
 
 def ranked_within_strata(df: DataFrame, id_col: str, seed: int, label: str | None = None,
-                         prefix_len: int = PREFIX_LEN) -> DataFrame:
+                         prefix_len: int = PREFIX_LEN,
+                         bucket_rows: int = BUCKET_ROWS_PER_TASK) -> DataFrame:
     """Adds ``__stratum``, ``__n_stratum`` and ``__rank`` (1-based, by hash key
     then id, exact within the stratum)."""
-    keyed, starts = _rank_parts(df, id_col, seed, label, prefix_len)
+    keyed, starts = _rank_parts(df, id_col, seed, label, prefix_len, bucket_rows)
     return _rank(keyed, starts, id_col)
 
 
