@@ -17,13 +17,31 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_GROUPS = 200_000
 
+# small tables cached for a size check; released by release_small_tables()
+_SMALL_CACHED: list[DataFrame] = []
+
+
+def cache_small(df: DataFrame) -> DataFrame:
+    """Cache a small derived table (per-group or per-bucket) and remember it,
+    so a long-running job (one retraining per micro-batch) can release it."""
+    df = df.cache()
+    _SMALL_CACHED.append(df)
+    return df
+
+
+def release_small_tables() -> None:
+    """Unpersist every table cached by :func:`cache_small`.  Always safe: a
+    later use of such a table recomputes it from lineage."""
+    while _SMALL_CACHED:
+        _SMALL_CACHED.pop().unpersist()
+
 
 def attach_per_group(rows: DataFrame, per_group: DataFrame, keys: Sequence[str],
                      how: str = "inner") -> DataFrame:
     keys = list(keys)
     if not keys:
         return rows.crossJoin(F.broadcast(per_group))
-    per_group = per_group.cache()
+    per_group = cache_small(per_group)
     if per_group.count() <= MAX_BROADCAST_GROUPS:
         return rows.join(F.broadcast(per_group), keys, how)
     return rows.join(per_group, keys, how)

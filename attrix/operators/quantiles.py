@@ -33,6 +33,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import cache_small
+
 DEFAULT_ACCURACY = 10000
 _MARGIN_FACTOR = 4.0
 # above this many band rows in one (group, probability) window, rank inside
@@ -83,7 +85,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
          .otherwise(F.col("__s")[2 * j]).alias(f"lo{j}") for j, p in enumerate(probs)], *[
         F.when(F.lit(p + margin >= 1.0) | small, F.lit(float("inf")))
          .otherwise(F.col("__s")[2 * j + 1]).alias(f"hi{j}") for j, p in enumerate(probs)])
-    bounds = bounds.where(F.col("n") > 0).cache()
+    bounds = cache_small(bounds.where(F.col("n") > 0))
     extras = stats.drop("n", "__s")
     # largest band of one (group, probability), from the small cached table
     max_n = bounds.agg(F.max("n")).first()[0] or 0

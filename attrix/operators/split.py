@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import cache_small
+
 PREFIX_LEN = 4   # 65,536 buckets per stratum
 MAX_PREFIX_LEN = 8
 BUCKET_ROWS_PER_TASK = 2_000_000
@@ -49,7 +51,7 @@ def _rank_parts(df: DataFrame, id_col: str, seed: int, label: str | None,
     while True:
         keyed = hashed.withColumn("__p", F.substring("__h", 1, prefix_len))
         # strata x 16**prefix_len rows at most; kept for the size check below
-        counts = keyed.groupBy("__stratum", "__p").agg(F.count(F.lit(1)).alias("__c")).cache()
+        counts = cache_small(keyed.groupBy("__stratum", "__p").agg(F.count(F.lit(1)).alias("__c")))
         largest = counts.agg(F.max("__c")).first()[0] or 0
         if largest <= bucket_rows or prefix_len >= MAX_PREFIX_LEN:
             break

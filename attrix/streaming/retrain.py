@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.groups import release_small_tables
 from ..operators.reshape import append_batch
 from ..sources.io import write_table
 
@@ -52,13 +53,17 @@ def make_batch_handler(base: DataFrame, out_root: str,
             return
         combined = append_batch(base, batch)                  # SET-1 (column check)
         out = f"{out_root.rstrip('/')}/batch={batch_id}"      # ST-4
-        trainer(combined, out)
-        if log_path:
-            summary = combined.agg(F.count(F.lit(1)).alias("n_rows"),
-                                   F.avg(F.col("churned").cast("double")).alias("churn_rate"))
-            write_table(summary.select(F.lit(batch_id).alias("batch_id"), "*",
-                                       F.lit(batch.count()).alias("n_new")),
-                        f"{log_path}/batch={batch_id}", mode="overwrite")
+        try:
+            trainer(combined, out)
+            if log_path:
+                summary = combined.agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.avg(F.col("churned").cast("double")).alias("churn_rate"))
+                write_table(summary.select(F.lit(batch_id).alias("batch_id"), "*",
+                                           F.lit(batch.count()).alias("n_new")),
+                            f"{log_path}/batch={batch_id}", mode="overwrite")
+        finally:
+            # the stream runs for days: drop this batch's small cached tables
+            release_small_tables()
     return handle
 
 
