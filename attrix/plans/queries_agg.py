@@ -478,7 +478,17 @@ def agg_29(spark, sf):
     return round_doubles(pr.default_profile(subscribers(spark, sf), _PROFILE_NUM, _PROFILE_TXT))
 
 
-@register("agg_20_overview")
+# column count, null total and type names come from DuckDB's own star
+# expressions over the model-ready view, not from a column list
+@register("agg_20_overview", with_ctes("""
+SELECT a.n_rows, t.n_columns, n.n_nulls, a.churn_rate, t.dtypes FROM
+  (SELECT count(*) AS n_rows, round(avg(CAST(churned AS DOUBLE)), 6) AS churn_rate FROM model_ready) a,
+  (SELECT CAST(list_sum(list_value(*COLUMNS(*))) AS BIGINT) AS n_nulls
+     FROM (SELECT count(*) - count(COLUMNS(*)) FROM model_ready)) n,
+  (SELECT CAST(len(list_value(*COLUMNS(*))) AS INTEGER) AS n_columns, concat_ws(', ', *COLUMNS(*)) AS dtypes
+     FROM (SELECT alias(COLUMNS(*)) || ':' ||
+                  replace(replace(lower(typeof(COLUMNS(*))), 'varchar', 'string'), 'integer', 'int')
+           FROM model_ready LIMIT 1)) t""", "model_ready"))
 def agg_20(spark, sf):
     """AGG-20: one-row overview (rows, columns, nulls, churn rate, types)."""
-    return pr.basic_overview(_mr(spark, sf))
+    return round_doubles(pr.basic_overview(_mr(spark, sf)))
