@@ -29,6 +29,14 @@ def cache_small(df: DataFrame) -> DataFrame:
     return df
 
 
+def keep_for_reuse(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) a compact intermediate read by
+    several size checks and the final plan, so they do not each recompute it
+    from the source; a lost executor's blocks are rebuilt from lineage.
+    Registered and released like :func:`cache_small`."""
+    return cache_small(df)
+
+
 def release_small_tables() -> None:
     """Unpersist every table cached by :func:`cache_small`.  Always safe: a
     later use of such a table recomputes it from lineage."""

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import attach_per_group
+from .groups import attach_per_group, keep_for_reuse
 
 N_BUCKETS = 4096
 BIG_BUCKET = 1_000_000   # distinct scores in one bucket before it is cut again
@@ -44,7 +44,8 @@ def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Se
     """Per (group, distinct score), in descending score order: pos, neg,
     cumulative tp / fp (inclusive) and group totals P / N."""
     g = list(group_cols)
-    sg = score_groups(df, y_true, y_score, g)
+    # read by three size checks and the final windows: computed once
+    sg = keep_for_reuse(score_groups(df, y_true, y_score, g))
     rng_aggs = [F.min("s").alias("__lo"), F.max("s").alias("__hi")]
     rng = sg.groupBy(*g).agg(*rng_aggs) if g else sg.agg(*rng_aggs)
     span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
