@@ -33,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import cache_small
+from .groups import MAX_BROADCAST_GROUPS, cache_small
 
 DEFAULT_ACCURACY = 10000
 _MARGIN_FACTOR = 4.0
@@ -43,13 +43,6 @@ BAND_ROWS_PER_TASK = 2_000_000
 SUB_BUCKETS = 4096
 
 
-def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach the per-group table (one row per group): broadcast after a size
-    check, so a few hot groups never funnel their rows into few tasks."""
-    from .groups import attach_per_group
-    return attach_per_group(left, right, keys)
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
                     names: Sequence[str] | None = None, extra_aggs: Sequence = (),
@@ -87,13 +80,20 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
          .otherwise(F.col("__s")[2 * j + 1]).alias(f"hi{j}") for j, p in enumerate(probs)])
     bounds = cache_small(bounds.where(F.col("n") > 0))
     extras = stats.drop("n", "__s")
-    # largest band of one (group, probability), from the small cached table
-    max_n = bounds.agg(F.max("n")).first()[0] or 0
+    # one job on the small cached table: its size (broadcast check) and the
+    # largest group (band size)
+    n_groups, max_n = bounds.agg(F.count(F.lit(1)), F.max("n")).first()
+    max_n = max_n or 0
     largest_band = min(max_n, 2 * margin * max_n + 4) if max_n >= accuracy else max_n
 
     # pass 2: each row falls below a bracket (counted in one sentinel row per
     # bracket, value -inf) or inside it; duplicates collapse map-side
-    joined = _join_groups(data, bounds, g)
+    if not g:
+        joined = data.crossJoin(F.broadcast(bounds))
+    elif n_groups <= MAX_BROADCAST_GROUPS:
+        joined = data.join(F.broadcast(bounds), g)
+    else:
+        joined = data.join(bounds, g)
     parts = []
     for j in range(len(probs)):
         lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
