@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, packing, sentencepiece_bpe, simhash, token_counts
+from . import language_id, line_dedup, packing, sentencepiece_bpe, simhash, substring_dedup, token_counts
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,36 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+@query("op5_substring_dedup", """
+    with words as (
+        select doc_id, unnest(ws) as w, unnest(range(len(ws))) as pos, len(ws) as n
+        from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents)),
+    windows as (
+        select doc_id, pos, w, n,
+               case when pos + 13 <= n then string_agg(w, ' ') over (
+                   partition by doc_id order by pos rows between current row and 12 following) end as win
+        from words),
+    seen as (select win, min(doc_id) as first_doc from windows where win is not null group by win),
+    marked as (
+        select a.doc_id, a.pos, a.w, coalesce(s.first_doc < a.doc_id, false) as starts
+        from windows a left join seen s on a.win = s.win),
+    covered as (
+        select doc_id, pos, w, bool_or(starts) over (
+            partition by doc_id order by pos rows between 12 preceding and current row) as gone
+        from marked),
+    per_doc as (
+        select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed,
+               coalesce(string_agg(w, ' ' order by pos) filter (where not gone), '') as kept
+        from covered group by doc_id)
+    select d.doc_id, coalesce(p.n_words, 0) as n_words, coalesce(p.n_removed, 0) as n_removed,
+           sha256(coalesce(p.kept, '')) as kept_sha256
+    from documents d left join per_doc p on d.doc_id = p.doc_id""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that documents keep once repeated passages are cut."""
+    cut = substring_dedup.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every whole document."""
