@@ -30,6 +30,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings")
+
+
 def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_dedup, packing, sentencepiece_bpe, simhash, substring_dedup, token_counts
-from .common import documents
+from . import ann, fingerprints, language_id, line_dedup, packing, sentencepiece_bpe, simhash, substring_dedup, token_counts
+from .common import documents, embeddings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,6 +99,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op7_ann")
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every 50th, found in the shards' graphs."""
+    vectors = ann.usable(embeddings(spark, sf_dir), "vec_id", "embedding")
+    index = ann.build_index(vectors).checkpoint()
+    return ann.search(index, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every whole document."""
