@@ -16,6 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
 from ..sources.io import read_table
 
 # FIXED VALUES: the ASCII white space of the contracts, [\x20\x09-\x0D]
@@ -34,6 +35,12 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the folder that driver and executors share (spark.checkpoint.dir)."""
+    folder = shared_path(spark)
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
 def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
@@ -49,16 +56,16 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def with_text(docs: DataFrame, text: Column, text_col: str = "text") -> list[Column]:
-    """All columns of ``docs`` with the text (and its ``n_chars``) replaced."""
+def replaced(columns: list[tuple[str, str]], source: str, text: Column, text_col: str = "text") -> list[Column]:
+    """The named and typed columns of struct ``source`` with the text (and its ``n_chars``) replaced."""
     out = []
-    for c in docs.columns:
+    for c, kind in columns:
         if c == text_col:
             out.append(text.alias(c))
         elif c == "n_chars":
-            out.append(F.char_length(text).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.char_length(text).cast(kind).alias(c))
         else:
-            out.append(docs[f"`{c}`"])
+            out.append(F.col(f"{source}.`{c}`").alias(c))
     return out
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, language_id, line_dedup, packing, sentencepiece_bpe, simhash, substring_dedup, token_counts
-from .common import documents, embeddings
+from . import ann, fingerprints, language_id, line_dedup, packing, sentencepiece_bpe, simhash, substring_dedup, token_counts, token_shards
+from .common import documents, embeddings, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,6 +100,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op6_token_shards")
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of the binary shards that hold all documents in training order."""
+    return token_shards.write_shards(documents(spark, sf_dir), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+
+
 @query("op7_ann")
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every 50th, found in the shards' graphs."""

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import picked, text_slices
@@ -70,15 +70,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
+    """``doc_id``, ``text_hash`` and ``fp`` (the 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 fp = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fp.view(np.int64))],
+                                                 ["doc_id", "text_hash", "fp"])
 
-    return picked(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return picked(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")) \
+        .mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 class Forest:
@@ -234,13 +236,29 @@ def _visit_only(points: np.ndarray, home: np.ndarray, visiting: np.ndarray, dist
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of every row: the smallest ``doc_id`` that
-    links of at most ``distance`` differing bits reach."""
+    """``doc_id, text_hash, fp, component_id`` of every row: the smallest
+    ``doc_id`` that links of at most ``distance`` differing bits reach."""
     marked = fingerprints(docs, shingle, id_col, text_col).checkpoint()
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes.select("fp"), distance))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = joined.join(lowest, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = joined.join(lowest, "root").select("fp", "root", "component_id")
+    return marked.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does:
+    the one of smallest id (of smallest text hash among equal ids; a NULL id
+    only where all are)."""
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    stay = (near_duplicates(docs, shingle, distance, id_col, text_col)
+            .groupBy("root").agg(F.min(rank).alias("first")).select("first.doc_id", "first.text_hash").alias("s"))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+                        docs[id_col].cast("long").alias("doc_id"),
+                        F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("text_hash")).alias("d")
+    kept = whole.join(stay, F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash"), "left_semi")
+    copies = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))
+    return kept.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("row.*")
