@@ -311,12 +311,19 @@ def job_7(spark, sf):
         "customer_id", "p_churn", "risk_level", "source", "model_used")
 
 
-@register("st_retrain_batches")
+@register("st_retrain_batches", with_ctes("""
+SELECT 'b' || k AS name, 'trained' AS status, count(*) FILTER (WHERE in_base OR r = k) AS n_rows,
+       count(*) FILTER (WHERE r = k) AS n_new,
+       round(avg(churned * 1.0) FILTER (WHERE in_base OR r = k), 6) AS churn_rate
+FROM (SELECT customer_id % 10 AS r, customer_id % 10 NOT IN (1, 2) AS in_base, churned FROM subscribers)
+     CROSS JOIN (SELECT unnest([1, 2]) AS k)
+GROUP BY k
+UNION ALL SELECT 'b0', 'skipped: empty', 0, 0, NULL"""))
 def st_retrain(spark, sf):
-    """ST-1..4 / JOB-5: three labelled batches (one empty) cut from the
-    subscribers land in a fresh folder under the shared checkpoint
-    directory; an available-now stream retrains once per non-empty batch
-    and logs (batch_id, n_rows, churn_rate, n_new)."""
+    """ST-1..4 / JOB-5: three labelled batches of several part files (one
+    without rows) cut from the subscribers land in a fresh folder under the
+    shared checkpoint directory; an available-now stream retrains the final
+    forest once per batch on the base and the whole batch, and logs it."""
     import uuid
     from ..session import shared_path
     from ..sources.io import read_data, save_batch
@@ -325,17 +332,11 @@ def st_retrain(spark, sf):
     raw = subscribers(spark, sf)
     k = F.col("customer_id")
     base = raw.where(~(k % 10).isin(1, 2))
-    for i, cond in enumerate([k % 10 == 1, k % 10 == 2, F.lit(False)]):
-        save_batch(raw.where(cond), f"{run}/batches", batch_name=f"b{i}")
-    def light(combined, out):
-        from ..operators.ml import export_training_outputs, train_final_model
-        bundle = train_final_model(combined.transform(fe.build_model_ready), rf_params={"n_estimators": 20})
-        export_training_outputs(bundle, out)
-        bundle["data"].unpersist()
-    q = start_retraining(spark, f"{run}/batches", raw.schema, base, f"{run}/out", f"{run}/ckpt",
-                         trainer=light, log_path=f"{run}/log")
+    for name, cond in {"b0": F.lit(False), "b1": k % 10 == 1, "b2": k % 10 == 2}.items():
+        save_batch(raw.where(cond).repartition(4), f"{run}/batches", batch_name=name)
+    q = start_retraining(spark, f"{run}/batches", raw.schema, base, f"{run}/out", f"{run}/ckpt", log_path=f"{run}/log")
     q.awaitTermination()
-    return read_data(spark, f"{run}/log", fmt="parquet")
+    return round_doubles(read_data(spark, f"{run}/log", fmt="parquet").drop("batch"))
 
 
 @register("job_6_model_comparison")

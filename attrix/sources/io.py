@@ -133,17 +133,36 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+def batch_path(batches_dir: str, name: str) -> str:
+    return f"{batches_dir.rstrip('/')}/data/{name}"
+
+
+def manifest_dir(spark: SparkSession, batches_dir: str) -> str:
+    """Folder of the manifests, made if absent (a stream needs it to start)."""
+    path = f"{batches_dir.rstrip('/')}/manifest"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hpath)
+    return path
+
+
+def announce_batch(spark: SparkSession, batches_dir: str, name: str) -> None:
+    """Tell the retraining stream that the batch ``name`` is complete."""
+    (spark.createDataFrame([(name,)], "value string").coalesce(1)
+     .write.mode("overwrite").text(f"{manifest_dir(spark, batches_dir)}/{name}"))
+
+
 def save_batch(df: DataFrame, batches_dir: str, fmt: str = "parquet",
                batch_name: str | None = None) -> str:
-    """SNK-2: write a pending batch under a new, unique directory name.
+    """SNK-2: write a pending batch (any number of part files) under a new,
+    unique directory name, then announce it.
 
-    A file-source stream ignores a rewritten path, so each batch is a new
-    directory; "clearing" the pending batch is therefore not needed — the
-    stream's checkpoint remembers what was consumed.
+    The stream's checkpoint remembers which announcements were consumed, so
+    "clearing" the pending batch is not needed.
     """
     name = batch_name or f"batch-{uuid.uuid4().hex}"
-    path = f"{batches_dir.rstrip('/')}/{name}"
+    path = batch_path(batches_dir, name)
     write_table(df, path, fmt=fmt, mode="errorifexists")
+    announce_batch(df.sparkSession, batches_dir, name)
     return path
 
 
@@ -151,11 +170,3 @@ def clear_batch(spark: SparkSession, path: str, schema: StructType | str,
                 fmt: str = "parquet") -> str:
     """SNK-2: overwrite a batch location with an empty, typed table."""
     return write_table(spark.createDataFrame([], schema), path, fmt=fmt, mode="overwrite")
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence test through the Hadoop file system (works for any scheme)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))

@@ -1,18 +1,19 @@
 """Retraining from new labelled batches with Structured Streaming (ST-1 … ST-4).
 
 The original polls one CSV path, keeps its modification time as a cursor and
-launches a retraining run when the file changed and has rows.  Here:
-
-* ST-1: a file-source stream over a batch folder; each micro-batch runs
-  ``foreachBatch`` -> merge with the base table -> retrain -> export;
-* ST-2: an empty batch (a header-only file arrives as a 0-row batch) is
-  skipped;
-* ST-3: the checkpoint remembers which files were consumed, so a restart
-  resumes after the last committed batch.  A file source ignores a
-  rewritten path, so every batch must be written under a new name
-  (:func:`attrix.sources.io.save_batch`);
-* ST-4: one run per batch id, written under ``<out>/batch=<id>`` with
-  overwrite — a replayed batch rewrites the same output (idempotent).
+launches a retraining run when the file changed and has rows.  Here the unit is
+a batch, however many part files it has:
+
+* ST-1: a writer first stores the batch's directory, then announces it by a
+  manifest file that holds its name (:func:`attrix.sources.io.save_batch`).
+  The stream reads the manifests; for each announced batch the handler reads
+  the whole directory, merges it with the base table, retrains and exports;
+* ST-2: a batch that is absent, empty, unreadable or lacks required columns is
+  skipped, and the reason is logged; the stream goes on;
+* ST-3: the checkpoint remembers which manifests were consumed, so a restart
+  resumes after the last committed batch;
+* ST-4: one run per batch name, written under ``<out>/batch=<name>`` with
+  overwrite: a replay rewrites the same output (idempotent).
 
 ``trigger(availableNow=True)`` processes what is there and stops, which is
 the sensor's "run when something arrived" in batch form; a long-running
@@ -24,6 +25,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,7 +34,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.groups import release_small_tables
 from ..operators.reshape import append_batch
-from ..sources.io import write_table
+from ..sources.io import batch_path, manifest_dir, write_table
 
 
 def default_trainer(combined: DataFrame, out_path: str,
@@ -45,40 +48,68 @@ def default_trainer(combined: DataFrame, out_path: str,
     bundle["data"].unpersist()
 
 
-def make_batch_handler(base: DataFrame, out_root: str,
+def read_batch(spark: SparkSession, batches_dir: str, name: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """All part files of one batch.  Parquet brings its own columns (checked
+    against the base later); a CSV's header must agree with ``schema``."""
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    return reader.load(batch_path(batches_dir, name))
+
+
+def make_batch_handler(batches_dir: str, schema: StructType, base: DataFrame, out_root: str,
                        trainer: Callable[[DataFrame, str], None] = default_trainer,
-                       log_path: str | None = None) -> Callable[[DataFrame, int], None]:
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():                                   # ST-2
+                       log_path: str | None = None, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """Handler of a micro-batch of manifests.  ``log_path`` gets one record
+    per announced batch: ``name, status, n_rows, n_new, churn_rate``."""
+    def log(spark: SparkSession, name: str, status: str, combined: DataFrame | None = None, n_new: int = 0) -> None:
+        if not log_path:
             return
-        combined = append_batch(base, batch)                  # SET-1 (column check)
-        out = f"{out_root.rstrip('/')}/batch={batch_id}"      # ST-4
+        if combined is None:
+            record = spark.range(1).select(F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("double").alias("churn_rate"))
+        else:
+            record = combined.agg(F.count(F.lit(1)).alias("n_rows"),
+                                  F.avg(F.col("churned").cast("double")).alias("churn_rate"))
+        write_table(record.select(F.lit(name).alias("name"), F.lit(status).alias("status"), "n_rows",
+                                  F.lit(n_new).cast("long").alias("n_new"), "churn_rate"), f"{log_path}/batch={name}")
+
+    def retrain(spark: SparkSession, name: str) -> None:
         try:
-            trainer(combined, out)
-            if log_path:
-                summary = combined.agg(F.count(F.lit(1)).alias("n_rows"),
-                                       F.avg(F.col("churned").cast("double")).alias("churn_rate"))
-                write_table(summary.select(F.lit(batch_id).alias("batch_id"), "*",
-                                           F.lit(batch.count()).alias("n_new")),
-                            f"{log_path}/batch={batch_id}", mode="overwrite")
-        finally:
-            # the stream runs for days: drop this batch's small cached tables
-            release_small_tables()
+            batch = read_batch(spark, batches_dir, name, schema, fmt)
+            combined = append_batch(base, batch)                  # SET-1 (column check)
+            # every column is read once, so that a damaged file shows here and not in the middle of training
+            n_new = append_batch(base.limit(0), batch).select(F.hash(*base.columns).alias("h")) \
+                .agg(F.count("h"), F.max("h")).first()[0]
+        except ValueError as e:                                   # ST-2: columns missing
+            return log(spark, name, f"skipped: {e}")
+        except (PySparkException, Py4JError):                     # ST-2: absent or unreadable
+            return log(spark, name, "skipped: unreadable")
+        if not n_new:
+            return log(spark, name, "skipped: empty")
+        trainer(combined, f"{out_root.rstrip('/')}/batch={name}")     # ST-4
+        log(spark, name, "trained", combined, n_new)
+
+    def handle(manifests: DataFrame, _batch_id: int) -> None:
+        # one name per manifest, as many manifests as the trigger takes
+        names = [r["value"].strip() for r in manifests.select("value").distinct().orderBy("value").collect()]
+        for name in names:
+            try:
+                retrain(manifests.sparkSession, name)
+            finally:
+                # the stream runs for days: drop this batch's small cached tables
+                release_small_tables()
     return handle
 
 
 def start_retraining(spark: SparkSession, batches_dir: str, schema: StructType, base: DataFrame,
                      out_root: str, checkpoint: str, fmt: str = "parquet",
                      trainer: Callable[[DataFrame, str], None] = default_trainer,
-                     log_path: str | None = None, available_now: bool = True,
-                     files_per_batch: int = 1) -> StreamingQuery:
+                     log_path: str | None = None, available_now: bool = True) -> StreamingQuery:
     """ST-1: start the stream; ``query.awaitTermination()`` waits for it."""
-    reader = (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
-              .option("recursiveFileLookup", True))
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    writer = (reader.load(batches_dir).writeStream
-              .foreachBatch(make_batch_handler(base, out_root, trainer, log_path))
+    manifests = (spark.readStream.format("text").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+                 .load(manifest_dir(spark, batches_dir)))
+    writer = (manifests.writeStream
+              .foreachBatch(make_batch_handler(batches_dir, schema, base, out_root, trainer, log_path, fmt))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -1,39 +1,66 @@
-"""Retraining stream: two batches, an empty batch, restart from the checkpoint."""
+"""Retraining stream: whole batches, skipped batches, restart from the checkpoint."""
 
+import glob
 import tempfile
 
 from pyspark.sql import functions as F
 
-from attrix.sources.io import read_data, save_batch
+from attrix.sources.io import announce_batch, read_data, save_batch
 from attrix.streaming.retrain import start_retraining
 
 from .conftest import SF_SMALL
 
 
-def test_stream_batches_and_restart(spark):
+def test_batches_are_the_unit(spark):
     from attrix.plans.fixtures import subscribers
     run = tempfile.mkdtemp(prefix="attrix-st-")
     raw = subscribers(spark, SF_SMALL).cache()
     base = raw.where(F.col("customer_id") % 10 >= 3)
-    seen = []
+    seen = {}
 
     def trainer(combined, out):
-        seen.append((out, combined.count()))
+        seen[out] = combined.count()
+
+    def stream():
+        q = start_retraining(spark, f"{run}/batches", raw.schema, base, f"{run}/out", f"{run}/ckpt",
+                             trainer=trainer, log_path=f"{run}/log")
+        q.awaitTermination()
 
-    save_batch(raw.where(F.col("customer_id") % 10 == 1).coalesce(1), f"{run}/batches", batch_name="b1")
-    save_batch(raw.where(F.lit(False)).coalesce(1), f"{run}/batches", batch_name="b_empty")
-    q = start_retraining(spark, f"{run}/batches", raw.schema, base, f"{run}/out", f"{run}/ckpt",
-                         trainer=trainer, log_path=f"{run}/log")
-    q.awaitTermination()
+    stream()                                                # nothing announced yet
+    assert seen == {}
+    part = lambda k: raw.where(F.col("customer_id") % 10 == k)
+    path = save_batch(part(1).repartition(5), f"{run}/batches", batch_name="b1")
+    assert len(glob.glob(f"{path}/part-*")) >= 4            # several part files, one run on all of them
+    save_batch(raw.where(F.lit(False)), f"{run}/batches", batch_name="b_empty")
+    broken = save_batch(part(1).coalesce(1), f"{run}/batches", batch_name="b_broken")
+    for f in glob.glob(f"{broken}/part-*"):
+        with open(f, "r+b") as x:
+            x.write(b"not a parquet file")
+            x.seek(-20, 2)
+            x.write(b"nothing here either!")
+    save_batch(part(1).drop("age"), f"{run}/batches", batch_name="b_columns")
+    announce_batch(spark, f"{run}/batches", "b_absent")
+    stream()
     n_base = base.count()
-    assert len(seen) == 1 and seen[0][1] == n_base + raw.where(F.col("customer_id") % 10 == 1).count()
-
-    # a second batch arrives; a restarted query only processes the new file
-    save_batch(raw.where(F.col("customer_id") % 10 == 2).coalesce(1), f"{run}/batches", batch_name="b2")
-    q = start_retraining(spark, f"{run}/batches", raw.schema, base, f"{run}/out", f"{run}/ckpt",
-                         trainer=trainer, log_path=f"{run}/log")
-    q.awaitTermination()
-    assert len(seen) == 2
-    assert seen[1][1] == n_base + raw.where(F.col("customer_id") % 10 == 2).count()
-    log = read_data(spark, f"{run}/log", fmt="parquet")
-    assert log.count() == 2
+    assert seen == {f"{run}/out/batch=b1": n_base + part(1).count()}
+
+    # a further batch arrives; a restarted query only processes that one
+    save_batch(part(2).repartition(4), f"{run}/batches", batch_name="b2")
+    stream()
+    assert len(seen) == 2 and seen[f"{run}/out/batch=b2"] == n_base + part(2).count()
+    log = {r["name"]: r for r in read_data(spark, f"{run}/log", fmt="parquet").collect()}
+    assert {k: r["status"].split(":")[0] for k, r in log.items()} == {
+        "b1": "trained", "b2": "trained", "b_empty": "skipped", "b_broken": "skipped", "b_columns": "skipped",
+        "b_absent": "skipped"}
+    assert log["b1"]["n_rows"] == n_base + part(1).count() and log["b1"]["n_new"] == part(1).count()
+
+
+def test_csv_batch(spark):
+    run = tempfile.mkdtemp(prefix="attrix-st-")
+    base = spark.createDataFrame([(1, 0), (2, 1)], "customer_id long, churned long")
+    seen = []
+    save_batch(spark.range(10, 18).select(F.col("id").alias("customer_id"), F.lit(1).cast("long").alias("churned")),
+               f"{run}/batches", fmt="csv", batch_name="b1")
+    start_retraining(spark, f"{run}/batches", base.schema, base, f"{run}/out", f"{run}/ckpt", fmt="csv",
+                     trainer=lambda c, _out: seen.append(c.count())).awaitTermination()
+    assert seen == [10]
