@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..functions import dims
 from ..functions.binning import cut
 from ..functions.columns import (classify_risk, clean_feature_name, clip, equals_flag, flag,
-                                 format_fixed, format_percent, map_values, ordinal, safe_div,
+                                 format_fixed, format_percent, map_values, nan_to_null, ordinal, safe_div,
                                  target_label)
 
 
@@ -123,9 +123,9 @@ def add_high_skip(df: DataFrame, variant: str = "canonical", skip: str = "song_s
         from .quantiles import exact_quantiles
         q = exact_quantiles(df, skip, [quantile]).select(F.col("q0").alias("__thr"))
         return (df.crossJoin(F.broadcast(q))
-                  .withColumn(out, flag(F.col(skip) > F.col("__thr")))
+                  .withColumn(out, flag(nan_to_null(F.col(skip).cast("double")) > F.col("__thr")))
                   .drop("__thr"))
-    return df.withColumn(out, flag(F.col(skip) >= F.lit(float(threshold))))
+    return df.withColumn(out, flag(nan_to_null(F.col(skip).cast("double")) >= F.lit(float(threshold))))
 
 
 # -- PRJ-9..13: early-notebook engineered features -----------------------------
@@ -364,9 +364,15 @@ def align_to_schema(incoming: DataFrame, training_schema: T.StructType,
                     categorical: Sequence[str] = tuple(dims.CATEGORICAL_FEATURES),
                     target: str = dims.TARGET) -> DataFrame:
     """PRJ-32: same columns and order as training; missing -> NULL; extras
-    dropped; categorical -> text; others -> number (bad text -> NULL via
-    ``try_cast``); target -> nullable long.  Pure projection."""
+    dropped; categorical -> text; others -> number; target -> nullable long.
+    Pure projection.
+
+    A number stays the number it is: an integer column takes the training
+    type, any other numeric column is a double, and so is text, where bad text
+    and NaN are NULL (``'12.0'`` is 12, ``' 7'`` is 7, 7.5 stays 7.5 also where
+    training had integers)."""
     present = set(incoming.columns)
+    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     cols = []
     for f in training_schema.fields:
         name = f.name
@@ -385,7 +391,13 @@ def align_to_schema(incoming: DataFrame, training_schema: T.StructType,
             elif name == target:
                 expr = src.cast("string").try_cast("double").try_cast("long")
             else:
-                expr = src.cast("string").try_cast(to_type)
+                given = incoming.schema[name].dataType
+                if isinstance(given, integral):
+                    expr = src.try_cast(to_type)
+                elif isinstance(given, T.StringType):
+                    expr = nan_to_null(F.trim(src).try_cast("double"))
+                else:
+                    expr = nan_to_null(src.try_cast("double"))
         else:
             expr = F.lit(None).cast(to_type)
         cols.append(expr.alias(name))

@@ -29,14 +29,6 @@ def cache_small(df: DataFrame) -> DataFrame:
     return df
 
 
-def keep_for_reuse(df: DataFrame) -> DataFrame:
-    """Persist (memory, spilling to disk) a compact intermediate read by
-    several size checks and the final plan, so they do not each recompute it
-    from the source; a lost executor's blocks are rebuilt from lineage.
-    Registered and released like :func:`cache_small`."""
-    return cache_small(df)
-
-
 def release_small_tables() -> None:
     """Unpersist every table cached by :func:`cache_small`.  Always safe: a
     later use of such a table recomputes it from lineage."""
@@ -50,6 +42,8 @@ def attach_per_group(rows: DataFrame, per_group: DataFrame, keys: Sequence[str],
     if not keys:
         return rows.crossJoin(F.broadcast(per_group))
     per_group = cache_small(per_group)
-    if per_group.count() <= MAX_BROADCAST_GROUPS:
-        return rows.join(F.broadcast(per_group), keys, how)
-    return rows.join(per_group, keys, how)
+    side = F.broadcast(per_group) if per_group.count() <= MAX_BROADCAST_GROUPS else per_group
+    # null-safe: a NULL key is a group like any other
+    side = side.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__key_{k}`")) for k in keys]
+    return rows.join(side, same, how).drop(*[f"__key_{k}" for k in keys])

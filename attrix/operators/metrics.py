@@ -6,10 +6,9 @@ score order; a global window would put every row in one task, so:
 
 1. rows collapse to one row per (group, distinct score) with positive and
    negative counts (partial aggregation);
-2. scores are cut into ``n_buckets`` equal-width ranges per group (a range
-   holding more than ``big_bucket`` distinct scores is cut once more into
-   ``n_buckets`` sub-ranges); bucket totals (a small table) are prefix-summed
-   per group;
+2. scores are cut into ``n_buckets`` ranges of nearly equal numbers of distinct
+   scores, however they are distributed (bounds from one sketch); bucket totals
+   (a small table) are prefix-summed per group;
 3. a window partitioned by (group, bucket) finishes the prefix sums inside
    each bucket.
 """
@@ -21,10 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import attach_per_group, keep_for_reuse
+from .groups import attach_per_group
 
-N_BUCKETS = 4096
-BIG_BUCKET = 1_000_000   # distinct scores in one bucket before it is cut again
+N_BUCKETS = 1024
 
 
 def _div0(num: Column, den: Column) -> Column:
@@ -33,74 +31,76 @@ def _div0(num: Column, den: Column) -> Column:
 
 
 def score_groups(df: DataFrame, y_true: str, y_score: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    return (df.groupBy(*group_cols, F.col(y_score).cast("double").alias("s"))
+    """One row per (group, distinct score): positives and negatives.  A NULL or
+    NaN score has no place in the order, so it raises."""
+    score = F.col(y_score).cast("double")
+    checked = F.when(score.isNull() | F.isnan(score), F.raise_error(F.lit(f"{y_score} is NULL or NaN")).cast("double")) \
+        .otherwise(score)
+    return (df.groupBy(*group_cols, checked.alias("s"))
               .agg(F.sum((F.col(y_true) == 1).cast("long")).alias("pos"),
                    F.sum((F.col(y_true) == 0).cast("long")).alias("neg")))
 
 
+def _bucket(n_buckets: int) -> Column:
+    """Number of the ``bounds`` that lie above ``s`` (descending order), by
+    binary search in the sorted array."""
+    steps = max(1, n_buckets.bit_length())
+    middle = "cast((r.lo + r.hi) / 2 as int)"
+    below = F.expr(f"""aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(bounds)), (r, i) ->
+        CASE WHEN r.lo >= r.hi THEN r
+             WHEN get(bounds, {middle}) <= s THEN named_struct('lo', {middle} + 1, 'hi', r.hi)
+             ELSE named_struct('lo', r.lo, 'hi', {middle}) END, r -> r.lo)""")
+    return (F.size("bounds") - below).cast("long")
+
+
 def cumulative_by_score(df: DataFrame, y_true: str, y_score: str, group_cols: Sequence[str] = (),
-                        n_buckets: int = N_BUCKETS, with_next: bool = False,
-                        big_bucket: int = BIG_BUCKET) -> DataFrame:
+                        n_buckets: int = N_BUCKETS, with_next: bool = False) -> DataFrame:
     """Per (group, distinct score), in descending score order: pos, neg,
-    cumulative tp / fp (inclusive) and group totals P / N."""
+    cumulative tp / fp (inclusive) and group totals P / N.
+
+    One plan for every size.  Bounds that cut the distinct scores into
+    ``n_buckets`` nearly equal buckets come from one sketch (a single row,
+    broadcast).  Bucket totals (at most n_buckets rows a group) are prefix-summed;
+    each bucket then finishes alone."""
     g = list(group_cols)
-    # read by three size checks and the final windows: computed once
-    sg = keep_for_reuse(score_groups(df, y_true, y_score, g))
-    rng_aggs = [F.min("s").alias("__lo"), F.max("s").alias("__hi")]
-    rng = sg.groupBy(*g).agg(*rng_aggs) if g else sg.agg(*rng_aggs)
-    span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
-    rel = (F.col("__hi") - F.col("s")) / span * n_buckets
-    sg = (attach_per_group(sg, rng, g)
-          .withColumn("__rel", rel)
-          .withColumn("b1", F.least(F.floor("__rel"), F.lit(n_buckets - 1)).cast("long"))
-          .drop("__lo", "__hi"))
-    # a level-1 bucket holding very many distinct scores is cut again into
-    # n_buckets sub-buckets; the key b1 * n_buckets + b2 keeps score order
-    sizes = sg.groupBy(*g, "b1").agg(F.count(F.lit(1)).alias("__bn"))
-    big = sizes.where(F.col("__bn") > big_bucket).select(*g, "b1", F.lit(True).alias("__big"))
-    frac = F.least(F.greatest(F.col("__rel") - F.col("b1"), F.lit(0.0)), F.lit(1.0))
-    b2 = F.when(F.col("__big"), F.least(F.floor(frac * n_buckets), F.lit(n_buckets - 1))).otherwise(0)
-    sg = (attach_per_group(sg, big, [*g, "b1"], how="left")
-          .withColumn("b", F.col("b1") * n_buckets + b2.cast("long"))
-          .drop("__rel", "b1", "__big"))
-    totals = sg.groupBy(*g, "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    sg = score_groups(df, y_true, y_score, g)
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = sg.agg(F.coalesce(F.percentile_approx("s", probs, 8 * n_buckets), F.array().cast("array<double>")).alias("bounds"))
+    sg = sg.crossJoin(F.broadcast(bounds)).withColumn("b", _bucket(n_buckets)).drop("bounds")
+    firsts = F.max_by(F.struct("pos", "neg"), F.col("s")).alias("__f")
+    totals = sg.groupBy(*g, "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"), firsts)
     w_grp = Window.partitionBy(*g) if g else Window.partitionBy()
     w_before = w_grp.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (totals.withColumn("tp0", F.coalesce(F.sum("bp").over(w_before), F.lit(0)))
-                    .withColumn("fp0", F.coalesce(F.sum("bn").over(w_before), F.lit(0)))
-                    .withColumn("P", F.sum("bp").over(w_grp))
-                    .withColumn("N", F.sum("bn").over(w_grp))
-                    .drop("bp", "bn"))
+    starts = totals.select(
+        *[F.col(c).alias(f"__key_{c}") for c in [*g, "b"]],
+        F.coalesce(F.sum("bp").over(w_before), F.lit(0)).alias("tp0"),
+        F.coalesce(F.sum("bn").over(w_before), F.lit(0)).alias("fp0"),
+        F.sum("bp").over(w_grp).alias("P"), F.sum("bn").over(w_grp).alias("N"),
+        F.lead("__f").over(w_grp.orderBy("b")).alias("__nf"))
+    same = [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in g] + [F.col("b") == F.col("__key_b")]
     w_order = Window.partitionBy(*g, "b").orderBy(F.col("s").desc())
     w_in = w_order.rowsBetween(Window.unboundedPreceding, 0)
-    out = (attach_per_group(sg, starts, [*g, "b"])
+    out = (sg.join(starts, same).drop(*[f"__key_{c}" for c in [*g, "b"]])
            .withColumn("tp", F.col("tp0") + F.sum("pos").over(w_in))
            .withColumn("fp", F.col("fp0") + F.sum("neg").over(w_in)))
     if with_next:
         # the next score group (in descending order): inside the bucket by
         # ``lead``; for a bucket's last row, the first row of the next bucket
-        firsts = (sg.groupBy(*g, "b")
-                    .agg(F.max_by(F.struct("pos", "neg"), F.col("s")).alias("__f")))
-        w_b = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("b")
-        nxt = firsts.select(*g, "b", F.lead("__f").over(w_b).alias("__nf"))
-        out = (attach_per_group(out, nxt, [*g, "b"])
-               .withColumn("next_pos", F.coalesce(F.lead("pos").over(w_order), F.col("__nf.pos")))
+        out = (out.withColumn("next_pos", F.coalesce(F.lead("pos").over(w_order), F.col("__nf.pos")))
                .withColumn("next_neg", F.coalesce(F.lead("neg").over(w_order), F.col("__nf.neg")))
-               .withColumn("is_first", (F.col("tp") - F.col("pos") == 0) & (F.col("fp") - F.col("neg") == 0))
-               .drop("__nf"))
-    return out.drop("tp0", "fp0", "b")
+               .withColumn("is_first", (F.col("tp") - F.col("pos") == 0) & (F.col("fp") - F.col("neg") == 0)))
+    return out.drop("tp0", "fp0", "b", "__nf")
 
 
 def roc_curve(df: DataFrame, y_true: str = "y_true", y_score: str = "p_churn",
               group_cols: Sequence[str] = (), n_buckets: int = N_BUCKETS,
-              drop_intermediate: bool = False, big_bucket: int = BIG_BUCKET) -> DataFrame:
+              drop_intermediate: bool = False) -> DataFrame:
     """ML-14: (group…, fpr, tpr, threshold) for every distinct score, plus the
     (0, 0, +inf) start point.  ``drop_intermediate`` drops a point whose
     next score group adds the same (positives, negatives) as its own — a
     collinear point, the library default; first and last points stay."""
     g = list(group_cols)
-    c = cumulative_by_score(df, y_true, y_score, g, n_buckets, with_next=drop_intermediate,
-                            big_bucket=big_bucket)
+    c = cumulative_by_score(df, y_true, y_score, g, n_buckets, with_next=drop_intermediate)
     if drop_intermediate:
         last = F.col("next_pos").isNull()
         same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
@@ -114,12 +114,11 @@ def roc_curve(df: DataFrame, y_true: str = "y_true", y_score: str = "p_churn",
 
 
 def roc_auc(df: DataFrame, y_true: str = "y_true", y_score: str = "p_churn",
-            group_cols: Sequence[str] = (), n_buckets: int = N_BUCKETS,
-            big_bucket: int = BIG_BUCKET) -> DataFrame:
+            group_cols: Sequence[str] = (), n_buckets: int = N_BUCKETS) -> DataFrame:
     """ML-15: area under the ROC curve with ties counted half (trapezoid),
     one row per group; NULL when a group has one class only."""
     g = list(group_cols)
-    c = cumulative_by_score(df, y_true, y_score, g, n_buckets, big_bucket=big_bucket)
+    c = cumulative_by_score(df, y_true, y_score, g, n_buckets)
     part = F.col("neg").cast("double") * (F.col("tp").cast("double") - F.col("pos").cast("double") / 2.0)
     aggs = [F.sum(part).alias("__a"), F.max("P").alias("__P"), F.max("N").alias("__N")]
     out = c.groupBy(*g).agg(*aggs) if g else c.agg(*aggs)
@@ -147,7 +146,12 @@ def classification_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str =
                      _div0(2 * tp, 2 * tp + fp + fn).alias("f1"))
     if y_score is not None:
         auc = roc_auc(df, y_true, y_score, g)
-        out = out.join(auc, g, "left") if g else out.crossJoin(auc)
+        if g:
+            auc = auc.withColumnsRenamed({c: f"__key_{c}" for c in g})
+            out = out.join(auc, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in g], "left") \
+                .drop(*[f"__key_{c}" for c in g])
+        else:
+            out = out.crossJoin(auc)
     if model_name is not None:
         out = out.select(F.lit(model_name).alias("model"), *out.columns)
     return out
@@ -163,7 +167,8 @@ def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pre
                      normalize: bool = True, labels: Sequence[int] = (0, 1),
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """ML-13: one row per true label (every label present), columns
-    ``pred_<label>`` with counts or percent of the row total."""
+    ``pred_<label>`` with counts or percent of the row total (0 for a label
+    that doesn't occur)."""
     g = list(group_cols)
     spark = df.sparkSession
     aggs = [F.sum((F.col(y_pred) == F.lit(lab)).cast("long")).alias(f"pred_{lab}") for lab in labels]
@@ -176,7 +181,7 @@ def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pre
     full = full.select(*g, F.col("label").cast("long").alias("label"), *cols)
     if normalize:
         total = sum((F.col(f"pred_{lab}") for lab in labels), F.lit(0))
-        full = full.select(*g, "label", *[(F.try_divide(F.col(f"pred_{lab}") * 100.0, total))
+        full = full.select(*g, "label", *[F.coalesce(F.try_divide(F.col(f"pred_{lab}") * 100.0, total), F.lit(0.0))
                                           .alias(f"pred_{lab}") for lab in labels])
     return full.orderBy(*g, "label")
 

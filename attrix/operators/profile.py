@@ -251,7 +251,7 @@ def outliers_iqr(df: DataFrame, numeric_cols: Sequence[str], iqr_factor: float =
     return (counted.withColumn("iqr", F.col("q3") - F.col("q1"))
                    .withColumn("lower_bound", F.col("q1") - F.lit(iqr_factor) * F.col("iqr"))
                    .withColumn("upper_bound", F.col("q3") + F.lit(iqr_factor) * F.col("iqr"))
-                   .withColumn("pct_outliers", F.round(F.col("n_outliers") * 100.0 / F.col("__n"), 2))
+                   .withColumn("pct_outliers", half_even(F.col("n_outliers") * 100.0 / F.col("__n"), 2))
                    .select("column", "q1", "q3", "iqr", "lower_bound", "upper_bound", "n_outliers",
                            "pct_outliers")
                    .orderBy(F.col("pct_outliers").desc(), "column"))
@@ -288,22 +288,24 @@ def boxplot_stats(df: DataFrame, value: str, group_col: str, whisker: float = 1.
 
 # -- AGG-19/20: missing values and overview ------------------------------------------------------
 
+def _is_missing(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
 def missing_values(df: DataFrame) -> DataFrame:
     """AGG-19 ``check_missing_values``: one pass counting nulls of every
     column (NaN counts as missing), unpivoted to (column, n, %)."""
-    def is_missing(f: T.StructField) -> Column:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return c.isNull() | F.isnan(c)
-        return c.isNull()
     counts = df.agg(F.count(F.lit(1)).alias("__rows"),
-                    *[F.sum(is_missing(f).cast("long")).alias(f"m{i}")
+                    *[F.sum(_is_missing(f).cast("long")).alias(f"m{i}")
                       for i, f in enumerate(df.schema.fields)])
     entries = [F.struct(F.lit(f.name).alias("column"), F.col(f"m{i}").alias("n_missing"))
                for i, f in enumerate(df.schema.fields)]
     return (counts.select("__rows", F.explode(F.array(*entries)).alias("e"))
             .select("e.column", F.coalesce("e.n_missing", F.lit(0)).cast("long").alias("n_missing"),
-                    F.round(F.try_divide(F.col("e.n_missing") * 100.0, F.col("__rows")), 2)
+                    half_even(F.try_divide(F.col("e.n_missing") * 100.0, F.col("__rows")), 2)
                     .alias("pct_missing"))
             .orderBy(F.col("pct_missing").desc_nulls_last(), "column"))
 
@@ -312,7 +314,7 @@ def basic_overview(df: DataFrame, target: str = dims.TARGET) -> DataFrame:
     """AGG-20: one row: rows, columns, total nulls, churn rate (if the target
     exists) and the column types as text."""
     aggs = [F.count(F.lit(1)).alias("n_rows"),
-            sum((F.sum(F.col(f"`{c}`").isNull().cast("long")) for c in df.columns),
+            sum((F.sum(_is_missing(f).cast("long")) for f in df.schema.fields),
                 F.lit(0)).alias("n_nulls")]
     if target in df.columns:
         aggs.append(_rate(target).alias("churn_rate"))
@@ -350,7 +352,7 @@ def histogram_by_group(df: DataFrame, value: str, group_col: str, nbins: int = 3
 def kde_by_group(df: DataFrame, value: str, group_col: str, grid_points: int = 200,
                  fine_bins: int = 2048) -> DataFrame:
     """AGG-24: Gaussian kernel density per group at ``grid_points`` points,
-    Scott bandwidth ``1.06 * std * n^(-1/5)``.
+    Scott's factor as the plotting library uses it: ``std * n^(-1/5)``.
 
     Binned KDE: values are first counted into ``fine_bins`` equal-width bins
     (one aggregate), then the kernel is summed over the bin centres.  The
@@ -370,7 +372,7 @@ def kde_by_group(df: DataFrame, value: str, group_col: str, grid_points: int = 2
     grid = (rng.select(F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("gi"),
                        "__lo", span.alias("__span"))
             .select("gi", (F.col("__lo") + F.col("gi") * F.col("__span") / (grid_points - 1)).alias("x")))
-    bw = F.lit(1.06) * F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
+    bw = F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
     z = (F.col("x") - F.col("centre")) / F.col("__bw")
     return (binned.join(stats.withColumn("__bw", bw), group_col)
             .where(F.col("__bw") > 0)

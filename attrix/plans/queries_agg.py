@@ -268,7 +268,7 @@ def agg_18(spark, sf):
 def _missing_sql(cols):
     parts = [f"SELECT '{c}' AS column, CAST(sum(CASE WHEN {c} IS NULL "
              f"{'OR isnan(' + c + ')' if dbl else ''} THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
-             f"round(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100.0 / count(*), 2) AS pct_missing "
+             f"round_even(sum(CASE WHEN {c} IS NULL {'OR isnan(' + c + ')' if dbl else ''} THEN 1 ELSE 0 END) * 100.0 / count(*), 2) AS pct_missing "
              f"FROM model_ready" for c, dbl in cols]
     return "\nUNION ALL\n".join(parts)
 
@@ -303,7 +303,7 @@ SELECT '{c}' AS column, q1, q3, q3 - q1 AS iqr, q1 - 1.5::DOUBLE * (q3 - q1) AS
        q3 + 1.5::DOUBLE * (q3 - q1) AS upper_bound,
        (SELECT count(*) FROM subscribers s WHERE s.{c} IS NOT NULL AND
           (CAST(s.{c} AS DOUBLE) < q1 - 1.5::DOUBLE * (q3 - q1) OR CAST(s.{c} AS DOUBLE) > q3 + 1.5::DOUBLE * (q3 - q1))) AS n_outliers,
-       round((SELECT count(*) FROM subscribers s WHERE s.{c} IS NOT NULL AND
+       round_even((SELECT count(*) FROM subscribers s WHERE s.{c} IS NOT NULL AND
           (CAST(s.{c} AS DOUBLE) < q1 - 1.5::DOUBLE * (q3 - q1) OR CAST(s.{c} AS DOUBLE) > q3 + 1.5::DOUBLE * (q3 - q1))) * 100.0
           / (SELECT count({c}) FROM subscribers), 2) AS pct_outliers
 FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3
@@ -398,7 +398,7 @@ SELECT bc.g AS churned, round(grid.x, 6) AS x,
 FROM (SELECT g, cnt, lo + (fb + 0.5) * span / 2048 AS centre FROM (
         SELECT g, least(floor((v - lo) / span * 2048), 2047) AS fb, lo, span, count(*) AS cnt
         FROM base, r2 GROUP BY 1, 2, 3, 4)) bc
-JOIN (SELECT g, n, 1.06 * sd * pow(n, -0.2) AS bw FROM (
+JOIN (SELECT g, n, sd * pow(n, -0.2) AS bw FROM (
         SELECT g, count(*) AS n, stddev_samp(v) AS sd FROM base GROUP BY g)) bw USING (g),
      (SELECT gi, lo + gi * span / 99 AS x FROM r2, range(100) t(gi)) grid
 WHERE bw.bw > 0

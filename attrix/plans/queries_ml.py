@@ -137,8 +137,8 @@ def ml_roc(spark, sf):
 
 @register("ml_confusion", with_ctes("""
 SELECT CAST(l.label AS BIGINT) AS label,
-  round(coalesce(c.p0, 0) * 100.0 / nullif(coalesce(c.p0, 0) + coalesce(c.p1, 0), 0), 6) AS pred_0,
-  round(coalesce(c.p1, 0) * 100.0 / nullif(coalesce(c.p0, 0) + coalesce(c.p1, 0), 0), 6) AS pred_1
+  round(coalesce(coalesce(c.p0, 0) * 100.0 / nullif(coalesce(c.p0, 0) + coalesce(c.p1, 0), 0), 0), 6) AS pred_0,
+  round(coalesce(coalesce(c.p1, 0) * 100.0 / nullif(coalesce(c.p0, 0) + coalesce(c.p1, 0), 0), 0), 6) AS pred_1
 FROM (VALUES (0), (1)) l(label) LEFT JOIN (
   SELECT y_true, sum(CASE WHEN y_pred = 0 THEN 1 ELSE 0 END) AS p0, sum(CASE WHEN y_pred = 1 THEN 1 ELSE 0 END) AS p1
   FROM signal_scores GROUP BY y_true) c ON c.y_true = l.label""", "signal_scores"))

@@ -351,19 +351,25 @@ def job_1(spark, sf):
 
 def incoming(spark, sf):
     """Incoming customers — no target, one extra column, one missing
-    column, one numeric column as text with a bad value."""
+    column, an integer column as text (a bad value, ``12.0``, ``  7``, ``7.5``)
+    and another as double with fractions."""
     k = F.col("customer_id")
     return (_subs(spark, sf).drop("churned", "num_favorite_artists")
             .withColumn("extra_col", F.lit(1))
             .withColumn("weekly_unique_songs",
-                        F.when(k % 13 == 0, F.lit("x1")).otherwise(F.col("weekly_unique_songs").cast("string"))))
+                        F.when(k % 13 == 0, F.lit("x1")).otherwise(F.concat(
+                            F.when(k % 13 == 2, F.lit("  ")).otherwise(F.lit("")),
+                            F.col("weekly_unique_songs").cast("string"),
+                            F.when(k % 13 == 1, F.lit(".0")).when(k % 13 == 3, F.lit(".5")).otherwise(F.lit("")))))
+            .withColumn("num_shared_playlists", F.col("num_shared_playlists") + F.when(k % 7 == 0, F.lit(0.5)).otherwise(F.lit(0.0))))
 
 
 _ALIGN_SQL = with_ctes(f"""
 SELECT {", ".join(
     "CAST(NULL AS BIGINT) AS churned" if c == "churned" else
     "CAST(NULL AS BIGINT) AS num_favorite_artists" if c == "num_favorite_artists" else
-    "TRY_CAST(CASE WHEN customer_id % 13 = 0 THEN 'x1' ELSE CAST(weekly_unique_songs AS VARCHAR) END AS BIGINT) AS weekly_unique_songs" if c == "weekly_unique_songs" else
+    "CASE customer_id % 13 WHEN 0 THEN NULL WHEN 3 THEN weekly_unique_songs + 0.5::DOUBLE ELSE CAST(weekly_unique_songs AS DOUBLE) END AS weekly_unique_songs" if c == "weekly_unique_songs" else
+    "CAST(num_shared_playlists AS DOUBLE) + CASE WHEN customer_id % 7 = 0 THEN 0.5 ELSE 0.0 END AS num_shared_playlists" if c == "num_shared_playlists" else
     f"round({c}, 6) AS {c}" if c in ("tenure_months", "songs_per_hour") else c
     for c in MR_COLS)}
 FROM model_ready""", "model_ready")

@@ -48,11 +48,19 @@ def get_spark(app_name: str = "attrix", cpus: int | str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (a local test session) a scratch folder is created and registered.
+    A folder set on the context, or else ``spark.checkpoint.dir``, is used as
+    it is.  Only a local session (tests) without either gets a scratch folder;
+    on a cluster a missing setting raises, as a machine-local folder would not
+    be shared.
     """
+    held = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if held:
+        # Spark appends a folder of its own to the one that was set
+        return configured or held
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="attrix-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)

@@ -12,7 +12,10 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StructType
+
+from ..functions.columns import nan_to_null
 
 TEST_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -59,6 +62,10 @@ def read_data(spark: SparkSession, path: str, fmt: str = "csv",
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(f"file not found: {path}") from exc
         raise
+    # NaN is a missing value, as in the reference's reader
+    floats = {f.name: nan_to_null(F.col(f"`{f.name}`")).cast(f.dataType) for f in df.schema.fields
+              if isinstance(f.dataType, (DoubleType, FloatType))}
+    df = df.withColumns(floats) if floats else df
     return df.limit(nrows) if nrows is not None else df
 
 

@@ -157,3 +157,43 @@ def test_clean_feature_names(spark):
     df = spark.createDataFrame([("num__weekly_hours",), ("cat__subscription_type_Free",)], "feature string")
     got = [r.feature_clean for r in fe.add_clean_feature_name(df).collect()]
     assert got == ["weekly hours", "subscription type Free"]
+
+
+def test_attach_scalars_needs_one_row(spark):
+    from attrix.operators.joins import attach_scalars
+    rows = spark.range(3)
+    assert attach_scalars(rows, spark.range(5, 6).toDF("x")).count() == 3
+    for n in (0, 2):
+        with pytest.raises(Exception, match="exactly one row"):
+            attach_scalars(rows, spark.range(n).toDF("x")).collect()
+
+
+def test_large_dictionary_joins(spark):
+    from attrix.operators.joins import dimension, lookup_join
+    dim = dimension(spark, {str(i): str(-i) for i in range(120_000)}, "k", "v")
+    got = lookup_join(spark.createDataFrame([("7",), ("x",)], "k string"), dim, "k").collect()
+    assert {r["k"]: r["v"] for r in got} == {"7": "-7", "x": None}
+
+
+def test_align_keeps_numbers(spark):
+    train = spark.createDataFrame([(1, 2, 3)], "a long, b long, c long").schema
+    got = spark.createDataFrame([(12.0, "12.0", 5), (7.5, " 7", 6), (float("nan"), "x1", None)],
+                                "a double, b string, c int")
+    out = fe.align_to_schema(got, train)
+    assert [tuple(r) for r in out.collect()] == [(12.0, 12.0, 5), (7.5, 7.0, 6), (None, None, None)]
+
+
+def test_nan_is_missing(spark, tmp_path):
+    from attrix.sources.io import read_data
+    with open(tmp_path / "x.csv", "w") as f:
+        f.write("song_skip_rate,n\nNaN,1\n0.9,2\n")
+    df = read_data(spark, str(tmp_path / "x.csv"))
+    assert [r[0] for r in df.collect()] == [None, 0.9]
+    raw = spark.createDataFrame([(float("nan"),), (0.9,)], "song_skip_rate double")
+    assert [r["high_skip_user"] for r in fe.add_high_skip(raw).collect()] == [0, 1]
+    assert pr.basic_overview(raw, "none").first()["n_nulls"] == 1
+
+
+def test_missing_percent_is_half_even(spark):
+    df = spark.range(800).select(F.when(F.col("id") > 0, F.col("id")).alias("x"))
+    assert pr.missing_values(df).first()["pct_missing"] == 0.12

@@ -70,8 +70,29 @@ def test_auc_matches_rank_formula(spark):
     pos, neg = s[y == 1], s[y == 0]
     want = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert abs(me.roc_auc(df, n_buckets=7).first().roc_auc - want) < 1e-12
-    # concentrated scores: level-1 buckets over the threshold are cut again
-    assert abs(me.roc_auc(df, n_buckets=3, big_bucket=5).first().roc_auc - want) < 1e-12
+    # concentrated scores with far outliers, continuous, more buckets than scores
+    s2 = np.r_[rng.random(480) * 1e-6, 1e9, -1e9, rng.normal(size=18)]
+    df2 = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s2)], "y_true int, p_churn double")
+    p2, n2 = s2[y == 1], s2[y == 0]
+    want2 = ((p2[:, None] > n2[None, :]).sum() + 0.5 * (p2[:, None] == n2[None, :]).sum()) / (len(p2) * len(n2))
+    for n in (2, 16, 1024):
+        assert abs(me.roc_auc(df2, n_buckets=n).first().roc_auc - want2) < 1e-12
+
+
+def test_auc_rejects_missing_scores_and_keeps_null_groups(spark):
+    df = spark.createDataFrame([("a", 0, 0.1), ("a", 1, 0.9), (None, 0, 0.8), (None, 1, 0.3)],
+                               "model string, y_true int, p_churn double")
+    got = {r["model"]: r["roc_auc"] for r in me.classification_metrics(
+        df.withColumn("y_pred", F.lit(1)), group_cols=["model"]).collect()}
+    assert got == {"a": 1.0, None: 0.0}
+    for bad in (None, float("nan")):
+        with pytest.raises(Exception, match="NULL or NaN"):
+            me.roc_auc(spark.createDataFrame([(0, 0.1), (1, bad)], "y_true int, p_churn double")).collect()
+
+
+def test_confusion_of_an_absent_class_is_zero(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1)], "y_true int, y_pred int")
+    assert [tuple(r) for r in me.confusion_matrix(df).collect()] == [(0, 50.0, 50.0), (1, 0.0, 0.0)]
 
 
 def test_no_positive_predictions(spark):
@@ -143,7 +164,7 @@ def test_roc_drop_intermediate_vs_numpy(spark):
     y = rng.integers(0, 2, 400)
     s = np.round(rng.random(400) * 10) / 10
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y_true int, p_churn double")
-    got = me.roc_curve(df, n_buckets=3, drop_intermediate=True, big_bucket=4).toPandas()
+    got = me.roc_curve(df, n_buckets=3, drop_intermediate=True).toPandas()
     thr = np.sort(np.unique(s))[::-1]
     tps = np.array([((s >= t) & (y == 1)).sum() for t in thr])
     fps = np.array([((s >= t) & (y == 0)).sum() for t in thr])
