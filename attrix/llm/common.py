@@ -72,7 +72,7 @@ def replaced(columns: list[tuple[str, str]], source: str, text: Column, text_col
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` text bytes."""
     start, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()):
         if held and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
