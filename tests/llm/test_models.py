@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -23,7 +24,7 @@ def docs(spark):
 
 # ---- 2 ------------------------------------------------------------------------
 def paragraphs(t):
-    return set(t.split("\n"))
+    return set(re.split(r"\n|(?<=[.!?]) ", t))
 
 
 def jaccard(a, b):
