@@ -47,6 +47,11 @@ def half_even(c: str | Column, digits: int) -> Column:
     return F.bround(col_of(c), digits)
 
 
+def logspace(start: float, stop: float, num: int) -> list[float]:
+    """``num`` values from 10**start to 10**stop, evenly spaced in the exponent."""
+    return [10.0 ** (start + (stop - start) * i / max(1, num - 1)) for i in range(num)]
+
+
 def clip(c: str | Column, lower=None, upper=None) -> Column:
     """pandas ``clip``: NULL stays NULL (``greatest(NULL, 1)`` would be 1)."""
     c = col_of(c)
@@ -156,8 +161,3 @@ def none_text_to_null(c: str | Column) -> Column:
     c = col_of(c)
     t = F.lower(F.trim(c.cast("string")))
     return F.when(t.isin("none", "nan", "null", ""), F.lit(None)).otherwise(c)
-
-
-def pretty_label(name: str) -> str:
-    """Display label for one column name (driver-side string helper)."""
-    return dims.DISPLAY_LABELS.get(name, name.replace("_", " ").capitalize())

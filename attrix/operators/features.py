@@ -309,14 +309,6 @@ def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in cols if c in df.columns])
 
 
-def split_features_target(df: DataFrame, target: str = dims.TARGET,
-                          helper_cols: Sequence[str] = ("y_true", "y_pred", "p_churn", "customer_id")):
-    """PRJ-27: (feature table, target column name) without helper columns.
-    The id is always dropped (N17)."""
-    working = drop_columns(df, helper_cols)
-    return working.drop(target), target
-
-
 def split_column_types(df: DataFrame, categorical: Sequence[str] | None = None):
     """PRJ-28: (numeric, categorical) column lists, by name list or by type."""
     if categorical is not None:

@@ -30,18 +30,19 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dims
-from ..functions.columns import clean_feature_name
+from ..functions.columns import clean_feature_name, logspace
 from . import metrics as me
 from .profile import default_profile
 
+MAX_TREE_DEPTH = 30
+BALANCED_COL = "__balanced"
 HELPER_COLS = ("y_true", "y_pred", "p_churn", "customer_id")
 
 
@@ -97,32 +98,37 @@ def _sql_literal(v: Any) -> str:
     return repr(float(v))
 
 
+def _scaling(train: DataFrame, filled: Mapping[str, str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation (N10) of each filled column; a constant
+    column keeps scale 1.  One aggregate, one row."""
+    if not filled:
+        return {}
+    aggs = [x for i, e in enumerate(filled.values()) for x in
+            (F.avg(F.expr(e)).alias(f"m{i}"), F.stddev_pop(F.expr(e)).alias(f"s{i}"))]
+    row = train.agg(*aggs).first()
+    return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(filled)}
+
+
 def build_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                        scale: bool = False, features_col: str = "features") -> list:
-    """ML-5: stages [fill, index, one-hot, assemble (, scale)]."""
+    """ML-5: stages [fill (and standardise), index, one-hot, assemble]."""
     fills = _fill_map(train, numeric, categorical)
-    exprs = [f"CAST(coalesce(CAST(`{c}` AS DOUBLE), {_sql_literal(fills[c])}) AS DOUBLE) AS `num__{c}`"
-             for c in numeric]
+    filled = {c: f"CAST(coalesce(CAST(`{c}` AS DOUBLE), {_sql_literal(fills[c])}) AS DOUBLE)" for c in numeric}
+    if scale:
+        scaling = _scaling(train, filled)
+        filled = {c: f"(({e}) - {_sql_literal(scaling[c][0])}) / {_sql_literal(scaling[c][1])}" for c, e in filled.items()}
+    exprs = [f"CAST({e} AS DOUBLE) AS `num__{c}`" for c, e in filled.items()]
     exprs += [f"coalesce(CAST(`{c}` AS STRING), {_sql_literal(fills[c])}) AS `__txt__{c}`"
               for c in categorical]
     stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
-    num_cols = [f"num__{c}" for c in numeric]
     if categorical:
         stages.append(StringIndexer(inputCols=[f"__txt__{c}" for c in categorical],
                                     outputCols=[f"__idx__{c}" for c in categorical],
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=[f"__idx__{c}" for c in categorical],
                                     outputCols=[f"cat__{c}" for c in categorical], dropLast=True))
-    cat_cols = [f"cat__{c}" for c in categorical]
-    if scale:
-        stages.append(VectorAssembler(inputCols=num_cols, outputCol="__num_vec", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="__num_vec", outputCol="__num_scaled",
-                                     withMean=True, withStd=True))
-        stages.append(VectorAssembler(inputCols=["__num_scaled", *cat_cols], outputCol=features_col,
-                                      handleInvalid="keep"))
-    else:
-        stages.append(VectorAssembler(inputCols=[*num_cols, *cat_cols], outputCol=features_col,
-                                      handleInvalid="keep"))
+    stages.append(VectorAssembler(inputCols=[*[f"num__{c}" for c in numeric], *[f"cat__{c}" for c in categorical]],
+                                  outputCol=features_col, handleInvalid="keep"))
     return stages
 
 
@@ -132,19 +138,21 @@ def feature_names(scored: DataFrame, features_col: str = "features") -> list[str
     slots = []
     for kind in attrs.values():
         slots.extend(kind)
-    names = [a["name"] for a in sorted(slots, key=lambda a: a["idx"])]
-    return [n.replace("__num_scaled_", "num__") for n in names]
+    return [a["name"] for a in sorted(slots, key=lambda a: a["idx"])]
 
 
 # -- ML-6..9: classifiers ---------------------------------------------------------------------
 
 def random_forest(params: Mapping[str, Any] | None = None, label: str = dims.TARGET,
                   weight_col: str | None = None) -> RandomForestClassifier:
-    """ML-6 with the original's defaults mapped to Spark parameters."""
+    """ML-6 with the original's defaults mapped to Spark parameters.  Spark's
+    trees end at depth 30: no limit (``None``) means 30, a larger one raises."""
     p = dict(dims.DEFAULT_RF_PARAMS, **(params or {}))
     max_depth = p.get("max_depth")
+    if max_depth is not None and int(max_depth) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {max_depth}: Spark's trees end at depth {MAX_TREE_DEPTH}")
     kw = dict(labelCol=label, featuresCol="features", numTrees=int(p["n_estimators"]),
-              maxDepth=30 if max_depth is None else min(int(max_depth), 30),
+              maxDepth=MAX_TREE_DEPTH if max_depth is None else int(max_depth),
               minInstancesPerNode=int(p.get("min_samples_leaf") or 1),
               featureSubsetStrategy="all" if p.get("max_features") in (None, 1.0) else str(p["max_features"]),
               seed=int(p.get("random_state") or 42),
@@ -156,11 +164,12 @@ def random_forest(params: Mapping[str, Any] | None = None, label: str = dims.TAR
     return RandomForestClassifier(**kw)
 
 
-def logistic_regression(C: float = 1.0, n_rows: int | None = None, label: str = dims.TARGET,
+def logistic_regression(C: float, n_rows: int, label: str = dims.TARGET,
                         weight_col: str | None = None, max_iter: int = 3000) -> LogisticRegression:
     """ML-7: L2 penalty ``1 / C`` on the summed loss = ``regParam = 1 / (C n)``
-    on Spark's averaged loss; features are already scaled."""
-    reg = 1.0 / (C * n_rows) if n_rows else 1.0 / C
+    on Spark's averaged loss, so the number of training rows is needed;
+    features are already scaled."""
+    reg = 1.0 / (C * n_rows)
     kw = dict(labelCol=label, featuresCol="features", regParam=reg, elasticNetParam=0.0,
               standardization=False, maxIter=max_iter)
     if weight_col:
@@ -175,15 +184,13 @@ def decision_tree(max_depth: int = 4, min_samples_leaf: int = 1, label: str = di
                                   minInstancesPerNode=min_samples_leaf, seed=seed)
 
 
-def dense_network(n_features: int, hidden: Sequence[int] = (128, 64), learning_rate: float = 0.001,
-                  batch_size: int = 32, epochs: int = 20, label: str = dims.TARGET,
-                  seed: int = 42) -> MultilayerPerceptronClassifier:
+def dense_network(n_features: int, hidden: Sequence[int] = (128, 64), batch_size: int = 32, epochs: int = 20,
+                  label: str = dims.TARGET, seed: int = 42) -> MultilayerPerceptronClassifier:
     """ML-9 (re-aimed): Spark's multilayer perceptron, layers
-    [n_features, *hidden, 2]; sigmoid hidden units, softmax output."""
-    return MultilayerPerceptronClassifier(labelCol=label, featuresCol="features",
-                                          layers=[n_features, *hidden, 2], stepSize=learning_rate,
-                                          blockSize=batch_size, maxIter=epochs, seed=seed,
-                                          solver="l-bfgs")
+    [n_features, *hidden, 2]; sigmoid hidden units, softmax output.  It is fitted
+    by l-bfgs, which has no learning rate and no dropout."""
+    return MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", layers=[n_features, *hidden, 2],
+                                          blockSize=batch_size, maxIter=epochs, seed=seed, solver="l-bfgs")
 
 
 # -- ML-11, 22: scoring -----------------------------------------------------------------------------
@@ -223,6 +230,17 @@ def training_history(spark: SparkSession, history: Sequence[float]) -> DataFrame
 
 # -- ML-10: random search ------------------------------------------------------------------------------
 
+# FIXED VALUES: search spaces and numbers of draws of the original
+SEARCH_SPACES: dict[str, dict[str, list]] = {
+    "Random Forest": {"n_estimators": [100, 200, 300, 400], "max_depth": [5, 8, 12, 16, None],
+                      "min_samples_leaf": [1, 2, 5, 10], "max_features": ["sqrt", "log2", None],
+                      "class_weight": [None, "balanced"]},
+    "Logistic Regression": {"C": logspace(-3, 2, 12), "class_weight": [None, "balanced"]},
+    "DNN": {"hidden": [(32,), (64, 32), (128, 64)], "batch_size": [32, 64], "epochs": [20, 30]},
+}
+SEARCH_DRAWS = {"Random Forest": 20, "Logistic Regression": 10, "DNN": 10}
+
+
 def draw_params(grid: Mapping[str, Sequence[Any]], n_iter: int, seed: int = 42) -> list[dict]:
     """Seeded draw of ``n_iter`` distinct combinations from a parameter grid."""
     keys = sorted(grid)
@@ -233,34 +251,78 @@ def draw_params(grid: Mapping[str, Sequence[Any]], n_iter: int, seed: int = 42)
     return rng.sample(combos, min(n_iter, len(combos)))
 
 
-def random_search(train: DataFrame, estimator, stages: list, grid: Mapping[str, Sequence[Any]],
-                  n_iter: int = 10, folds: int = 5, seed: int = 42, target: str = dims.TARGET,
-                  id_col: str = "customer_id", parallelism: int = 2):
-    """ML-10: seeded draw from the grid, AUC-scored stratified k-fold CV
-    (exact fold column), refit on the best draw.
-
-    The preprocessing stages carry fixed fill values and category lists, so
-    they are fitted once on the training part and the feature vectors are
-    kept (recomputable); only the classifier is cross-validated.  Returns
-    (fitted PipelineModel of preprocessing + best classifier, table of
-    (draw, params, mean AUC), best draw as a dict)."""
+def classifier(family: str, params: Mapping[str, Any], n_rows: int, n_features: int, label: str = dims.TARGET,
+               **fixed):
+    """A classifier of a family with one draw of its search space; a draw with
+    ``class_weight='balanced'`` trains with the rows' weights (ML-24)."""
+    p = dict(params)
+    weight = BALANCED_COL if p.pop("class_weight", None) == "balanced" else None
+    if family == "Random Forest":
+        return random_forest(p, label=label, weight_col=weight, **fixed)
+    if family == "Logistic Regression":
+        return logistic_regression(n_rows=n_rows, label=label, weight_col=weight, **p, **fixed)
+    return dense_network(n_features, label=label, **p, **fixed)
+
+
+def _prepared(train: DataFrame, others: Sequence[DataFrame], scale: bool, target: str):
+    """Preprocessing fitted on ``train`` alone, applied to all; train gets
+    balanced row weights.  Returns the stages, the tables, rows, features."""
+    nums, cats = feature_columns(train, target)
+    cats = [c for c in cats if not c.startswith("__")]
+    nums = [c for c in nums if not c.startswith("__")]
+    prep = Pipeline(stages=build_preprocessor(train, nums, cats, scale=scale)).fit(train)
+    cols = ["features", F.col(target).cast("double").alias(target)]
+    weighted = me.class_weights(prep.transform(train).select(*cols), target, BALANCED_COL).persist()
+    tables = [weighted, *[prep.transform(x).select(*cols).persist() for x in others]]
+    width = len(feature_names(prep.transform(train.limit(0))))
+    return prep, tables, weighted.count(), width
+
+
+def prepared_folds(train: DataFrame, folds: int = 5, seed: int = 42, target: str = dims.TARGET,
+                   id_col: str = "customer_id", scale: bool = True) -> list[tuple]:
+    """Per fold, and last for the whole table: fitted preprocessing, cached
+    tables (training rows, held-out rows), row and feature counts.  Searches of
+    several families can share them (trees don't depend on the scaling)."""
     from .split import stratified_folds
-    with_folds = stratified_folds(train, target, id_col, folds, seed, fold_col="__fold")
-    prep = Pipeline(stages=stages).fit(with_folds)
-    features = (prep.transform(with_folds)
-                .select("features", F.col(target).cast("double").alias(target), "__fold").cache())
-    draws = draw_params(grid, n_iter, seed)
-    maps = [{getattr(estimator, k): v for k, v in d.items()} for d in draws]
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps,
-                        evaluator=BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC"),
-                        foldCol="__fold", parallelism=parallelism, seed=seed)
-    cv_model = cv.fit(features)
-    best_i = max(range(len(cv_model.avgMetrics)), key=lambda i: cv_model.avgMetrics[i])
-    model = PipelineModel(stages=[*prep.stages, cv_model.bestModel])
-    spark = train.sparkSession
-    table = spark.createDataFrame([(i, str(d), float(m)) for i, (d, m) in enumerate(zip(draws, cv_model.avgMetrics))],
-                                  "draw int, params string, mean_auc double")
-    return model, table.orderBy(F.col("mean_auc").desc(), "draw"), draws[best_i]
+    with_folds = stratified_folds(train, target, id_col, folds, seed, fold_col="__fold").persist()
+    parts = [(with_folds.where(F.col("__fold") != k), [with_folds.where(F.col("__fold") == k)]) for k in range(folds)]
+    out = [_prepared(fit_on, held, scale, target) for fit_on, held in [*parts, (with_folds, [])]]
+    with_folds.unpersist()
+    return out
+
+
+def release_folds(prepared: list[tuple]) -> None:
+    for _prep, tables, _n, _width in prepared:
+        for t in tables:
+            t.unpersist()
+
+
+def random_search(train: DataFrame, family: str, grid: Mapping[str, Sequence[Any]] | None = None,
+                  n_iter: int | None = None, folds: int = 5, seed: int = 42, target: str = dims.TARGET,
+                  id_col: str = "customer_id", prepared: list[tuple] | None = None, **fixed):
+    """ML-10: seeded draws from a family's search space, AUC-scored by exact
+    stratified k-fold cross-validation, refit on the best draw.
+
+    Fill values, categories and scaling are fitted on the training folds of each
+    split, never on the fold that is scored.  ``prepared`` is the result of
+    :func:`prepared_folds`, made here if absent.  Returns (fitted PipelineModel,
+    table of (draw, params, mean_auc), best draw as a dict)."""
+    draws = draw_params(grid or SEARCH_SPACES[family], n_iter or SEARCH_DRAWS[family], seed)
+    shared = prepared or prepared_folds(train, folds, seed, target, id_col, scale=family != "Random Forest")
+    evaluator = BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC")
+    aucs = [0.0] * len(draws)
+    for _prep, (x, y), n_rows, width in shared[:-1]:
+        for i, d in enumerate(draws):
+            model = classifier(family, d, n_rows, width, target, **fixed).fit(x)
+            aucs[i] += evaluator.evaluate(model.transform(y)) / (len(shared) - 1)
+    best = max(range(len(draws)), key=lambda i: (aucs[i], -i))
+    prep, (x,), n_rows, width = shared[-1]
+    model = PipelineModel(stages=[*prep.stages, classifier(family, draws[best], n_rows, width, target, **fixed).fit(x)])
+    if prepared is None:
+        release_folds(shared)
+    table = train.sparkSession.createDataFrame([(i, str(d), a) for i, (d, a) in enumerate(zip(draws, aucs, strict=True))],
+                                               "draw int, params string, mean_auc double")
+    return model, table.orderBy(F.col("mean_auc").desc(), "draw"), draws[best]
 
 
 # -- ML-6 end to end: the final-model bundle ----------------------------------------------------------------
@@ -314,48 +376,57 @@ def export_training_outputs(bundle: Mapping[str, Any], root: str, prefix: str =
 def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float = 0.2, seed: int = 42,
                      folds: int = 5, draws: Mapping[str, int] | None = None,
                      grids: Mapping[str, Mapping[str, Sequence[Any]]] | None = None,
-                     id_col: str = "customer_id", lr_max_iter: int = 3000) -> dict[str, DataFrame]:
-    """JOB-6: random search per model family on the training part (stratified
-    folds, AUC), refit on the best draw, then on the exact hold-out:
-    metrics per model (wide and long), AUC summary, ROC points and the
-    best-parameter table."""
+                     id_col: str = "customer_id") -> dict[str, DataFrame]:
+    """JOB-6: random search per model family on the training part, refit on
+    the best draw, then on the exact hold-out: metrics per model (wide and
+    long), AUC summary, ROC points and the best-parameter table.  ``draws`` and
+    ``grids`` default to the original's; ``release(out)`` frees what is cached."""
     from .reshape import stack, to_long
     from .split import stratified_split
-    draws = dict({"Random Forest": 4, "Logistic Regression": 3, "DNN": 2}, **(draws or {}))
-    grids = dict({
-        "Random Forest": {"numTrees": [50, 100], "maxDepth": [6, 10, 12], "minInstancesPerNode": [1, 2, 4]},
-        "Logistic Regression": {"regParam": [0.0001, 0.001, 0.01, 0.1]},
-        "DNN": {"stepSize": [0.001, 0.01], "maxIter": [20, 50]},
-    }, **(grids or {}))
+    draws = dict(SEARCH_DRAWS, **(draws or {}))
+    grids = dict(SEARCH_SPACES, **(grids or {}))
     data = df.withColumn(target, F.col(target).cast("double"))
-    flagged = stratified_split(data, target, id_col, test_size, seed=seed, flag_col="__is_test").cache()
+    flagged = stratified_split(data, target, id_col, test_size, seed=seed, flag_col="__is_test").persist()
     train = flagged.where(F.col("__is_test") == 0).drop("__is_test")
     valid = flagged.where(F.col("__is_test") == 1).drop("__is_test")
-    nums, cats = feature_columns(df, target)
-    spark = df.sparkSession
     preds, params = [], []
-    for name, n_draws in draws.items():
-        scale = name != "Random Forest"
-        stages = build_preprocessor(train, nums, cats, scale=scale)
-        if name == "Random Forest":
-            est = random_forest(label=target)
-        elif name == "Logistic Regression":
-            est = logistic_regression(label=target, max_iter=lr_max_iter)
-        else:
-            width = Pipeline(stages=stages).fit(train).transform(train.limit(1)).first()["features"].size
-            est = dense_network(width, label=target)
-        best, _table, best_map = random_search(train, est, stages, grids[name], n_iter=n_draws, folds=folds,
-                                               seed=seed, target=target, id_col=id_col)
+    shared = prepared_folds(train, folds, seed, target, id_col)
+    for family, n_draws in draws.items():
+        best, _table, chosen = random_search(train, family, grids[family], n_draws, seed=seed, target=target,
+                                             prepared=shared)
         preds.append(validation_predictions(best, valid, target).select(
-            F.lit(name).alias("model"), "y_true", "y_pred", "p_churn"))
-        params += [(name, k, str(v)) for k, v in sorted(best_map.items())]
-    all_preds = stack(preds)
+            F.lit(family).alias("model"), "y_true", "y_pred", "p_churn"))
+        params += [(family, k, str(v)) for k, v in sorted(chosen.items())]
+    release_folds(shared)
+    all_preds = stack(preds).persist()
     wide = me.compare_models(all_preds)
     return {
         "comparison": wide,
         "comparison_long": to_long(wide, ["model"], ["accuracy", "precision", "recall", "f1", "roc_auc"]),
         "auc_summary": wide.select("model", "roc_auc"),
         "roc_points": me.roc_curve(all_preds, group_cols=["model"]),
-        "best_params": spark.createDataFrame(params, "model string, param string, value string"),
+        "best_params": df.sparkSession.createDataFrame(params, "model string, param string, value string"),
+        "predictions": all_preds,
         "data": flagged,
     }
+
+
+def release(bundle: Mapping[str, Any]) -> None:
+    """Free the cached tables of a bundle; later use recomputes them."""
+    for key in ("predictions", "data"):
+        if key in bundle:
+            bundle[key].unpersist()
+
+
+def export_comparison(out: Mapping[str, DataFrame], root: str) -> dict[str, str]:
+    """SNK-5: write the five tables of a model comparison."""
+    from ..sources.io import write_table
+    return {name: write_table(out[name], f"{root}/{name}")
+            for name in ("comparison", "comparison_long", "auc_summary", "roc_points", "best_params")}
+
+
+def select_model(out: Mapping[str, DataFrame], model: str) -> dict[str, DataFrame]:
+    """ML-20: one model's metrics, predictions and confusion matrix (%)."""
+    chosen = out["predictions"].where(F.col("model") == model)
+    return {"metrics": out["comparison"].where(F.col("model") == model), "predictions": chosen,
+            "confusion": me.confusion_matrix(chosen, normalize=True)}

@@ -9,16 +9,16 @@ Quota rule: ``n_test = ceil(n * fraction)`` (or an absolute size), each
 stratum gets ``floor(n_test * n_s / n)`` plus one for the strata with the
 largest remainders (ties to the lower label) — integer arithmetic only.
 
-Rank without a one-task window: the first hex digits of the key cut each
-stratum into ``16 ** prefix_len`` buckets of near-equal size.  Counting
-rows per (stratum, bucket) gives a small table (strata x buckets) whose
-prefix sums are each bucket's starting rank; a window partitioned by
-(stratum, bucket) then ranks rows inside their bucket.  The rank of a row
-is bucket start + rank in bucket: one shuffle, no partition larger than a
-bucket, however hot a stratum is.  When the largest bucket would still
-exceed ``BUCKET_ROWS_PER_TASK`` rows (a stratum of hundreds of billions of
-rows), the counts are redone with a longer prefix; the order (hash key,
-then id) does not depend on the prefix, so the ranks are the same.
+A split or a sample moves no wide row.  The first hex digits of the key cut each
+stratum into 65,536 buckets of near-equal size.  Counting rows per (stratum,
+bucket) gives a small table whose prefix sums say in which bucket a stratum's
+quota ends, its cut bucket.  Only the keys of that bucket (one row in 65,536) are
+ranked, which gives the last key that is in; comparing a row's key with that
+decides the row in the scan.
+
+Folds need the rank of every row: a window partitioned by (stratum, bucket)
+ranks rows inside their bucket, and the bucket's prefix sum is added; no
+partition is larger than a bucket, however hot a stratum is.
 """
 
 from __future__ import annotations
@@ -26,11 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import cache_small
+from .groups import attach_per_group
 
 PREFIX_LEN = 4   # 65,536 buckets per stratum
-MAX_PREFIX_LEN = 8
-BUCKET_ROWS_PER_TASK = 2_000_000
 NULL_STRATUM = "\u0000null"
 
 
@@ -44,42 +42,50 @@ def _stratum(label: str | None) -> Column:
     return F.coalesce(F.col(label).cast("string"), F.lit(NULL_STRATUM))
 
 
-def _rank_parts(df: DataFrame, id_col: str, seed: int, label: str | None,
-                prefix_len: int = PREFIX_LEN,
-                bucket_rows: int = BUCKET_ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
-    hashed = df.withColumn("__stratum", _stratum(label)).withColumn("__h", hash_key(id_col, seed))
-    while True:
-        keyed = hashed.withColumn("__p", F.substring("__h", 1, prefix_len))
-        # strata x 16**prefix_len rows at most; kept for the size check below
-        counts = cache_small(keyed.groupBy("__stratum", "__p").agg(F.count(F.lit(1)).alias("__c")))
-        largest = counts.agg(F.max("__c")).first()[0] or 0
-        if largest <= bucket_rows or prefix_len >= MAX_PREFIX_LEN:
-            break
-        counts.unpersist()
-        prefix_len += 1
-    w_before = Window.partitionBy("__stratum").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (counts.withColumn("__start", F.coalesce(F.sum("__c").over(w_before), F.lit(0)))
-                    .withColumn("__n_stratum", F.sum("__c").over(Window.partitionBy("__stratum")))
-                    .drop("__c"))
-    return keyed, starts
+def _keyed(df: DataFrame, id_col: str, seed: int, label: str | None, prefix_len: int = PREFIX_LEN) -> DataFrame:
+    return (df.withColumn("__stratum", _stratum(label)).withColumn("__h", hash_key(id_col, seed))
+              .withColumn("__p", F.substring("__h", 1, prefix_len)))
 
 
-def _rank(keyed: DataFrame, starts: DataFrame, id_col: str) -> DataFrame:
-    # starts has (strata x 16**prefix_len) rows: broadcast after a size check
-    from .groups import attach_per_group
-    w_in = Window.partitionBy("__stratum", "__p").orderBy("__h", id_col)
-    return (attach_per_group(keyed, starts, ["__stratum", "__p"])
-                 .withColumn("__rank", F.col("__start") + F.row_number().over(w_in))
-                 .drop("__start", "__h", "__p"))
+def _starts(keyed: DataFrame) -> DataFrame:
+    """(``__stratum``, ``__p``, ``__start``, ``__c``, ``__n_stratum``): rows of
+    the stratum before each bucket; strata x 65,536 rows at most."""
+    counts = keyed.groupBy("__stratum", "__p").agg(F.count(F.lit(1)).alias("__c"))
+    w_before = Window.partitionBy("__stratum").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return (counts.withColumn("__start", F.coalesce(F.sum("__c").over(w_before), F.lit(0)))
+                  .withColumn("__n_stratum", F.sum("__c").over(Window.partitionBy("__stratum"))))
 
 
 def ranked_within_strata(df: DataFrame, id_col: str, seed: int, label: str | None = None,
-                         prefix_len: int = PREFIX_LEN,
-                         bucket_rows: int = BUCKET_ROWS_PER_TASK) -> DataFrame:
+                         prefix_len: int = PREFIX_LEN) -> DataFrame:
     """Adds ``__stratum``, ``__n_stratum`` and ``__rank`` (1-based, by hash key
     then id, exact within the stratum)."""
-    keyed, starts = _rank_parts(df, id_col, seed, label, prefix_len, bucket_rows)
-    return _rank(keyed, starts, id_col)
+    keyed = _keyed(df, id_col, seed, label, prefix_len)
+    w_in = Window.partitionBy("__stratum", "__p").orderBy("__h", id_col)
+    return (attach_per_group(keyed, _starts(keyed).drop("__c"), ["__stratum", "__p"])
+            .withColumn("__rank", F.col("__start") + F.row_number().over(w_in))
+            .drop("__start", "__h", "__p"))
+
+
+def _flag_first(df: DataFrame, id_col: str, seed: int, label: str | None, quotas, flag_col: str) -> DataFrame:
+    """``df`` with a 0/1 flag: 1 for the quota of smallest (key, id) of each
+    stratum.  ``quotas``: (stratum sizes) -> (``__stratum``, ``__quota``)."""
+    keyed = _keyed(df, id_col, seed, label)
+    narrow = keyed.select("__stratum", "__p", "__h", F.col(id_col).alias("__id"))
+    starts = _starts(narrow)
+    quota = quotas(starts.groupBy("__stratum").agg(F.max("__n_stratum").alias("__ns")))
+    cut = (starts.join(quota, "__stratum")
+           .where((F.col("__quota") > F.col("__start")) & (F.col("__quota") <= F.col("__start") + F.col("__c")))
+           .select("__stratum", "__p", (F.col("__quota") - F.col("__start")).alias("__more")))
+    # keys of the cut buckets only; the last one that is in
+    in_cut = Window.partitionBy("__stratum").orderBy("__h", "__id")
+    last = (narrow.join(cut, ["__stratum", "__p"]).withColumn("__r", F.row_number().over(in_cut))
+            .where(F.col("__r") == F.col("__more"))
+            .select("__stratum", F.struct("__h", "__id").alias("__last")))
+    inside = F.struct(F.col("__h"), F.col(id_col).alias("__id")) <= F.col("__last")
+    return (attach_per_group(keyed, last, ["__stratum"], how="left")
+            .withColumn(flag_col, F.coalesce(inside, F.lit(False)).cast("long"))
+            .drop("__stratum", "__h", "__p", "__last"))
 
 
 def stratum_quotas(sizes: DataFrame, fraction: float | None = None, size: int | None = None) -> DataFrame:
@@ -102,15 +108,9 @@ def stratum_quotas(sizes: DataFrame, fraction: float | None = None, size: int |
 def stratified_split(df: DataFrame, label: str, id_col: str, fraction: float | None = 0.2,
                      size: int | None = None, seed: int = 42, flag_col: str = "is_test") -> DataFrame:
     """SPL-1/SPL-2: the table with a 0/1 ``flag_col`` — exactly the quota of
-    each stratum is 1.  Stratum sizes come from the per-bucket counts, so
-    the input is read twice (count, rank) and never a third time."""
-    keyed, starts = _rank_parts(df, id_col, seed, label)
-    sizes = starts.groupBy("__stratum").agg(F.max("__n_stratum").alias("__ns"))
-    quotas = stratum_quotas(sizes, fraction, size)
-    with_quota = starts.join(quotas, "__stratum")      # both small (strata x buckets)
-    return (_rank(keyed, with_quota, id_col)
-            .withColumn(flag_col, (F.col("__rank") <= F.col("__quota")).cast("long"))
-            .drop("__stratum", "__n_stratum", "__rank", "__quota"))
+    each stratum is 1.  The input is scanned for counts and keys; the rows
+    themselves are flagged where they are read."""
+    return _flag_first(df, id_col, seed, label, lambda sizes: stratum_quotas(sizes, fraction, size), flag_col)
 
 
 def split_frames(df: DataFrame, label: str, id_col: str, fraction: float | None = 0.2,
@@ -141,11 +141,12 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: i
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """SPL-4: exactly ``min(n, size)`` rows chosen by hash order; n <= 0 -> no
-    rows.  Distributed rank, so a large n does not go through one task."""
+    rows.  Rows are filtered where they are read, for any n."""
     if n <= 0:
         return df.limit(0)
-    ranked = ranked_within_strata(df, id_col, seed, None)
-    return ranked.where(F.col("__rank") <= n).drop("__stratum", "__n_stratum", "__rank")
+    def quota(sizes):
+        return sizes.select("__stratum", F.least(F.col("__ns"), F.lit(n)).alias("__quota"))
+    return _flag_first(df, id_col, seed, None, quota, "__in").where(F.col("__in") == 1).drop("__in")
 
 
 def random_row(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:

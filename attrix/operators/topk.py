@@ -10,6 +10,7 @@ Sorting all rows is a range-partitioned sort, never a collect.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +20,27 @@ from ..functions.columns import classify_risk
 from .filters import active_only, by_risk_level
 
 
+def _riskiest_first(df: DataFrame, proba_col: str, id_col: str) -> DataFrame:
+    """Descending probability, unscored rows last, ties by id."""
+    return df.orderBy(F.desc_nulls_last(proba_col), F.asc(id_col)) if proba_col in df.columns else df
+
+
+def risk_table(df: DataFrame, active: bool, risk_level: str | None, truth_col: str, risk_col: str,
+               proba_col: str, id_col: str) -> DataFrame:
+    """One select: derived risk class where a level is asked for and the table
+    has none, one predicate from the wanted filters, riskiest first."""
+    derive = risk_level is not None and risk_col not in df.columns and proba_col in df.columns
+    rows = df.withColumn(risk_col, classify_risk(proba_col)) if derive else df
+    keep = [f for wanted, f in ((active, lambda x: active_only(x, truth_col)),
+                                (risk_level is not None, lambda x: by_risk_level(x, risk_level, risk_col))) if wanted]
+    return _riskiest_first(reduce(lambda x, f: f(x), keep, rows), proba_col, id_col)
+
+
 def top_risk_customers(df: DataFrame, top_n: int = 20, active: bool = False,
                        truth_col: str = "y_true", proba_col: str = "p_churn",
                        id_col: str = "customer_id") -> DataFrame:
     """SRT-1: the riskiest ``top_n`` rows, optionally active customers only."""
-    working = active_only(df, truth_col) if active else df
-    if proba_col in working.columns:
-        working = working.orderBy(F.col(proba_col).desc_nulls_last(), F.col(id_col).asc())
-    return working.limit(top_n)
+    return risk_table(df, active, None, truth_col, "risk_level", proba_col, id_col).limit(top_n)
 
 
 def filter_risk_table(df: DataFrame, risk_level: str = dims.RISK_ALL, active: bool = True,
@@ -34,13 +48,7 @@ def filter_risk_table(df: DataFrame, risk_level: str = dims.RISK_ALL, active: bo
                       proba_col: str = "p_churn", id_col: str = "customer_id") -> DataFrame:
     """SRT-2: active filter, risk class derived when absent, risk filter,
     highest probability first."""
-    working = active_only(df, truth_col) if active else df
-    if risk_col not in working.columns and proba_col in working.columns:
-        working = working.withColumn(risk_col, classify_risk(proba_col))
-    working = by_risk_level(working, risk_level, risk_col)
-    if proba_col in working.columns:
-        working = working.orderBy(F.col(proba_col).desc_nulls_last(), F.col(id_col).asc())
-    return working
+    return risk_table(df, active, risk_level, truth_col, risk_col, proba_col, id_col)
 
 
 def extremes(df: DataFrame, value_col: str, k: int = 10, key_col: str = "feature") -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import metrics as me
 from ..operators import ml
 from .catalog import register, round_doubles
 from .fixtures import labelled_documents, scores, subscribers
+from .queries_rest import _quota_sql
 from .sqltext import with_ctes
 
 _NUM = ["weekly_hours", "signup_date", "age"]
@@ -225,7 +226,7 @@ def ml_decision_tree(spark, sf):
     df = _model_ready(spark, sf)
     train, valid = split_frames(df, "churned", "customer_id", 0.2)
     nums, cats = ml.feature_columns(df)
-    model = Pipeline(stages=[*ml.build_preprocessor(train, nums, cats), ml.decision_tree(4, 20)]).fit(
+    model = Pipeline(stages=[*ml.build_preprocessor(train, nums, cats), ml.decision_tree(4)]).fit(
         train.withColumn("churned", F.col("churned").cast("double")))
     return me.classification_metrics(ml.validation_predictions(model, valid), model_name="Decision Tree")
 
@@ -239,7 +240,7 @@ def ml_dnn(spark, sf):
     train, valid = split_frames(df, "churned", "customer_id", 0.2)
     nums, cats = ml.feature_columns(df)
     stages = ml.build_preprocessor(train, nums, cats, scale=True)
-    width = Pipeline(stages=stages).fit(train).transform(train.limit(1)).first()["features"].size
+    width = len(ml.feature_names(Pipeline(stages=stages).fit(train).transform(train.limit(0))))
     model = Pipeline(stages=[*stages, ml.dense_network(width, epochs=50)]).fit(
         train.withColumn("churned", F.col("churned").cast("double")))
     return me.classification_metrics(ml.validation_predictions(model, valid), model_name="DNN")
@@ -247,13 +248,10 @@ def ml_dnn(spark, sf):
 
 @register("ml_random_search")
 def ml_search(spark, sf):
-    """ML-10: 4 seeded draws x 3 stratified folds, AUC-scored (forest)."""
+    """ML-10: draws of C and class weight, AUC-scored on stratified folds.
+    Two draws x 3 folds here; the operator's default is the original's 10 x 5."""
     df = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
-    nums, cats = ml.feature_columns(df)
-    stages = ml.build_preprocessor(df, nums, cats)
-    rf = ml.random_forest({"n_estimators": 20})
-    _model, table, _best = ml.random_search(df, rf, stages, {"maxDepth": [4, 8, 12], "numTrees": [10, 20]},
-                                            n_iter=4, folds=3)
+    _model, table, _best = ml.random_search(df, "Logistic Regression", n_iter=2, folds=3)
     return table
 
 
@@ -264,7 +262,7 @@ def ml_history(spark, sf):
     df = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
     nums, cats = ml.feature_columns(df)
     model = Pipeline(stages=[*ml.build_preprocessor(df, nums, cats, scale=True),
-                             ml.logistic_regression(C=1.0, n_rows=None, max_iter=50)]).fit(df)
+                             ml.logistic_regression(C=1.0, n_rows=df.count())]).fit(df)
     return ml.training_history(spark, model.stages[-1].summary.objectiveHistory)
 
 
@@ -279,7 +277,7 @@ def ml_documents(spark, sf):
     from ..operators.split import split_frames
     train, valid = split_frames(docs, "churned", "customer_id", 0.2)
     model = Pipeline(stages=[*ml.build_preprocessor(train, nums, cats),
-                             ml.random_forest({"n_estimators": 50, "max_depth": 5})]).fit(train)
+                             ml.random_forest({"max_depth": 5})]).fit(train)
     return me.classification_metrics(ml.validation_predictions(model, valid), model_name="RF quality")
 
 
@@ -302,10 +300,13 @@ def job_7(spark, sf):
     from pyspark.ml import Pipeline
     from .jobs import incoming_prediction_ready_job, scoring_log_job
     from .queries_prj import incoming
-    base = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
-    nums, cats = ml.feature_columns(base)
-    model = Pipeline(stages=[*ml.build_preprocessor(base, nums, cats),
-                             ml.random_forest({"n_estimators": 20})]).fit(base)
+    from ..session import session_key
+    key = (session_key(spark), sf, "scoring")
+    if key not in _BUNDLE_CACHE:
+        base = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
+        nums, cats = ml.feature_columns(base)
+        _BUNDLE_CACHE[key] = Pipeline(stages=[*ml.build_preprocessor(base, nums, cats), ml.random_forest()]).fit(base)
+    model = _BUNDLE_CACHE[key]
     aligned = incoming_prediction_ready_job(incoming(spark, sf), subscribers(spark, sf))
     return scoring_log_job(model, aligned, "incoming", "RF Tuned").select(
         "customer_id", "p_churn", "risk_level", "source", "model_used")
@@ -339,13 +340,100 @@ def st_retrain(spark, sf):
     return round_doubles(read_data(spark, f"{run}/log", fmt="parquet").drop("batch"))
 
 
+_COMPARISONS: dict = {}
+
+
+def _comparison(spark, sf):
+    """One model comparison per session and scale: every family, with the
+    number of folds, draws and trees that a registered query can afford.  The
+    operator's defaults are the original's: 5 folds, 20, 10 and 10 draws, up to
+    400 trees."""
+    from ..session import session_key
+    key = (session_key(spark), sf)
+    if key not in _COMPARISONS:
+        forests = dict(ml.SEARCH_SPACES["Random Forest"], n_estimators=[100], max_depth=[5, 8])
+        _COMPARISONS[key] = ml.model_comparison(
+            _model_ready(spark, sf), folds=2, draws={"Random Forest": 1, "Logistic Regression": 1, "DNN": 1},
+            grids={"Random Forest": forests})
+    return _COMPARISONS[key]
+
+
 @register("job_6_model_comparison")
 def job_6(spark, sf):
-    """JOB-6: random search for forest, logistic regression and perceptron
-    (one draw x 3 folds each here), compared on the exact hold-out."""
-    out = ml.model_comparison(_model_ready(spark, sf), folds=3,
-                              draws={"Random Forest": 1, "Logistic Regression": 1, "DNN": 1})
-    return out["comparison"]
+    """JOB-6 / ML-16: searched forest, logistic regression and perceptron,
+    compared on the exact hold-out."""
+    return _comparison(spark, sf)["comparison"]
+
+
+@register("job_6_comparison_long")
+def job_6_long(spark, sf):
+    return _comparison(spark, sf)["comparison_long"]
+
+
+@register("job_6_auc_summary")
+def job_6_auc(spark, sf):
+    return _comparison(spark, sf)["auc_summary"]
+
+
+@register("job_6_roc_points")
+def job_6_roc(spark, sf):
+    return _comparison(spark, sf)["roc_points"]
+
+
+@register("job_6_best_params")
+def job_6_params(spark, sf):
+    """The chosen draws, written and read back (SNK-5, ML-19)."""
+    import uuid
+    from ..session import shared_path
+    paths = ml.export_comparison(_comparison(spark, sf), shared_path(spark, "comparison", uuid.uuid4().hex))
+    return spark.read.parquet(paths["best_params"])
+
+
+_HOLD_OUT = _quota_sql("subscribers", "churned", "CAST(ceil(sum(ns) * 0.2) AS BIGINT)")
+
+
+@register("ml_holdout_rows", with_ctes(
+    "SELECT customer_id, CAST(churned AS BIGINT) AS y_true FROM r JOIN q USING (st) WHERE rn <= quota", _HOLD_OUT))
+def ml_holdout(spark, sf):
+    """The deterministic part of ML-22: which rows are scored, and their truth."""
+    return _bundle(spark, sf)["valid_predictions_df"].select("customer_id", "y_true")
+
+
+@register("ml_confusion_totals", with_ctes(
+    "SELECT label, CAST(CASE WHEN n > 0 THEN 100.0 ELSE 0.0 END AS DOUBLE) AS total FROM (SELECT l AS label, "
+    "(SELECT count(*) FROM r JOIN q USING (st) WHERE rn <= quota AND churned = l) AS n FROM (SELECT unnest([0, 1]) AS l))",
+    _HOLD_OUT))
+def ml_confusion_totals(spark, sf):
+    """The deterministic part of the forest's confusion matrix: each row sums to 100 %."""
+    return round_doubles(_bundle(spark, sf)["cm_df"].select("label", (F.col("pred_0") + F.col("pred_1")).alias("total")))
+
+
+@register("ml_model_selection")
+def ml_selection(spark, sf):
+    """ML-20: the predictions of one chosen model."""
+    chosen = ml.select_model(_comparison(spark, sf), "Logistic Regression")["predictions"]
+    return chosen.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y_true").alias("positives"))
+
+
+@register("job_7_scoring_records", with_ctes(
+    "SELECT customer_id, 'incoming' AS source, 'RF Tuned' AS model_used FROM subscribers"))
+def job_7_records(spark, sf):
+    """The deterministic part of JOB-7: one record per incoming customer, with provenance."""
+    return job_7(spark, sf).select("customer_id", "source", "model_used")
+
+
+@register("ml_decision_tree_importances")
+def ml_tree_importances(spark, sf):
+    """ML-8: importances of the shallow tree."""
+    from pyspark.ml import Pipeline
+    from ..operators.split import split_frames
+    df = _model_ready(spark, sf)
+    train, _valid = split_frames(df, "churned", "customer_id", 0.2)
+    nums, cats = ml.feature_columns(df)
+    model = Pipeline(stages=[*ml.build_preprocessor(train, nums, cats), ml.decision_tree(4)]).fit(
+        train.withColumn("churned", F.col("churned").cast("double")))
+    names = ml.feature_names(model.transform(train.limit(0)))
+    return ml.importance_table(spark, names, model.stages[-1].featureImportances.toArray())
 
 
 @register("ml_roc_drop_intermediate", with_ctes("""

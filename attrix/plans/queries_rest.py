@@ -14,6 +14,7 @@ from ..operators import profile as pr
 from ..operators import reshape as rs
 from ..operators import split as sp
 from ..operators import topk as tk
+from ..sources.io import read_data, read_data_with_features, read_optional, write_table
 from .catalog import register, round_doubles
 from .fixtures import scores, subscribers
 from .sqltext import case_map, risk, with_ctes
@@ -327,6 +328,48 @@ def spl_4b(spark, sf):
     return sp.sample_rows(_subs(spark, sf), 0, "customer_id", seed=7)
 
 
+@register("spl_6_generate_batch", with_ctes("""
+SELECT * FROM subscribers ORDER BY md5(CAST(customer_id AS VARCHAR) || ':9'), customer_id LIMIT 40"""))
+def spl_6(spark, sf):
+    """SPL-6: a sample stored as a pending batch, read back whole."""
+    path = sp.generate_batch(_subs(spark, sf), 40, _scratch(spark, "batches"), "customer_id", seed=9)
+    return spark.read.parquet(path)
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    import uuid
+    from ..session import shared_path
+    return shared_path(spark, name, uuid.uuid4().hex)
+
+
+_CSV_COLS = ["customer_id", "location", "subscription_type", "weekly_hours", "song_skip_rate", "signup_date", "churned"]
+
+
+@register("src_csv_inferred", with_ctes(f"SELECT {', '.join(_CSV_COLS)} FROM subscribers"))
+def src_csv(spark, sf):
+    """SRC-1/3/6: header CSV in the shared folder, types inferred, text kept as it is."""
+    path = write_table(_subs(spark, sf).select(*_CSV_COLS), _scratch(spark, "csv"), fmt="csv")
+    return read_data(spark, path).select(*_CSV_COLS)
+
+
+@register("src_csv_features", with_ctes(
+    "SELECT customer_id, round(weekly_hours * (1 - song_skip_rate), 6) AS engagement_index FROM subscribers"))
+def src_csv_features(spark, sf):
+    """SRC-2: partitioned read followed by the light feature step."""
+    path = write_table(_subs(spark, sf), _scratch(spark, "csv"), fmt="csv")
+    return round_doubles(read_data_with_features(spark, path).select("customer_id", "engagement_index"))
+
+
+@register("src_optional", with_ctes("SELECT customer_id FROM subscribers"))
+def src_optional(spark, sf):
+    """SRC-5: an absent and an empty source add no rows."""
+    raw = _subs(spark, sf).select("customer_id")
+    empty = write_table(raw.limit(0), _scratch(spark, "empty"))
+    absent = _scratch(spark, "absent")
+    return raw.unionByName(read_optional(spark, empty, raw.schema)).unionByName(read_optional(spark, absent, raw.schema))
+
+
 @register("spl_5_random_row", with_ctes("""
 SELECT * FROM subscribers ORDER BY md5(CAST(customer_id AS VARCHAR) || ':3'), customer_id LIMIT 1"""))
 def spl_5(spark, sf):

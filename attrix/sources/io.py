@@ -133,7 +133,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """SNK-1/SNK-4/SNK-5: overwrite (or append) a table as partitioned files."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # text is kept as it is, blanks at its ends included
+        writer = writer.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -197,3 +197,9 @@ def test_nan_is_missing(spark, tmp_path):
 def test_missing_percent_is_half_even(spark):
     df = spark.range(800).select(F.when(F.col("id") > 0, F.col("id")).alias("x"))
     assert pr.missing_values(df).first()["pct_missing"] == 0.12
+
+
+def test_column_types(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "n long, location string, x double")
+    assert fe.split_column_types(df) == (["n", "x"], ["location"])
+    assert fe.split_column_types(df, ["location", "n", "absent"]) == (["x"], ["location", "n"])

@@ -65,3 +65,34 @@ def test_random_params_draw_is_seeded():
     grid = {"maxDepth": [4, 8, 12], "numTrees": [10, 20, 50]}
     assert ml.draw_params(grid, 4, 42) == ml.draw_params(grid, 4, 42)
     assert len({str(d) for d in ml.draw_params(grid, 9, 1)}) == 9
+
+
+def test_scaling_uses_the_population_deviation(spark):
+    train = spark.createDataFrame([(1.0, 0.0), (3.0, 1.0), (None, 1.0), (2.0, 0.0)], "x double, churned double")
+    out = Pipeline(stages=ml.build_preprocessor(train, ["x"], [], scale=True)).fit(train).transform(train)
+    got = [r["num__x"] for r in out.collect()]                # filled with the median 2: mean 2, deviation sqrt(1/2)
+    assert got == pytest.approx([-(2 ** 0.5), 2 ** 0.5, 0.0, 0.0])
+
+
+def test_depth_and_penalty(spark):
+    with pytest.raises(ValueError, match="depth"):
+        ml.random_forest({"max_depth": 40})
+    assert ml.random_forest({"max_depth": None}).getMaxDepth() == 30
+    assert ml.logistic_regression(C=2.0, n_rows=100).getRegParam() == pytest.approx(0.005)
+    with pytest.raises(TypeError):
+        ml.logistic_regression(C=1.0)
+
+
+def test_balanced_weights_reach_the_classifier(spark):
+    for family in ("Random Forest", "Logistic Regression"):
+        params = {"class_weight": "balanced"} | ({"C": 1.0} if family.startswith("L") else {})
+        assert ml.classifier(family, params, 10, 3).getWeightCol() == ml.BALANCED_COL
+        plain = ml.classifier(family, params | {"class_weight": None}, 10, 3)
+        assert not plain.isSet(plain.weightCol)
+
+
+def test_search_spaces_are_the_originals():
+    assert ml.SEARCH_DRAWS == {"Random Forest": 20, "Logistic Regression": 10, "DNN": 10}
+    assert ml.SEARCH_SPACES["Logistic Regression"]["C"][0] == pytest.approx(1e-3)
+    assert len(ml.SEARCH_SPACES["Logistic Regression"]["C"]) == 12
+    assert ml.SEARCH_SPACES["Logistic Regression"]["C"][-1] == pytest.approx(100)

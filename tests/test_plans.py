@@ -53,6 +53,10 @@ def test_aggregations_are_partial(plans):
     assert "partial_avg" in p or "partial_count" in p
 
 
-def test_split_window_is_bucketed(plans):
+def test_split_moves_keys_only(plans):
+    """No exchange of a split carries the table's columns; folds rank by bucket."""
     p = plans["spl_1_stratified_split"]
+    for line in re.findall(r"Window \[.*", p):
+        assert "weekly_hours" not in line
+    p = plans["spl_3_stratified_folds"]
     assert re.search(r"Window \[.*row_number\(\).*\], \[__stratum#\d+, __p#\d+\]", p)
