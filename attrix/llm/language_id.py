@@ -20,15 +20,14 @@ Repeated rows get equal predictions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import SLICE_BYTES
 
 WINDOW = 512
 FILTERS = 8
@@ -228,23 +227,27 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` (as struct ``row``) with ``lang_pred`` and ``score``."""
+    text: Column = docs[text_col].cast("string")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
-                      docs[text_col].cast("string").alias("text"))
-    has_letter: Column = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+                      F.when(text.rlike(r"\p{L}"), text).alias("text"))
     if model is None:
         return row.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = "row " + docs.schema.simpleString() + ", lang_pred string, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                letters = part.column(2).to_numpy(zero_copy_only=False)
-                texts = [t if t is not None and ok else b"" for t, ok in
-                         zip(part.column(1).cast(pa.binary()).to_pylist(), letters, strict=True)]
-                best, score = model.predict(texts)
-                names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))],
-                    ["row", "lang_pred", "score"])
-
-    return row.withColumn("has_letter", has_letter).mapInArrow(run, schema)
+
+    # only the texts go to Python, a few MB at a time; the rows stay where they are
+    @F.pandas_udf("lang_pred string, score double")
+    def guess(texts: pd.Series) -> pd.DataFrame:
+        names, scores = [], []
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            held.append(b"" if t is None else t.encode())
+            size += len(held[-1])
+            if size > SLICE_BYTES or i + 1 == len(texts):
+                best, score = model.predict(held)
+                names += [model.languages[b] for b in best]
+                scores.append(score)
+                held, size = [], 0
+        return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
+
+    return (row.withColumn("guess", F.when(F.col("text").isNotNull(), guess("text")))
+            .select("row", F.coalesce("guess.lang_pred", F.lit(UNKNOWN)).alias("lang_pred"),
+                    F.coalesce("guess.score", F.lit(0.0)).alias("score")))
