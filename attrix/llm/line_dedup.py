@@ -59,7 +59,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
             .repartitionByRange("h1", "h2", F.desc("doc_id"), "text_hash")
             .sortWithinPartitions("h1", "h2", F.desc("doc_id"), "text_hash", "pos")
             .groupBy("h1", "h2", "doc_id", "text_hash")
-            .agg(F.collect_list("pos").alias("at")))
+            .agg(F.collect_list("pos").alias("at"))
+            .checkpoint())      # read twice below; the lines are split and hashed once
     first = (held.groupBy("h1", "h2")
              .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
              .where((F.col("n_docs") >= min_docs) & F.col("keeper").isNotNull())
