@@ -40,6 +40,10 @@ SEQUENCE = 1024
 END_ID = 50256
 SHARD_SEQUENCES = 4096
 ROUNDS = 4
+#: The payloads' compression dictionary is trained on the beginnings of at most
+#: so many documents.  It bears on the size of what is moved, on no result.
+DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES = 1500, 8192, 1 << 18
+LEVEL = 9
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,8 +95,24 @@ class SequenceCutter:
         return out
 
 
+def train_dictionary(docs: DataFrame, path: str | None = None, length: int = SEQUENCE,
+                     id_col: str = "doc_id", text_col: str = "text") -> bytes:
+    """Compression dictionary from a bounded sample; empty if that is too small."""
+    path = path or tokenizer_path("byte_bpe_50k.json")
+    some = picked(docs, id_col, text_col).where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0) \
+        .select(F.substring("text", 1, DICTIONARY_CHARS)).limit(DICTIONARY_DOCS).collect()
+    encoder = byte_bpe.encoder(path)
+    kind = _kind(encoder.tokenizer.get_vocab_size())
+    ids = [np.frombuffer(encoder.encode(r[0]), "<u4").astype(kind) for r in some]
+    samples = [x[i:i + length].tobytes() for x in ids for i in range(0, len(x), length)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, end_id: int = END_ID,
-              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+              id_col: str = "doc_id", text_col: str = "text", dictionary: bytes = b"") -> DataFrame:
     """``part, number, n_tokens, doc_ids, payload``: sequences in the order of
     each partition; the payload is the padded ids, 16 bits each where they fit
     (else 32), compressed."""
@@ -102,7 +122,7 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE,
         encoder = byte_bpe.encoder(path)
         part = TaskContext.get().partitionId()
         kind = _kind(encoder.tokenizer.get_vocab_size())
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=LEVEL, **_with(dictionary))
         cutter = SequenceCutter(length)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -128,6 +148,10 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE,
         run, "part int, number long, n_tokens int, doc_ids array<long>, payload binary")
 
 
+def _with(dictionary: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+
+
 def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -143,7 +167,8 @@ def write_shards(docs: DataFrame, folder: str, key: int = 1, path: str | None =
     executors share) and return their index: one row per sequence with ``slot,
     sequence, shard, byte_offset, n_tokens, crc32, doc_ids``."""
     spark = docs.sparkSession
-    sequences(docs, path, length, end_id, id_col, text_col).write.option("compression", "none") \
+    dictionary = train_dictionary(docs, path, length, id_col, text_col)
+    sequences(docs, path, length, end_id, id_col, text_col, dictionary).write.option("compression", "none") \
         .parquet(f"{folder}/sequences")
     cut = spark.read.parquet(f"{folder}/sequences")
     # one row for each input partition: how many sequences lie before it
@@ -161,7 +186,7 @@ def write_shards(docs: DataFrame, folder: str, key: int = 1, path: str | None =
               .withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("int")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(**_with(dictionary))
         store, root = fs.FileSystem.from_uri(folder)
         open_shard, out, temporary = None, None, None
 
