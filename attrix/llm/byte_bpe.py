@@ -1,40 +1,22 @@
-"""Byte-level BPE ids of whole texts, one encoding per distinct chunk.
+"""Byte-level BPE ids of whole texts.
 
-The tokenizer's pattern never matches across a single space between two
-non-space characters (a match may only begin with it), so a text cut there
-has exactly the ids of its chunks one after another.  A chunk's ids come from
-the rank file of the same vocabulary; only a chunk that may hold a special
-token's string goes to the ``tokenizers`` file, whose rule for it holds.
+The ids are those of the ``tokenizers`` file; they are computed from the rank
+file of the same vocabulary, which is several times faster.  Only a text that
+holds a special token's string goes to ``tokenizers``, whose rule for it holds.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import re
 import sys
 from array import array
 
-_UNSAFE = re.compile(r"\s | \s|\A | \Z")
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
+class TextEncoder:
+    """``encode(text)`` -> ids as little-endian uint32."""
 
-class _Chunks(dict):
-    """chunk -> ids of ``prefix + chunk`` as little-endian uint32 bytes."""
-
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(self.prefix + chunk)
-        return ids
-
-
-class ChunkEncoder:
-    """``encode(text)`` -> ids; keeps at most about ``max_cached`` chunks."""
-
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
@@ -43,37 +25,25 @@ class ChunkEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ranks = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                        special_tokens={})
-        self.max_cached = max_cached
-        self.first, self.spaced = _Chunks(self._ids, ""), _Chunks(self._ids, " ")
 
-    def _ids(self, chunk: str) -> bytes:
-        if any(s in chunk for s in self.special):
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
-            ids = self.ranks.encode_ordinary(chunk)
+            ids = self.ranks.encode_ordinary(text)
         ids = array("I", ids)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if len(self.spaced) > self.max_cached:
-            self.spaced.clear()
-        if len(self.first) > self.max_cached // 8:
-            self.first.clear()
-        chunks = _SAFE_SPACE.split(text) if _UNSAFE.search(text) else text.split(" ")
-        ids = list(map(self.spaced.__getitem__, chunks[1:]))
-        ids.insert(0, self.first[chunks[0]])
-        return b"".join(ids)
-
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker process (its cache outlives a task)."""
+def encoder(path: str) -> TextEncoder:
+    """One encoder per worker process."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
