@@ -64,7 +64,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     first = (held.groupBy("h1", "h2")
              .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
              .where((F.col("n_docs") >= min_docs) & F.col("keeper").isNotNull())
-             .select("h1", "h2", "keeper"))
+             # computed keys, so that the join below shuffles both of its sides itself: only
+             # then does adaptive execution split a hash that very many documents hold
+             .select(*[F.col(h).bitwiseXOR(F.lit(0).cast("long")).alias(h) for h in ("h1", "h2")], "keeper"))
     gone = (held.join(first, ["h1", "h2"])
             .where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
             .select("doc_id", "text_hash", F.explode("at").alias("pos")))
