@@ -10,10 +10,10 @@ ends behind it is checked as well, so nothing over a factor's boundary is lost.
 The reference is cut into blocks of bounded size (documents dealt by hash), and
 every block indexes its own windows.  What blocks exchange is small:
 
-1. Each block publishes the anchors of its windows: the least hash of the three
-   word runs inside a window.  Equal windows have equal anchors, and about one
-   word in six is one.  Anchors that two blocks hold are returned to them.
-2. Of windows with such an anchor (candidates), each block publishes a 96-bit
+1. Each block publishes the anchors of its windows: the least hash of the
+   five-word runs inside a window.  Equal windows have equal anchors, and about
+   one word in five is one.  Anchors that two blocks hold are returned to them.
+2. Of windows with such an anchor (candidates), each block publishes an 80-bit
    hash and the smallest id that holds it.  Where another block has a smaller
    id, the window is returned.
 3. Each block factors its documents: a window occurs in the reference if it was
@@ -41,7 +41,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 WINDOW = 13
-RUN = 3
+#: Words of an anchor: more of them are shared by chance less often, so fewer
+#: windows are in question; fewer of them make fewer anchors (2 in WINDOW - RUN + 2 words).
+RUN = 5
 BLOCK_BYTES = 8 << 20
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NO_ID = np.iinfo(np.int64).max
@@ -97,11 +99,11 @@ class Windows:
                        if len(self.at) else np.zeros(0, np.uint64))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """64 and 32 bits of every window's hash."""
+        """64 and 16 further bits of every window's hash."""
         if not len(self.at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
         return (_mixed(_rolled(self.h, self.window, _B2))[self.at],
-                (_mixed(_rolled(_mixed(self.h), self.window, _B1))[self.at] >> np.uint64(32)).astype(np.uint32))
+                (_mixed(_rolled(_mixed(self.h), self.window, _B1))[self.at] >> np.uint64(48)).astype(np.uint16))
 
 
 def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -137,7 +139,7 @@ def _publish_anchors(window: int):
 
 def _publish_windows(window: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table) -> pa.Table:
-        out = {"h": np.zeros(0, np.int64), "c": np.zeros(0, np.int32), "block": np.zeros(0, np.int32), "low": np.zeros(0, np.int64)}
+        out = {"block": np.zeros(0, np.int32), "low": np.zeros(0, np.int64), "h": np.zeros(0, np.int64), "c": np.zeros(0, np.int32)}
         if docs.num_rows and shared.num_rows:
             w = Windows(docs.column("text").to_pylist(), window)
             some = np.flatnonzero(_member(w.anchor, np.sort(_column(shared, "anchor", np.uint64))))
@@ -145,8 +147,8 @@ def _publish_windows(window: int):
                 h, c = w.keys()
                 h, c = h[some], c[some]
                 order, start, low = _first_holders(h, c, _ids(docs)[w.doc[some]])
-                out = {"h": h[order][start].view(np.int64), "c": c[order][start].view(np.int32),
-                       "block": np.full(len(start), key[0].as_py(), np.int32), "low": low}
+                out = {"block": np.full(len(start), key[0].as_py(), np.int32), "low": low,
+                       "h": h[order][start].view(np.int64), "c": c[order][start].astype(np.int32)}
         return pa.table({k: pa.array(v) for k, v in out.items()})
     return run
 
@@ -174,7 +176,7 @@ def _factor(window: int, schema: pa.Schema):
             order, start, low = _first_holders(h, c, own)
             occurs[order] = np.repeat(low, np.diff(np.r_[start, len(order)])) < own[order]
             if found.num_rows:
-                fh, fc = _column(found, "h", np.uint64), _column(found, "c", np.uint32)
+                fh, fc = _column(found, "h", np.uint64), _column(found, "c").astype(np.uint16)
                 by = np.lexsort((fc, fh))
                 fh, fc = fh[by], fc[by]
                 at = np.searchsorted(fh, h)
@@ -221,7 +223,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, block_bytes: int = B
     anchors = by_block.applyInArrow(_publish_anchors(window), "anchor long, block int")
     shared = (anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
               .where("n > 1").select("block", "anchor"))
-    held = by_block.cogroup(shared.groupBy("block")).applyInArrow(_publish_windows(window), "h long, c int, block int, low long")
+    held = by_block.cogroup(shared.groupBy("block")).applyInArrow(_publish_windows(window), "block int, low long, h long, c int")
     found = (held.withColumn("least", F.min("low").over(Window.partitionBy("h", "c")))
              .where("low > least").select("block", "h", "c"))
     schema = (f"doc_id long, rest {rows.schema['rest'].dataType.simpleString()}, text string, n_words long, n_removed long, "
