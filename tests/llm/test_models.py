@@ -24,7 +24,7 @@ def docs(spark):
 
 # ---- 2 ------------------------------------------------------------------------
 def paragraphs(t):
-    return set(re.split(r"\n|(?<=[.!?]) ", t))
+    return set(re.split(fingerprints.PARAGRAPH_END, t))
 
 
 def jaccard(a, b):
