@@ -54,6 +54,16 @@ def test_edited_versions(spark, docs):
     assert len(prints) == len({frozenset(paragraphs(t)) for _, t in rows})
 
 
+def test_texts_of_one_line_keep_their_likeness(spark):
+    """Two thirds of an edited text are unchanged, also when it has no line feed."""
+    t, o = (" ".join(f"{w} sentence number {i}{'.!?'[i % 3]}" for i in range(30)) for w in ("First", "Other"))
+    sentences = lambda x: set(re.split(r"\n|(?<=[.!?]) ", x))
+    df = spark.createDataFrame([(2, t), (1, o)], "doc_id long, text string")
+    r = next(r for r in fingerprints.edited_versions(df).collect() if r["doc_id"] == 2)
+    assert "\n" not in r["edited_text"] and r["near_next"] == 0
+    assert r["near_edited"] == pytest.approx(jaccard(sentences(t), sentences(r["edited_text"]))) and r["near_edited"] > 0.4
+
+
 def test_single_document_and_empty_table(spark):
     one = spark.createDataFrame([(4, "a\nb\nc")], "doc_id long, text string")
     r = fingerprints.edited_versions(one).first()
