@@ -1,17 +1,28 @@
 """Byte-level BPE ids of whole texts.
 
 The ids are those of the ``tokenizers`` file; they are computed from the rank
-file of the same vocabulary, which is several times faster.  Only a text that
-holds a special token's string goes to ``tokenizers``, whose rule for it holds.
+file of the same vocabulary, which is several times faster.  Two kinds of text
+go to ``tokenizers``: one that holds a special token's string, whose rule for it
+holds, and one with a long run of white space, on which the rank file's regular
+expression runs out of stack (at a million characters).
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 import sys
 from array import array
 
+#: White-space characters in a row from which ``tokenizers`` encodes the text.
+LONG_RUN = 100_000
+_SPACES = re.compile(r"\s+")
+
+
+def _long_run(text: str) -> bool:
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _SPACES.finditer(text))
+
 
 class TextEncoder:
     """``encode(text)`` -> ids as little-endian uint32."""
@@ -29,7 +40,7 @@ class TextEncoder:
                                        special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or _long_run(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranks.encode_ordinary(text)

@@ -143,6 +143,15 @@ def test_byte_ids_are_the_tokenizers(tokenizer, real):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000", " \r\n\t"])
+def test_byte_ids_of_a_long_run_of_white_space(tokenizer, space):
+    """A million characters and more in a row, at the end and between words."""
+    run = space * (1_200_000 // len(space))
+    for t in (run, f"before{run}behind it"):
+        got = np.frombuffer(byte_bpe.encoder(BYTES).encode(t), "<u4").tolist()
+        assert got == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def check_pieces(rows, want: dict, window: int) -> int:
     """Every id in exactly one piece, sequences gapless and not too long; returns the padding."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
