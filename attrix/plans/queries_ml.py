@@ -246,15 +246,31 @@ def ml_dnn(spark, sf):
     return me.classification_metrics(ml.validation_predictions(model, valid), model_name="DNN")
 
 
-@register("ml_random_search")
-def ml_search(spark, sf):
-    """ML-10: draws of C and class weight, AUC-scored on stratified folds.
-    Two draws x 3 folds here; the operator's default is the original's 10 x 5."""
+def _search(spark, sf, family):
+    """The table of a family's whole search: the operator's own draws and folds."""
     df = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
-    _model, table, _best = ml.random_search(df, "Logistic Regression", n_iter=2, folds=3)
+    _model, table, _best = ml.random_search(df, family)
     return table
 
 
+@register("ml_random_search")
+def ml_search(spark, sf):
+    """ML-10: ten draws of C and class weight, AUC-scored on five stratified folds."""
+    return _search(spark, sf, "Logistic Regression")
+
+
+@register("ml_random_search_forest")
+def ml_search_forest(spark, sf):
+    """ML-10: twenty draws of the forest's space, five folds."""
+    return _search(spark, sf, "Random Forest")
+
+
+@register("ml_random_search_network")
+def ml_search_network(spark, sf):
+    """ML-10: ten draws of the perceptron's space, five folds."""
+    return _search(spark, sf, "DNN")
+
+
 @register("ml_training_history")
 def ml_history(spark, sf):
     """ML-23: objective per iteration of a logistic regression."""
@@ -344,17 +360,12 @@ _COMPARISONS: dict = {}
 
 
 def _comparison(spark, sf):
-    """One model comparison per session and scale: every family, with the
-    number of folds, draws and trees that a registered query can afford.  The
-    operator's defaults are the original's: 5 folds, 20, 10 and 10 draws, up to
-    400 trees."""
+    """One model comparison per session and scale: every family with its whole
+    search, 5 folds, 20, 10 and 10 draws, up to 400 trees."""
     from ..session import session_key
     key = (session_key(spark), sf)
     if key not in _COMPARISONS:
-        forests = dict(ml.SEARCH_SPACES["Random Forest"], n_estimators=[100], max_depth=[5, 8])
-        _COMPARISONS[key] = ml.model_comparison(
-            _model_ready(spark, sf), folds=2, draws={"Random Forest": 1, "Logistic Regression": 1, "DNN": 1},
-            grids={"Random Forest": forests})
+        _COMPARISONS[key] = ml.model_comparison(_model_ready(spark, sf))
     return _COMPARISONS[key]
 
 

@@ -96,3 +96,38 @@ def test_search_spaces_are_the_originals():
     assert ml.SEARCH_SPACES["Logistic Regression"]["C"][0] == pytest.approx(1e-3)
     assert len(ml.SEARCH_SPACES["Logistic Regression"]["C"]) == 12
     assert ml.SEARCH_SPACES["Logistic Regression"]["C"][-1] == pytest.approx(100)
+
+
+def test_registered_searches_are_whole(spark, monkeypatch):
+    """The registered searches take the operators' own draws, folds and spaces."""
+    import inspect
+
+    import __spark_entry__ as E
+    from attrix.plans import queries_ml
+    calls = []
+
+    class Seen(Exception):
+        pass
+
+    def recorder(operator):
+        def record(*args, **kw):
+            bound = inspect.signature(operator).bind(*args, **kw)
+            bound.apply_defaults()
+            calls.append(bound.arguments)
+            raise Seen
+        return record
+
+    for name in ("random_search", "model_comparison"):
+        monkeypatch.setattr(queries_ml.ml, name, recorder(getattr(ml, name)))
+    monkeypatch.setattr(queries_ml, "_COMPARISONS", {})
+    found = E.queries()
+    for name in ("ml_random_search", "ml_random_search_forest", "ml_random_search_network", "job_6_model_comparison",
+                 "job_6_comparison_long", "job_6_auc_summary", "job_6_roc_points", "job_6_best_params", "ml_model_selection"):
+        with pytest.raises(Seen):
+            found[name](spark, SF_SMALL)
+    searches, comparisons = calls[:3], calls[3:]
+    assert [c["family"] for c in searches] == ["Logistic Regression", "Random Forest", "DNN"]
+    assert all((c["grid"], c["n_iter"], c["folds"], c["prepared"], c["fixed"]) == (None, None, 5, None, {}) for c in searches)
+    assert len(comparisons) == 6
+    assert all((c["draws"], c["grids"], c["folds"]) == (None, None, 5) for c in comparisons)
+    assert ml.SEARCH_DRAWS == {"Random Forest": 20, "Logistic Regression": 10, "DNN": 10}
