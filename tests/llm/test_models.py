@@ -220,6 +220,13 @@ def test_pipeline_stages(spark, docs):
     assert stages["packing"](spark, out, "").agg(F.sum("length")).first()[0] == n
 
 
+def test_pipeline_keeps_documents_without_any_label(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, "12 !", None), (3, None, None), (4, "语言", None)],
+                                 "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, SF_SMALL)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
