@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over reference blocks.
+"""Substring deduplication by shared windows of words over reference blocks.
 
-Words are runs of non-white space.  A document is factored greedily against the
-reference, which is every document of smaller id: at a position whose next
-``window`` words occur in the reference, a factor starts and grows word by word
-as long as the last ``window`` words still occur; factors of at least
-``window`` words are duplicate spans.  A window that begins inside a factor and
-ends behind it is checked as well, so nothing over a factor's boundary is lost.
+Words are runs of non-white space.  The reference of a document is every document
+of smaller id.  Each run of ``window`` words that occurs there (known by 80 bits
+of hash) is marked, and marked windows that overlap or touch make one duplicate
+span.  This is no Lempel-Ziv parse: nothing is matched word by word, and a span
+has no place in the reference.  Every window is judged, also one over the
+boundary of two passages, so no passage of ``window`` words or more is lost.
 
 The reference is cut into blocks of bounded size (documents dealt by hash), and
 every block indexes its own windows.  What blocks exchange is small:
@@ -16,7 +16,7 @@ every block indexes its own windows.  What blocks exchange is small:
 2. Of windows with such an anchor (candidates), each block publishes an 80-bit
    hash and the smallest id that holds it.  Where another block has a smaller
    id, the window is returned.
-3. Each block factors its documents: a window occurs in the reference if it was
+3. Each block marks the windows of its documents: a window occurs in the reference if it was
    returned or if the block itself has it under a smaller id.
 
 A block sends one row for each distinct anchor or window, so a passage or a copy
@@ -154,7 +154,7 @@ def _publish_windows(window: int):
 
 
 def spans_of(occurs: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy factors [start, end) of one document from its window starts that occur."""
+    """Duplicate spans [start, end) of one document from its window starts that occur."""
     hits = at[occurs]
     if not len(hits):
         return []
