@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, language_id, line_dedup, packing, sentencepiece_bpe, simhash, substring_dedup, token_counts, token_shards
+from . import ann, fingerprints, language_id, line_dedup, merkle, packing, sentencepiece_bpe, simhash, substring_dedup, token_counts, token_shards
 from .common import documents, embeddings, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,80 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~held_out))
     return (language_id.predict(docs.select("doc_id", "text"), model)
             .select("row.doc_id", "lang_pred", "score").withColumn("held_out", held_out))
+
+
+def _crc32(s: str) -> str:
+    """CRC-32 of an ASCII SQL expression, bit by bit."""
+    return f"""xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({s}) + 1), lambda i: ascii({s}[i])::BIGINT),
+        lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, y:
+            CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || {c}, '-')"
+                                   for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+@query("op13_merkle_manifest", f"""
+    with recursive base as (
+        select *, coalesce({_crc32("cast(doc_id as varchar)")} % 7 = 0, false) as hit from documents),
+    rows as (
+        select doc_id, lang, {_leaf_sql("n_chars")} as leaf,
+               case when hit then {_leaf_sql("(n_chars + 1)")} else {_leaf_sql("n_chars")} end as now from base),
+    placed as (
+        select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+               count(*) over (partition by lang) as n from rows),
+    nodes as (
+        select lang, 0 as lvl, pos, leaf as h, n as m from placed
+        union all
+        select lang, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (m + 1) // 2
+        from nodes where m > 1 group by lang, lvl, pos // 2, m),
+    tops as (
+        select lang, h, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n
+        from nodes where m = 1),
+    upper_nodes as (
+        select 0 as lvl, pos, h, n as m from tops
+        union all
+        select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (m + 1) // 2
+        from upper_nodes where m > 1 group by lvl, pos // 2, m),
+    steps as (
+        select p.lang, p.pos as leaf_pos, s.lvl, x.h as sibling, x.pos < s.pos as on_left
+        from placed p join nodes s on s.lang is not distinct from p.lang and s.pos = p.pos >> s.lvl and s.m > 1
+        left join nodes x on x.lang is not distinct from s.lang and x.lvl = s.lvl and x.pos = xor(s.pos, 1)
+        union all
+        select p.lang, p.pos, 1000 + s.lvl, x.h, x.pos < s.pos
+        from placed p join tops t on t.lang is not distinct from p.lang
+        join upper_nodes s on s.pos = t.pos >> s.lvl and s.m > 1
+        left join upper_nodes x on x.lvl = s.lvl and x.pos = xor(s.pos, 1)),
+    numbered as (
+        select *, row_number() over (partition by lang, leaf_pos order by lvl) as k from steps),
+    proofs as (
+        select lang, leaf_pos, sha256(coalesce(string_agg(sibling, '' order by lvl), '')) as proof
+        from steps group by lang, leaf_pos),
+    fold as (
+        select lang, pos as leaf_pos, 0 as k, now as h from placed
+        union all
+        select f.lang, f.leaf_pos, s.k, sha256(case when s.sibling is null then f.h
+                   when s.on_left then s.sibling || f.h else f.h || s.sibling end)
+        from fold f join numbered s on s.lang is not distinct from f.lang and s.leaf_pos = f.leaf_pos and s.k = f.k + 1),
+    ended as (
+        select lang, leaf_pos, arg_max(h, k) as folded_root from fold group by lang, leaf_pos)
+    select p.doc_id, p.leaf, t.h as subroot, r.h as root, coalesce(q.proof, sha256('')) as proof_sha256,
+           e.folded_root, e.folded_root = r.h as verified
+    from placed p join tops t on t.lang is not distinct from p.lang
+    cross join (select h from upper_nodes where m = 1) r
+    join ended e on e.lang is not distinct from p.lang and e.leaf_pos = p.pos
+    left join proofs q on q.lang is not distinct from p.lang and q.leaf_pos = p.pos""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion proofs of all documents, checked against rows of which every seventh or so is tampered with."""
+    docs = documents(spark, sf_dir)
+    fields = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.col("text")]
+    altered = [*fields[:3], F.col("n_chars") + 1, fields[4]]
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    rows = docs.select("doc_id", "lang", merkle.leaf(*fields).alias("leaf"),
+                       F.when(hit, merkle.leaf(*altered)).alias("altered"))
+    found = merkle.manifest(rows, carry=["altered"])
+    now = merkle.folded(F.coalesce("altered", "digest"), F.col("path"))
+    return (found.select(F.col("order").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
+                         merkle.proof_digest(F.col("path")).alias("proof_sha256"), now.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
