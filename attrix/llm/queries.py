@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, language_id, line_dedup, merkle, packing, sentencepiece_bpe, simhash, substring_dedup, token_counts, token_shards
+from . import (ann, fingerprints, language_id, licenses, line_dedup, merkle, packing, periodic, sentencepiece_bpe, simhash,
+               substring_dedup, token_counts, token_shards)
 from .common import documents, embeddings, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +213,87 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (found.select(F.col("order").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
                          merkle.proof_digest(F.col("path")).alias("proof_sha256"), now.alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; where CRC-32 of the id is divisible by ten, the words from
+    one on repeat with a period, both taken from the CRC."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
+                       .alias("words")).withColumn("n", F.size("words"))
+    start = (F.col("g") % F.col("n")).cast("int")
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, start))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    a, p, n = F.col("a"), F.col("p"), F.col("n")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), times)), F.lit(1), n - a)
+    periodic = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
+    return rows.select("doc_id", F.when(a.isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", f"""
+    with cut as (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws,
+               coalesce({_crc32("cast(doc_id as varchar)")}, 1) as h from documents),
+    sized as (select *, len(ws) as n, h // 10 as g from cut),
+    started as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from sized),
+    periodic as (select *, 1 + (n - a) // (3 + g % 8) as p from started),
+    words as (
+        select doc_id, i, n, ws[case when a is null or i < a then i else a + (i - a) % p end + 1] as w
+        from (select *, unnest(range(n)) as i from periodic)),
+    grams as (
+        select doc_id, i, n, case when i + 6 <= n then hash(string_agg(w, ' ') over (
+                   partition by doc_id order by i rows between current row and 5 following)) end as gram
+        from words),
+    lags as (
+        select distinct x.doc_id, y.i - x.i as q from grams x join grams y
+        on x.doc_id = y.doc_id and x.gram = y.gram and y.i > x.i and y.i - x.i <= x.n // 2),
+    same as (
+        select l.doc_id, l.q, x.i, x.i - row_number() over (partition by l.doc_id, l.q order by x.i) as island
+        from lags l join words x on x.doc_id = l.doc_id
+        join words y on y.doc_id = l.doc_id and y.i = x.i + l.q and y.w = x.w),
+    stretches as (
+        select doc_id, q, min(i) as s, count(*) + q as len from same group by doc_id, q, island),
+    runs as (
+        select doc_id, s, len, min(q) as q from stretches where len >= greatest(12, 2 * q) group by doc_id, s, len),
+    summed as (
+        select doc_id, count(*) as n_runs,
+               sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q)) as runs_sha256,
+               arg_min(struct_pack(s := s, len := len, q := q), struct_pack(x := -len, y := s, z := q)) as top
+        from runs group by doc_id),
+    gone as (
+        select distinct doc_id, unnest(range(s + q, s + len)) as i from runs),
+    kept as (
+        select w.doc_id, string_agg(w.w, ' ' order by w.i) as text
+        from words w anti join gone g on w.doc_id = g.doc_id and w.i = g.i group by w.doc_id)
+    select d.doc_id, coalesce(r.n_runs, 0) as n_runs, r.top.s as start, r.top.len as length, r.top.q as period,
+           1000 * r.top.len // r.top.q as exponent_milli, coalesce(r.runs_sha256, sha256('')) as runs_sha256,
+           sha256(coalesce(k.text, '')) as collapsed_sha256
+    from documents d left join summed r on r.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every whole document, a tenth of them with a planted one."""
+    found = periodic.periodic_runs(with_planted_runs(documents(spark, sf_dir).select("doc_id", "text")))
+    top = periodic.longest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"),
+                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                         F.sha2("kept_text", 256).alias("collapsed_sha256"))
+            .select("doc_id", "n_runs", "top.start", "top.length", "top.period",
+                    F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+                    "runs_sha256", "collapsed_sha256"))
+
+
+@query("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of licence names and labels of covered licence notices in every whole document."""
+    found = licenses.scan(documents(spark, sf_dir))
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    both = F.array_sort(F.array_union(base, F.transform("spans", lambda s: s["label"])))
+    at = F.transform("places", lambda p: p["word"])
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+                        F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+                        F.array_join(base, ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), "score")
