@@ -14,8 +14,8 @@ by itself:
   an unseen level encodes as all zeros.
 
 Models differ from the original's libraries where Spark has no equal:
-trees bin continuous features (``maxBins``) and have no
-``min_samples_split``; the dense network is Spark's multilayer perceptron
+trees bin continuous features (``maxBins``), and their ``min_samples_split`` is
+applied to the fitted nodes (:func:`.forests.with_min_split`); the dense network is Spark's multilayer perceptron
 (sigmoid hidden layers, no dropout, no early stopping) — a different
 model, used for the same comparison.
 """
@@ -29,7 +29,6 @@ from typing import Any
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -109,13 +108,12 @@ def _scaling(train: DataFrame, filled: Mapping[str, str]) -> dict[str, tuple[flo
     return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(filled)}
 
 
-def build_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                       scale: bool = False, features_col: str = "features") -> list:
-    """ML-5: stages [fill (and standardise), index, one-hot, assemble]."""
-    fills = _fill_map(train, numeric, categorical)
-    filled = {c: f"CAST(coalesce(CAST(`{c}` AS DOUBLE), {_sql_literal(fills[c])}) AS DOUBLE)" for c in numeric}
-    if scale:
-        scaling = _scaling(train, filled)
+def preprocessing_stages(numeric: Sequence[str], categorical: Sequence[str], fills: Mapping[str, Any],
+                         scaling: Mapping[str, tuple[float, float]] | None, features_col: str = "features") -> list:
+    """ML-5: stages [fill (and standardise), index, one-hot, assemble] from given
+    fill values and (mean, deviation); NaN is missing like NULL."""
+    filled = {c: _filled(c, fills[c]) for c in numeric}
+    if scaling:
         filled = {c: f"(({e}) - {_sql_literal(scaling[c][0])}) / {_sql_literal(scaling[c][1])}" for c, e in filled.items()}
     exprs = [f"CAST({e} AS DOUBLE) AS `num__{c}`" for c, e in filled.items()]
     exprs += [f"coalesce(CAST(`{c}` AS STRING), {_sql_literal(fills[c])}) AS `__txt__{c}`"
@@ -132,6 +130,18 @@ def build_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Se
     return stages
 
 
+def _filled(c: str, fill: float) -> str:
+    return f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {_sql_literal(fill)})"
+
+
+def build_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                       scale: bool = False, features_col: str = "features") -> list:
+    """ML-5: preprocessing stages with fill values (and scaling) learned from ``train``."""
+    fills = _fill_map(train, numeric, categorical)
+    scaling = _scaling(train, {c: _filled(c, fills[c]) for c in numeric}) if scale else None
+    return preprocessing_stages(numeric, categorical, fills, scaling, features_col)
+
+
 def feature_names(scored: DataFrame, features_col: str = "features") -> list[str]:
     """Names of the assembled vector slots, from the column metadata."""
     attrs = scored.schema[features_col].metadata["ml_attr"]["attrs"]
@@ -179,7 +189,7 @@ def logistic_regression(C: float, n_rows: int, label: str = dims.TARGET,
 
 def decision_tree(max_depth: int = 4, min_samples_leaf: int = 1, label: str = dims.TARGET,
                   seed: int = 42) -> DecisionTreeClassifier:
-    """ML-8 (``min_samples_split`` has no Spark counterpart)."""
+    """ML-8; a minimum split size is applied to the fitted tree by :func:`.forests.with_min_split`."""
     return DecisionTreeClassifier(labelCol=label, featuresCol="features", maxDepth=max_depth,
                                   minInstancesPerNode=min_samples_leaf, seed=seed)
 
@@ -233,8 +243,8 @@ def training_history(spark: SparkSession, history: Sequence[float]) -> DataFrame
 # FIXED VALUES: search spaces and numbers of draws of the original
 SEARCH_SPACES: dict[str, dict[str, list]] = {
     "Random Forest": {"n_estimators": [100, 200, 300, 400], "max_depth": [5, 8, 12, 16, None],
-                      "min_samples_leaf": [1, 2, 5, 10], "max_features": ["sqrt", "log2", None],
-                      "class_weight": [None, "balanced"]},
+                      "min_samples_split": [2, 5, 10, 20], "min_samples_leaf": [1, 2, 5, 10],
+                      "max_features": ["sqrt", "log2", None], "class_weight": [None, "balanced"]},
     "Logistic Regression": {"C": logspace(-3, 2, 12), "class_weight": [None, "balanced"]},
     "DNN": {"hidden": [(32,), (64, 32), (128, 64)], "batch_size": [32, 64], "epochs": [20, 30]},
 }
@@ -264,62 +274,24 @@ def classifier(family: str, params: Mapping[str, Any], n_rows: int, n_features:
     return dense_network(n_features, label=label, **p, **fixed)
 
 
-def _prepared(train: DataFrame, others: Sequence[DataFrame], scale: bool, target: str):
-    """Preprocessing fitted on ``train`` alone, applied to all; train gets
-    balanced row weights.  Returns the stages, the tables, rows, features."""
-    nums, cats = feature_columns(train, target)
-    cats = [c for c in cats if not c.startswith("__")]
-    nums = [c for c in nums if not c.startswith("__")]
-    prep = Pipeline(stages=build_preprocessor(train, nums, cats, scale=scale)).fit(train)
-    cols = ["features", F.col(target).cast("double").alias(target)]
-    weighted = me.class_weights(prep.transform(train).select(*cols), target, BALANCED_COL).persist()
-    tables = [weighted, *[prep.transform(x).select(*cols).persist() for x in others]]
-    width = len(feature_names(prep.transform(train.limit(0))))
-    return prep, tables, weighted.count(), width
-
-
-def prepared_folds(train: DataFrame, folds: int = 5, seed: int = 42, target: str = dims.TARGET,
-                   id_col: str = "customer_id", scale: bool = True) -> list[tuple]:
-    """Per fold, and last for the whole table: fitted preprocessing, cached
-    tables (training rows, held-out rows), row and feature counts.  Searches of
-    several families can share them (trees don't depend on the scaling)."""
-    from .split import stratified_folds
-    with_folds = stratified_folds(train, target, id_col, folds, seed, fold_col="__fold").persist()
-    parts = [(with_folds.where(F.col("__fold") != k), [with_folds.where(F.col("__fold") == k)]) for k in range(folds)]
-    out = [_prepared(fit_on, held, scale, target) for fit_on, held in [*parts, (with_folds, [])]]
-    with_folds.unpersist()
-    return out
-
-
-def release_folds(prepared: list[tuple]) -> None:
-    for _prep, tables, _n, _width in prepared:
-        for t in tables:
-            t.unpersist()
-
-
 def random_search(train: DataFrame, family: str, grid: Mapping[str, Sequence[Any]] | None = None,
                   n_iter: int | None = None, folds: int = 5, seed: int = 42, target: str = dims.TARGET,
-                  id_col: str = "customer_id", prepared: list[tuple] | None = None, **fixed):
+                  id_col: str = "customer_id", prepared=None, **fixed):
     """ML-10: seeded draws from a family's search space, AUC-scored by exact
     stratified k-fold cross-validation, refit on the best draw.
 
     Fill values, categories and scaling are fitted on the training folds of each
     split, never on the fold that is scored.  ``prepared`` is the result of
-    :func:`prepared_folds`, made here if absent.  Returns (fitted PipelineModel,
+    :func:`.search.prepare_search`, made here if absent.  Returns (fitted PipelineModel,
     table of (draw, params, mean_auc), best draw as a dict)."""
+    from . import search
     draws = draw_params(grid or SEARCH_SPACES[family], n_iter or SEARCH_DRAWS[family], seed)
-    shared = prepared or prepared_folds(train, folds, seed, target, id_col, scale=family != "Random Forest")
-    evaluator = BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC")
-    aucs = [0.0] * len(draws)
-    for _prep, (x, y), n_rows, width in shared[:-1]:
-        for i, d in enumerate(draws):
-            model = classifier(family, d, n_rows, width, target, **fixed).fit(x)
-            aucs[i] += evaluator.evaluate(model.transform(y)) / (len(shared) - 1)
+    shared = prepared or search.prepare_search(train, folds, seed, target, id_col)
+    aucs = search.search_scores(shared, family, draws, target, seed, **fixed)
     best = max(range(len(draws)), key=lambda i: (aucs[i], -i))
-    prep, (x,), n_rows, width = shared[-1]
-    model = PipelineModel(stages=[*prep.stages, classifier(family, draws[best], n_rows, width, target, **fixed).fit(x)])
+    model = search.refit(shared, family, draws[best], target, seed, **fixed)
     if prepared is None:
-        release_folds(shared)
+        shared.release()
     table = train.sparkSession.createDataFrame([(i, str(d), a) for i, (d, a) in enumerate(zip(draws, aucs, strict=True))],
                                                "draw int, params string, mean_auc double")
     return model, table.orderBy(F.col("mean_auc").desc(), "draw"), draws[best]
@@ -334,6 +306,7 @@ def train_final_model(df: DataFrame, target: str = dims.TARGET, test_size: float
     model, metrics, confusion matrix (% by row), importances, validation
     predictions.  Helper columns and the id are never features."""
     from pyspark import StorageLevel
+    from .forests import with_min_split
     from .split import stratified_split
     # the split table is read once per tree level and by every output below:
     # keep it (memory, spilling to disk; recomputed from lineage if lost)
@@ -343,8 +316,11 @@ def train_final_model(df: DataFrame, target: str = dims.TARGET, test_size: float
     valid = flagged.where(F.col("__is_test") == 1).drop("__is_test")
     nums, cats = feature_columns(df, target)
     stages = build_preprocessor(train, nums, cats)
-    rf = random_forest(rf_params, label=target)
-    model = Pipeline(stages=[*stages, rf]).fit(train.withColumn(target, F.col(target).cast("double")))
+    prep = Pipeline(stages=stages).fit(train)
+    forest = random_forest(rf_params, label=target).fit(
+        prep.transform(train).select("features", F.col(target).cast("double").alias(target)))
+    forest = with_min_split(forest, dict(dims.DEFAULT_RF_PARAMS, **(rf_params or {})).get("min_samples_split"))
+    model = PipelineModel(stages=[*prep.stages, forest])
     preds = validation_predictions(model, valid, target)
     spark = df.sparkSession
     names = feature_names(model.transform(valid.limit(0)))
@@ -382,6 +358,7 @@ def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float
     long), AUC summary, ROC points and the best-parameter table.  ``draws`` and
     ``grids`` default to the original's; ``release(out)`` frees what is cached."""
     from .reshape import stack, to_long
+    from .search import prepare_search
     from .split import stratified_split
     draws = dict(SEARCH_DRAWS, **(draws or {}))
     grids = dict(SEARCH_SPACES, **(grids or {}))
@@ -390,14 +367,14 @@ def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float
     train = flagged.where(F.col("__is_test") == 0).drop("__is_test")
     valid = flagged.where(F.col("__is_test") == 1).drop("__is_test")
     preds, params = [], []
-    shared = prepared_folds(train, folds, seed, target, id_col)
+    shared = prepare_search(train, folds, seed, target, id_col)
     for family, n_draws in draws.items():
         best, _table, chosen = random_search(train, family, grids[family], n_draws, seed=seed, target=target,
                                              prepared=shared)
         preds.append(validation_predictions(best, valid, target).select(
             F.lit(family).alias("model"), "y_true", "y_pred", "p_churn"))
         params += [(family, k, str(v)) for k, v in sorted(chosen.items())]
-    release_folds(shared)
+    shared.release()
     all_preds = stack(preds).persist()
     wide = me.compare_models(all_preds)
     return {

@@ -102,6 +102,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     band = (joined.select(*g, "n", F.explode(F.array_compact(F.array(*parts))).alias("e"))
                   .select(*g, "n", "e.j", "e.k")
                   .groupBy(*g, "n", "j", "k").agg(F.count(F.lit(1)).alias("c")))
+    out = _interpolated(band, g, probs, names, largest_band, band_rows_per_task, sub_buckets)
+    if extra_aggs:
+        out = out.join(extras, g) if g else out.crossJoin(extras)
+    return out
+
+
+def _interpolated(band: DataFrame, g: Sequence[str], probs: Sequence[float], names: Sequence[str],
+                  largest_band: float, band_rows_per_task: int, sub_buckets: int) -> DataFrame:
+    """The quantiles of each group from its band: rows (group columns, ``n`` rows of
+    the group, ``j`` probability, ``k`` value or -inf for all below, ``c`` rows)."""
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     h = (F.col("n") - 1) * F.element_at(probs_arr, F.col("j") + 1)
     if largest_band > band_rows_per_task:
@@ -132,11 +142,54 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
          .otherwise(F.col(f"__xlo{j}") + F.col(f"__t{j}") * (F.col(f"__xhi{j}") - F.col(f"__xlo{j}")))
          .alias(name)
         for j, name in enumerate(names)])
-    if extra_aggs:
-        out = out.join(extras, g) if g else out.crossJoin(extras)
     return out
 
 
+def leave_one_out_medians(long: DataFrame, n_folds: int, accuracy: int = DEFAULT_ACCURACY,
+                          band_rows_per_task: int = BAND_ROWS_PER_TASK) -> tuple[list, DataFrame]:
+    """Exact medians of every column over all rows but those of one fold, for all
+    folds and for the whole table, from one sketch and one band pass.
+
+    ``long`` has rows (column, fold, value).  A sketch per column and fold brackets
+    the fold's own median; the median of any union of folds lies between the least
+    and the largest of them, so one band per column serves all unions.  The rows of
+    the band and the number below it are counted per fold, and a union's counts are
+    the sums of its folds'.  Returns the statistics per column and fold (rows n,
+    mean, m2: one per column and fold) and the table (column, left_out, median);
+    ``left_out`` -1 is the whole table."""
+    data = long.select("column", "fold", F.col("value").cast("double").alias("v")) \
+        .where(F.col("v").isNotNull() & ~F.isnan("v"))
+    margin = _MARGIN_FACTOR / accuracy
+    stats = data.groupBy("column", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count(F.lit(1))).alias("m2"),
+        F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy).alias("s")).collect()
+    names = sorted({r["column"] for r in stats})
+    spark = long.sparkSession
+    if not names:
+        return stats, spark.createDataFrame([], "column string, left_out int, median double")
+    low, high, size = {}, {}, {}
+    for r in stats:
+        small = r["n"] < accuracy
+        c = r["column"]
+        low[c] = min(low.get(c, float("inf")), float("-inf") if small else r["s"][0])
+        high[c] = max(high.get(c, float("-inf")), float("inf") if small else r["s"][1])
+        for k in range(-1, n_folds):
+            if k != r["fold"]:
+                size[c, k] = size.get((c, k), 0) + r["n"]
+    bounds = spark.createDataFrame([(c, low[c], high[c]) for c in names], "column string, lo double, hi double")
+    kept = data.join(F.broadcast(bounds), "column").where(F.col("v") <= F.col("hi"))      # a row per column
+    band = (kept.select("column", "fold", F.when(F.col("v") < F.col("lo"), F.lit(float("-inf"))).otherwise(F.col("v")).alias("k"))
+            .groupBy("column", "fold", "k").agg(F.count(F.lit(1)).alias("c")))
+    unions = F.array(*[F.lit(k) for k in range(-1, n_folds)])
+    band = (band.withColumn("left_out", F.explode(F.filter(unions, lambda u: u != F.col("fold"))))
+            .groupBy("column", "left_out", "k").agg(F.sum("c").alias("c")))
+    sizes = spark.createDataFrame([(c, k, n) for (c, k), n in size.items()], "column string, left_out int, n long")
+    band = band.join(F.broadcast(sizes), ["column", "left_out"]).withColumn("j", F.lit(0))
+    out = _interpolated(band, ["column", "left_out"], [0.5], ["median"], max(size.values()) if min(low.values()) == float("-inf")
+                        else 2 * margin * max(size.values()) * n_folds, band_rows_per_task, SUB_BUCKETS)
+    return stats, out
+
+
 def _rank_in_sub_buckets(band: DataFrame, g: Sequence[str], h, sub_buckets: int) -> DataFrame:
     """Cumulative counts (``cum``) for the band rows that can hold a wanted
     rank, without one window over the whole band of a group.

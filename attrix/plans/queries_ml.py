@@ -271,6 +271,64 @@ def ml_search_network(spark, sf):
     return _search(spark, sf, "DNN")
 
 
+_FOLDED = """
+folded AS (SELECT *, (row_number() OVER (PARTITION BY churned ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id)
+    - 1) % 5 AS fold FROM subscribers),
+unions AS (SELECT u.left_out, f.* FROM folded f JOIN (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS left_out) u ON f.fold <> u.left_out)"""
+
+
+def _prepared(spark, sf):
+    """The subscribers' columns used here, prepared for five folds."""
+    from ..operators.folds import prepare
+    import uuid
+    from ..session import shared_path
+    return prepare(subscribers(spark, sf), _NUM, _TXT, "churned", "customer_id", shared_path(spark, "folds", uuid.uuid4().hex))
+
+
+@register("ml_fold_scaling", with_ctes(" UNION ALL ".join(f"""
+SELECT CAST(left_out AS INTEGER) AS left_out, '{c}' AS "column", round(m, 6) AS median, round(avg(coalesce({c}, m)), 6) AS mean,
+       round(stddev_pop(coalesce({c}, m)), 6) AS deviation
+FROM unions JOIN (SELECT left_out, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m FROM unions GROUP BY 1) USING (left_out)
+GROUP BY left_out, m""" for c in _NUM), _FOLDED))
+def ml_fold_scaling(spark, sf):
+    """ML-1/3/5: median, mean and deviation of every training set "all but one fold" (-1: all), prepared together."""
+    p = _prepared(spark, sf)
+    d = p.design
+    p.release()
+    rows = [(k, c, float(d.fill[k][i]), float(d.mean[k][i]), float(d.std[k][i]))
+            for k in range(-1, p.n_folds) for i, c in enumerate(p.numeric)]
+    return round_doubles(spark.createDataFrame(rows, "left_out int, column string, median double, mean double, deviation double"))
+
+
+@register("ml_fold_levels", with_ctes(" UNION ALL ".join(f"""
+SELECT CAST(left_out AS INTEGER) AS left_out, '{c}' AS "column", arg_min(v, (-n, v)) AS mode, count(*) AS n_levels
+FROM (SELECT left_out, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM unions WHERE {c} IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""
+                                                      for c in _TXT), _FOLDED))
+def ml_fold_levels(spark, sf):
+    """ML-2/4/5: most frequent value and number of categories of every training set, prepared together."""
+    p = _prepared(spark, sf)
+    d = p.design
+    p.release()
+    rows = [(k, c, p.levels[j][int(d.mode[k][j])], int(d.seen[k][d.offsets[j]:d.offsets[j + 1]].sum()))
+            for k in range(-1, p.n_folds) for j, c in enumerate(p.text)]
+    return spark.createDataFrame(rows, "left_out int, column string, mode string, n_levels long")
+
+
+@register("ml_vector_totals", with_ctes(" UNION ALL ".join(
+    [f"""SELECT 'num__{c}' AS feature, round(sum(coalesce({c}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM subscribers))), 6) AS total
+FROM subscribers""" for c in _NUM] +
+    [f"SELECT 'cat__{c}_' || coalesce({c}, {_mode_expr(c)}), CAST(count(*) AS DOUBLE) FROM subscribers GROUP BY 1" for c in _TXT])))
+def ml_vector_totals(spark, sf):
+    """ML-3/4/5: names of the assembled vector's slots and their sums over all customers (of a one-hot slot: the level's rows)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    df = subscribers(spark, sf)
+    scored = Pipeline(stages=ml.build_preprocessor(df, _NUM, _TXT)).fit(df).transform(df)
+    names = F.array(*[F.lit(n) for n in ml.feature_names(scored)])
+    slots = scored.select(F.explode(F.arrays_zip(names.alias("feature"), vector_to_array("features").alias("v"))).alias("s"))
+    return round_doubles(slots.groupBy("s.feature").agg(F.sum("s.v").alias("total")))
+
+
 @register("ml_training_history")
 def ml_history(spark, sf):
     """ML-23: objective per iteration of a logistic regression."""
@@ -419,7 +477,9 @@ def ml_confusion_totals(spark, sf):
     return round_doubles(_bundle(spark, sf)["cm_df"].select("label", (F.col("pred_0") + F.col("pred_1")).alias("total")))
 
 
-@register("ml_model_selection")
+@register("ml_model_selection", with_ctes(
+    "SELECT 'Logistic Regression' AS model, count(*) AS n_rows, CAST(sum(churned) AS BIGINT) AS positives "
+    "FROM r JOIN q USING (st) WHERE rn <= quota", _HOLD_OUT))
 def ml_selection(spark, sf):
     """ML-20: the predictions of one chosen model."""
     chosen = ml.select_model(_comparison(spark, sf), "Logistic Regression")["predictions"]
