@@ -236,10 +236,11 @@ def _long_numeric(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
 
 def outliers_iqr(df: DataFrame, numeric_cols: Sequence[str], iqr_factor: float = 1.5) -> DataFrame:
     """AGG-21 ``detect_outliers_iqr``: per column q1, q3, iqr, bounds, number
-    and percent (of non-null values, rounded to 2) of values outside.  All
+    and percent (of the values that are neither NULL nor NaN, rounded to 2) of values
+    outside.  All
     columns in one unpivoted table: one quantile job and one counting pass
     that carries the quartiles along (the quartile table is used once)."""
-    long = _long_numeric(df, numeric_cols).where(F.col("value").isNotNull())
+    long = _long_numeric(df, numeric_cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     q = exact_quantiles(long, "value", [0.25, 0.75], ["column"], names=["q1", "q3"])
     lo = F.col("q1") - F.lit(iqr_factor) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(iqr_factor) * (F.col("q3") - F.col("q1"))
@@ -270,8 +271,8 @@ def boxplot_stats(df: DataFrame, value: str, group_col: str, whisker: float = 1.
     """AGG-22: q1, median, q3, whiskers (most extreme values inside
     1.5 IQR) and number of outliers per group.  The quartile table is joined
     once and carried through the second aggregate."""
-    base = df.where(F.col(group_col).isNotNull() & F.col(value).isNotNull()) \
-             .select(group_col, F.col(value).cast("double").alias(value))
+    base = df.where(F.col(group_col).isNotNull()).select(group_col, F.col(value).cast("double").alias(value)) \
+             .where(F.col(value).isNotNull() & ~F.isnan(value))
     q = exact_quantiles(base, value, [0.25, 0.5, 0.75], [group_col], names=["q1", "median", "q3"])
     lo = F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))

@@ -327,6 +327,22 @@ def agg_21b(spark, sf):
                                          ["l_extendedprice", "l_quantity"]))
 
 
+#: lineitem with NaN in every fifth price; the oracle's table has NULL there, which NaN must equal
+_HOLED = "(SELECT * REPLACE (CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice) FROM lineitem)"
+
+
+def _holed(spark, sf):
+    from ..sources.io import read_table
+    price = F.when(F.col("l_linenumber") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))
+    return read_table(spark, sf, "lineitem").withColumn("l_extendedprice", price)
+
+
+@register("agg_21_outliers_nan", _outlier_sql(["l_extendedprice", "l_quantity"]).replace("subscribers", _HOLED))
+def agg_21_nan(spark, sf):
+    """AGG-21 over a column with NaN: missing, neither counted nor an outlier."""
+    return round_doubles(pr.outliers_iqr(_holed(spark, sf), ["l_extendedprice", "l_quantity"]))
+
+
 def _box_sql(value: str, group: str, src: str) -> str:
     return f"""
 WITH q AS (SELECT {group} AS g, count(*) AS n, quantile_cont({value}, 0.25) AS q1,
@@ -348,6 +364,12 @@ def agg_22(spark, sf):
                                           "l_returnflag"))
 
 
+@register("agg_22_boxplot_nan", _box_sql("l_extendedprice", "l_returnflag", _HOLED))
+def agg_22_nan(spark, sf):
+    """AGG-22 over a column with NaN."""
+    return round_doubles(pr.boxplot_stats(_holed(spark, sf), "l_extendedprice", "l_returnflag"))
+
+
 @register("agg_22_boxplot_events", _box_sql("value", "event_type", "events"))
 def agg_22b(spark, sf):
     from ..sources.io import read_table

@@ -340,6 +340,20 @@ def ml_history(spark, sf):
     return ml.training_history(spark, model.stages[-1].summary.objectiveHistory)
 
 
+@register("ml_network_history")
+def ml_network_history(spark, sf):
+    """ML-9 / ML-23: loss and AUC of the network per epoch on the training and the hold-out part, with early stopping."""
+    from pyspark.ml import Pipeline
+    from ..operators.split import split_frames
+    df = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
+    train, valid = split_frames(df, "churned", "customer_id", 0.2)
+    nums, cats = ml.feature_columns(df)
+    prep = Pipeline(stages=ml.build_preprocessor(train, nums, cats, scale=True)).fit(train)
+    cut = [prep.transform(x).select("features", "churned") for x in (train, valid)]
+    _model, history = ml.fit_network(*cut, len(ml.feature_names(cut[0].limit(0))), hidden=(64, 32), epochs=30)
+    return history
+
+
 @register("ml_documents_quality")
 def ml_documents(spark, sf):
     """ML on a second real binary target: document quality from length,
@@ -458,6 +472,26 @@ def job_6_params(spark, sf):
     return spark.read.parquet(paths["best_params"])
 
 
+@register("job_7_log_appended_once", with_ctes(
+    "SELECT customer_id, round(p_churn, 6) AS p_churn, CASE WHEN customer_id % 3 = 0 THEN 'late' ELSE 'incoming' END AS source "
+    "FROM scores WHERE model = 'm1'", "scores"))
+def job_7_append(spark, sf):
+    """JOB-7 / SET-2: scored records in two batches, the first appended twice and one attempt
+    left uncommitted; the log holds every record once."""
+    import uuid
+    from ..session import shared_path
+    from ..sources.io import append_once, read_log
+    log = shared_path(spark, "log", uuid.uuid4().hex)
+    records = scores(spark, sf).where(F.col("model") == "m1").select("customer_id", "p_churn")
+    late = F.col("customer_id") % 3 == 0
+    first = records.where(~late).withColumn("source", F.lit("incoming"))
+    for _ in range(2):
+        append_once(first, log, "batch-1")
+    first.write.parquet(f"{log}/data/attempt=b-batch-9.{uuid.uuid4().hex}")
+    append_once(records.where(late).withColumn("source", F.lit("late")), log, "batch-2")
+    return round_doubles(read_log(spark, log, first.schema).select("customer_id", "p_churn", "source"))
+
+
 _HOLD_OUT = _quota_sql("subscribers", "churned", "CAST(ceil(sum(ns) * 0.2) AS BIGINT)")
 
 

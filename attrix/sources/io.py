@@ -8,8 +8,10 @@ write: partitioned files in a shared folder, never a single local file.
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,3 +181,55 @@ def clear_batch(spark: SparkSession, path: str, schema: StructType | str,
                 fmt: str = "parquet") -> str:
     """SNK-2: overwrite a batch location with an empty, typed table."""
     return write_table(spark.createDataFrame([], schema), path, fmt=fmt, mode="overwrite")
+
+
+# -- SET-2 / JOB-7: a log that grows, each batch once --------------------------------------------
+
+def _move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file to a name that must be free; False if it is taken."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(paths[0].toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdir(paths[1].getParent(), jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault(), True)
+    if files.util().exists(paths[1]):
+        return False
+    no_options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        files.rename(paths[0], paths[1], no_options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
+def append_once(records: DataFrame, log_path: str, batch: str) -> bool:
+    """Append the records of ``batch`` to a log, once however often the job runs.
+
+    The records are staged under an attempt of their own; one rename of a small
+    manifest, which names the attempt, to the batch's name commits it.  A job that
+    was repeated finds the name taken (False, nothing is added); an attempt whose
+    writer died has no manifest and is never read."""
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError(f"a batch name has letters, digits, dots and dashes only: {batch}")
+    spark, root = records.sparkSession, log_path.rstrip("/")
+    commits = read_optional(spark, f"{root}/commits", "value string", fmt="text")
+    if commits.where(F.regexp_replace("value", r"\.[0-9a-f]{32}$", "") == f"b-{batch}").count():
+        return False
+    attempt = f"b-{batch}.{uuid.uuid4().hex}"
+    records.write.parquet(f"{root}/data/attempt={attempt}")
+    staged = f"{root}/staged/{attempt}"
+    spark.createDataFrame([(attempt,)], "value string").coalesce(1).write.text(staged)
+    name = [f for f in spark.read.text(staged).inputFiles() if "part-" in f][0]
+    return _move_new(spark, name, f"{root}/commits/{batch}.txt")
+
+
+def read_log(spark: SparkSession, log_path: str, schema: StructType | str) -> DataFrame:
+    """All committed records of a log; batches may differ in columns (missing: NULL)."""
+    root = log_path.rstrip("/")
+    commits = read_optional(spark, f"{root}/commits", "value string", fmt="text").select(F.col("value").alias("attempt"))
+    try:
+        data = spark.read.option("mergeSchema", True).option("basePath", f"{root}/data").parquet(f"{root}/data")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return data.withColumn("attempt", F.col("attempt").cast("string")).join(commits, "attempt", "left_semi").drop("attempt")

@@ -8,10 +8,13 @@ a batch, however many part files it has:
   manifest file that holds its name (:func:`attrix.sources.io.save_batch`).
   The stream reads the manifests; for each announced batch the handler reads
   the whole directory, merges it with the base table, retrains and exports;
-* ST-2: a batch that is absent, empty, unreadable or lacks required columns is
-  skipped, and the reason is logged; the stream goes on;
+* ST-2: a batch that is empty or lacks required columns is skipped, and the reason
+  is logged; the stream goes on.  A read that fails is tried again (``ATTEMPTS``
+  times); only a batch that then is proved absent or damaged is skipped, any other
+  failure ends the stream before its checkpoint passes the batch;
 * ST-3: the checkpoint remembers which manifests were consumed, so a restart
-  resumes after the last committed batch;
+  resumes after the last committed batch; a table of attempts (batch, attempt,
+  error) beside the log remembers the failures across restarts;
 * ST-4: one run per batch name, written under ``<out>/batch=<name>`` with
   overwrite: a replay rewrites the same output (idempotent).
 
@@ -22,6 +25,7 @@ deployment uses a processing-time trigger instead.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -37,6 +41,20 @@ from ..operators.reshape import append_batch
 from ..sources.io import batch_path, manifest_dir, write_table
 
 
+ATTEMPT_SCHEMA = "name string, attempt int, error string"
+#: tries of a batch's read, and seconds between them (times the number of the try)
+ATTEMPTS = 3
+WAIT_SECONDS = 2.0
+# FIXED VALUES: how Spark names a missing or damaged input
+DAMAGE = ("PATH_NOT_FOUND", "Path does not exist", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER",
+          "is not a Parquet file", "MALFORMED_RECORD_IN_PARSING", "MALFORMED_CSV_RECORD", "CSV header does not conform", "ChecksumException")
+
+
+def damaged(error: Exception) -> bool:
+    """Whether an error says that the input itself is absent or can't be read."""
+    return any(name in str(error) for name in DAMAGE)
+
+
 def default_trainer(combined: DataFrame, out_path: str,
                     rf_params: Mapping[str, Any] | None = None) -> None:
     """Retrain the final forest on ``combined`` and export its bundle."""
@@ -61,7 +79,8 @@ def make_batch_handler(batches_dir: str, schema: StructType, base: DataFrame, ou
                        trainer: Callable[[DataFrame, str], None] = default_trainer,
                        log_path: str | None = None, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
     """Handler of a micro-batch of manifests.  ``log_path`` gets one record
-    per announced batch: ``name, status, n_rows, n_new, churn_rate``."""
+    per announced batch: ``name, status, n_rows, n_new, churn_rate``; the table
+    ``<log_path>_attempts`` one per failed read: ``name, attempt, error``."""
     def log(spark: SparkSession, name: str, status: str, combined: DataFrame | None = None, n_new: int = 0) -> None:
         if not log_path:
             return
@@ -73,17 +92,33 @@ def make_batch_handler(batches_dir: str, schema: StructType, base: DataFrame, ou
         write_table(record.select(F.lit(name).alias("name"), F.lit(status).alias("status"), "n_rows",
                                   F.lit(n_new).cast("long").alias("n_new"), "churn_rate"), f"{log_path}/batch={name}")
 
+    def note(spark: SparkSession, name: str, attempt: int, error: Exception) -> None:
+        if log_path:
+            spark.createDataFrame([(name, attempt, str(error).split("\n")[0][:500])], ATTEMPT_SCHEMA).coalesce(1) \
+                .write.mode("append").parquet(f"{log_path}_attempts")
+
+    def read_whole(spark: SparkSession, name: str) -> tuple[DataFrame, int]:
+        batch = read_batch(spark, batches_dir, name, schema, fmt)
+        combined = append_batch(base, batch)                  # SET-1 (column check)
+        # every column is read once, so that a damaged file shows here and not in the middle of training
+        return combined, append_batch(base.limit(0), batch).select(F.hash(*base.columns).alias("h")) \
+            .agg(F.count("h"), F.max("h")).first()[0]
+
     def retrain(spark: SparkSession, name: str) -> None:
-        try:
-            batch = read_batch(spark, batches_dir, name, schema, fmt)
-            combined = append_batch(base, batch)                  # SET-1 (column check)
-            # every column is read once, so that a damaged file shows here and not in the middle of training
-            n_new = append_batch(base.limit(0), batch).select(F.hash(*base.columns).alias("h")) \
-                .agg(F.count("h"), F.max("h")).first()[0]
-        except ValueError as e:                                   # ST-2: columns missing
-            return log(spark, name, f"skipped: {e}")
-        except (PySparkException, Py4JError):                     # ST-2: absent or unreadable
-            return log(spark, name, "skipped: unreadable")
+        for attempt in range(1, ATTEMPTS + 1):
+            try:
+                combined, n_new = read_whole(spark, name)
+                break
+            except ValueError as e:                               # ST-2: columns missing
+                return log(spark, name, f"skipped: {e}")
+            except (PySparkException, Py4JError) as e:
+                note(spark, name, attempt, e)
+                if attempt < ATTEMPTS:
+                    time.sleep(WAIT_SECONDS * attempt)
+                elif damaged(e):                                  # ST-2: absent or unreadable every time
+                    return log(spark, name, "skipped: unreadable")
+                else:
+                    raise
         if not n_new:
             return log(spark, name, "skipped: empty")
         trainer(combined, f"{out_root.rstrip('/')}/batch={name}")     # ST-4

@@ -3,11 +3,12 @@
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from attrix.operators import filters as fl
 from attrix.plans.jobs import combined_training_job
-from attrix.sources.io import (Catalogue, clear_batch, read_data, read_export, read_optional, save_batch,
-                               write_table)
+from attrix.sources.io import (Catalogue, _move_new, append_once, clear_batch, read_data, read_export, read_log,
+                               read_optional, save_batch, write_table)
 
 
 def test_csv_roundtrip_and_row_cap(spark):
@@ -52,3 +53,23 @@ def test_require_rows(spark):
     assert fl.require_rows(df).count() == 1
     with pytest.raises(ValueError):
         fl.require_rows(df.where("x > 5"))
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    """The same batch twice is one set of records; torn and uncommitted attempts are invisible."""
+    log = f"file://{tmp_path}/log"
+    first = spark.createDataFrame([(1, 0.5), (2, 0.25)], "id long, p double")
+    assert read_log(spark, log, "id long, p double").count() == 0
+    assert append_once(first, log, "2024-01-01") and not append_once(first, log, "2024-01-01")
+    assert append_once(first.withColumn("note", F.lit("x")).drop("p"), log, "2024-01-01.b")     # other columns
+    # a writer that died before its commit, and one that died while writing
+    first.write.parquet(f"{log}/data/attempt=b-2024-01-02.{'0' * 32}")
+    (tmp_path / "log/data/attempt=b-2024-01-03.1/_temporary").mkdir(parents=True)
+    rows = read_log(spark, log, "id long, p double").orderBy("note", "id").collect()
+    assert [(r.id, r.p, r.note) for r in rows] == [(1, 0.5, None), (2, 0.25, None), (1, None, "x"), (2, None, "x")]
+    # two writers that both found the name free: the second rename is refused
+    source = tmp_path / "late.txt"
+    source.write_text("late")
+    assert not _move_new(spark, f"file://{source}", f"{log}/commits/2024-01-01.txt")
+    with pytest.raises(ValueError):
+        append_once(first, log, "a/b")

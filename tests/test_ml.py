@@ -131,3 +131,18 @@ def test_registered_searches_are_whole(spark, monkeypatch):
     assert len(comparisons) == 6
     assert all((c["draws"], c["grids"], c["folds"]) == (None, None, 5) for c in comparisons)
     assert ml.SEARCH_DRAWS == {"Random Forest": 20, "Logistic Regression": 10, "DNN": 10}
+
+
+def test_network_stops_early_and_keeps_the_best_epoch(spark):
+    """Labels of pure noise: the loss on other rows soon rises, training ends before its last epoch."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(0)
+    rows = [(Vectors.dense(rng.normal(size=8).tolist()), float(rng.integers(0, 2))) for _ in range(120)]
+    train, valid = (spark.createDataFrame(rows[a:a + 60], ["features", "churned"]) for a in (0, 60))
+    model, history = ml.fit_network(train, valid, 8, hidden=(16,), epochs=40, patience=2, steps=5)
+    h = [tuple(r) for r in history.orderBy("epoch").collect()]
+    best = min(range(len(h)), key=lambda i: h[i][3])
+    assert len(h) < 40 and len(h) == best + 3                          # two epochs behind the best one
+    assert h[best][1] > h[-1][1]                                       # the training loss went on falling
+    assert ml._losses(model, valid, "churned") == pytest.approx((h[best][3], h[best][4]))

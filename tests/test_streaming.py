@@ -52,6 +52,7 @@ def test_batches_are_the_unit(spark):
     assert {k: r["status"].split(":")[0] for k, r in log.items()} == {
         "b1": "trained", "b2": "trained", "b_empty": "skipped", "b_broken": "skipped", "b_columns": "skipped",
         "b_absent": "skipped"}
+    assert {r.name for r in spark.read.parquet(f"{run}/log_attempts").collect()} == {"b_broken", "b_absent"}
     assert log["b1"]["n_rows"] == n_base + part(1).count() and log["b1"]["n_new"] == part(1).count()
 
 
@@ -64,3 +65,47 @@ def test_csv_batch(spark):
     start_retraining(spark, f"{run}/batches", base.schema, base, f"{run}/out", f"{run}/ckpt", fmt="csv",
                      trainer=lambda c, _out: seen.append(c.count())).awaitTermination()
     assert seen == [10]
+
+
+def test_a_transient_failure_is_tried_again(spark, monkeypatch, tmp_path):
+    """A reader that fails twice and then works: trained once, two failures in the table."""
+    import pytest
+    from pyspark.errors import PySparkException
+    from pyspark.sql.streaming import StreamingQueryException
+
+    from attrix.streaming import retrain
+    run = str(tmp_path)
+    base = spark.createDataFrame([(1, 0), (2, 1)], "customer_id long, churned long")
+    monkeypatch.setattr(retrain, "WAIT_SECONDS", 0.01)
+    read, calls, seen = retrain.read_batch, [], []
+
+    def flaky(failures):
+        def fail(*args):
+            calls.append(args[2])
+            if len(calls) <= failures:
+                raise PySparkException("executor lost")
+            return read(*args)
+        return fail
+
+    def stream():
+        retrain.start_retraining(spark, f"{run}/batches", base.schema, base, f"{run}/out", f"{run}/ckpt", log_path=f"{run}/log",
+                                 trainer=lambda c, _out: seen.append(c.count())).awaitTermination()
+
+    save_batch(spark.createDataFrame([(7, 1)], base.schema), f"{run}/batches", batch_name="b1")
+    monkeypatch.setattr(retrain, "read_batch", flaky(2))
+    stream()
+    assert seen == [3] and calls == ["b1"] * 3
+    noted = spark.read.parquet(f"{run}/log_attempts").orderBy("attempt").collect()
+    assert [(r.name, r.attempt, r.error) for r in noted] == [("b1", 1, "executor lost"), ("b1", 2, "executor lost")]
+
+    # one that goes on failing ends the stream; nothing is skipped, and a restart trains it
+    save_batch(spark.createDataFrame([(8, 1), (9, 0)], base.schema), f"{run}/batches", batch_name="b2")
+    calls.clear()
+    monkeypatch.setattr(retrain, "read_batch", flaky(99))
+    with pytest.raises(StreamingQueryException):
+        stream()
+    assert len(calls) == retrain.ATTEMPTS and seen == [3]
+    monkeypatch.setattr(retrain, "read_batch", read)
+    stream()
+    assert seen == [3, 4]
+    assert {r["name"]: r["status"] for r in read_data(spark, f"{run}/log", fmt="parquet").collect()} == {"b1": "trained", "b2": "trained"}
