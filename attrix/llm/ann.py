@@ -13,9 +13,16 @@ blocks, meet every shard's index; a beam search in each gives candidates whose
 exact cosine (double precision, original vectors) decides; the best of all
 shards win, ties to the smaller id.
 
+Norms are taken of vectors scaled by a power of two to components around one, so
+very large and very small finite vectors keep their cosine.
+
+Shards hold ``SHARD_ROWS`` vectors; a small table is cut finer, down to
+``LEAST_ROWS``, so that all cores build.  A query's work grows with the number of
+shards, so shards are as large as a task's memory allows.
+
 Defined cases: a vector that is NULL, zero, or has NULL or non-finite
-components takes no part, as query or candidate; one whose length isn't the
-commonest raises.  NULL ids take no part.  A query's own row isn't among its
+components takes no part, as query or candidate; neither does one whose length
+isn't the commonest of the table (ties: the smaller length).  NULL ids take no part.  A query's own row isn't among its
 candidates; other rows with an equal vector are.  Fewer candidates than ``k``:
 all of them.  Repeated ids are rows of their own as candidates; a query id that
 occurs more than once is asked once for each distinct vector.
@@ -32,7 +39,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 16_384
+LEAST_ROWS = 4096
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
@@ -60,6 +68,7 @@ def _beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, be
         take = np.argsort(-masked, axis=1)[:, :2]
         rows = np.arange(len(active))[:, None]
         real = np.isfinite(masked[rows, take])
+        open_[active[~real.any(1)]] = False              # every round expands a node or closes the query
         node = np.where(real, ids[active[:, None], take], entry)
         a_rows = np.repeat(active, 2).reshape(-1, 2)
         open_[a_rows[real], take[real]] = False
@@ -135,6 +144,11 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return edges, entry
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to [0.5, 1)."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
 def _cosines(a: np.ndarray, norm_a: float, b: np.ndarray, norm_b: np.ndarray) -> np.ndarray:
     return (b * a).sum(1) / (norm_a * norm_b)
 
@@ -147,12 +161,14 @@ class Shard:
         order = np.lexsort((ids, inverse.ravel()))
         self.ids = ids[order]
         self.start = np.searchsorted(inverse.ravel()[order], np.arange(len(self.vectors) + 1))
+        self.vectors = _scaled(self.vectors)
         self.norm = np.sqrt((self.vectors ** 2).sum(1))
         self.unit = (self.vectors / self.norm[:, None]).astype(np.float32)
         self.edges, self.entry = build_graph(self.unit, degree, beam, alpha)
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, ...]:
         """(query position, vec_id, score) of the k best candidates of each query."""
+        queries = _scaled(queries)
         norm = np.sqrt((queries ** 2).sum(1))
         out = ([], [], [])
         for i in range(0, len(queries), QUERY_BLOCK):
@@ -180,7 +196,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
-    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    # one row: the commonest length
+    common = sizes.agg(F.min_by("size", F.struct((-F.col("n")).alias("fewer"), "size")).alias("common"))
+    return rows.join(F.broadcast(common), F.size("v") == F.col("common")).select("vec_id", "v")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -190,10 +210,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1).astype(np.float64)
 
 
+def _shards(n: int, cores: int, shard_rows: int) -> int:
+    return max(1, -(-n // shard_rows), min(cores, -(-n // LEAST_ROWS)))
+
+
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM,
                 alpha: float = ALPHA) -> DataFrame:
     """``shard, index`` (binary) over ``vec_id, v``; every row is indexed."""
-    shards = max(1, -(-vectors.count() // shard_rows))
+    shards = _shards(vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism, shard_rows)
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -208,12 +232,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, b
     """``query_id, rank, vec_id, score``: the k nearest of every query
     (``vec_id, v``) over all shards, by beam search in each shard's graph.
 
-    Queries go in blocks; a block meets every shard's index once."""
-    blocks = blocks or max(1, -(-queries.count() // (4 * QUERY_BLOCK)))
+    Queries go in blocks of some thousands; each pair of block and shard is a task."""
+    blocks = blocks or max(1, -(-queries.count() // (16 * QUERY_BLOCK)))
     asked = (queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
              .groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries")))
     last = index.agg(F.max("shard")).first()[0] or 0
-    each = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"))
+    # a task for each pair of block and shard: a shard's index goes to every block
+    pairs = asked.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"))
+    copies = index.select("shard", "index", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +255,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, b
                      pa.array(found.astype(np.int64)), pa.array(score.astype(np.float64))],
                     ["query_id", "position", "vec_id", "score"])
 
-    found = (each.repartition(blocks * (last + 1), "shard").join(index, "shard").select("index", "queries")
+    tasks = blocks * (last + 1)
+    found = (pairs.repartition(tasks, "shard", "block").join(copies.repartition(tasks, "shard", "block"), ["shard", "block"])
+             .select("index", "queries")
              .mapInArrow(run, "query_id long, position long, vec_id long, score double"))
     order = Window.partitionBy("query_id", "position").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -5,10 +5,11 @@ Keys long enough and held by enough documents lose all their lines except in
 the document with the largest id.
 
 1. Lines become rows (128-bit key hash, document, position): no text is moved.
-2. They are range-partitioned by hash and document, the documents of a hash in
-   descending order, and sorted by position inside.  A hash that a third of all
-   lines share spreads over many ranges, because the document is part of the
-   range.  Streaming over a range makes one row per (hash, document).
+2. They are dealt by ranges: the hash space is cut into equal ranges (hashes are
+   uniform, so no sampling pass is needed), each cut again by document, so that a
+   hash that a third of all lines share spreads over many tasks.  Inside, rows are
+   sorted by hash, document (descending) and position, and streaming over them
+   makes one row per (hash, document).
 3. Per hash, the first occurrence (largest document) and the number of
    documents: partial sums in each range leave one row per hash and range.
 4. Hashes with enough documents meet the (hash, document) rows again; the rows
@@ -18,9 +19,10 @@ the document with the largest id.
    lines, only those that drop any.  The text is touched again only by
    ``kept_text``.
 
-Defined cases: NULL or empty text is one empty line.  Every row is a document
-of its own for the count; rows that share the largest id all keep their lines.
-A NULL ``doc_id`` ranks below every id.  Rows with equal id and text have equal
+Defined cases: NULL or empty text is one empty line.  Documents are counted by
+``doc_id``: rows of equal id are one document, and so are rows without an id;
+rows that share the largest id all keep their lines.  A NULL ``doc_id`` ranks
+below every id.  Rows with equal id and text have equal
 bitmaps.  An empty table gives an empty result.
 """
 
@@ -33,6 +35,8 @@ from .common import ASCII_SPACE, ascii_lower, picked
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: the hash space has 2^RANGE_BITS ranges, each with as many parts by document
+RANGE_BITS = 14
 
 
 def lines_of(text: Column) -> Column:
@@ -55,11 +59,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
              .where(F.char_length("key") >= min_chars)
              .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"),
                      "doc_id", "text_hash", "pos"))
-    held = (lines
-            .repartitionByRange("h1", "h2", F.desc("doc_id"), "text_hash")
-            .sortWithinPartitions("h1", "h2", F.desc("doc_id"), "text_hash", "pos")
-            .groupBy("h1", "h2", "doc_id", "text_hash")
-            .agg(F.collect_list("pos").alias("at"))
+    order = ["h1", "h2", F.desc("doc_id"), "text_hash", "pos"]
+    ranges = lines.withColumn("range", F.shiftright("h1", 64 - RANGE_BITS)) \
+        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(1 << RANGE_BITS)))
+    held = (ranges.repartition("range", "part")
+            .sortWithinPartitions(*order)
+            .groupBy("range", "part", "h1", "h2", "doc_id")
+            .agg(F.collect_list(F.struct("text_hash", "pos")).alias("at"))
+            .drop("range", "part")
             .checkpoint())      # read twice below; the lines are split and hashed once
     first = (held.groupBy("h1", "h2")
              .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
@@ -69,7 +76,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
              .select(*[F.col(h).bitwiseXOR(F.lit(0).cast("long")).alias(h) for h in ("h1", "h2")], "keeper"))
     gone = (held.join(first, ["h1", "h2"])
             .where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
-            .select("doc_id", "text_hash", F.explode("at").alias("pos")))
+            .select("doc_id", F.inline("at")))
     words = (gone.groupBy("doc_id", "text_hash", F.shiftright("pos", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(pos & 63 as int))")).alias("bits")))
     return words.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))

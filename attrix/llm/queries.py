@@ -27,18 +27,18 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_line_dedup", """
     with lines as (
-        select doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        select n, doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
-        from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos
-              from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+        from (select n, doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos
+              from (select row_number() over () as n, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
     first as (
         select key, max(doc_id) as keeper from lines where length(key) >= 20
-        group by key having count(distinct doc_id) >= 3)
-    select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+        group by key having count(distinct coalesce(cast(doc_id as varchar), '')) >= 3)
+    select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
            sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
-    from (select l.*, f.keeper is not null and l.doc_id < f.keeper as gone
+    from (select l.*, f.keeper is not null and coalesce(l.doc_id < f.keeper, true) as gone
           from lines l left join first f on l.key = f.key)
-    group by doc_id""")
+    group by n""")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that documents keep once repeated lines are dropped."""
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))

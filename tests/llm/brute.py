@@ -18,12 +18,12 @@ def rank_id(i) -> tuple:
 
 
 def line_dedup(docs: list[tuple], min_chars: int = 20, min_docs: int = 3) -> list[tuple]:
-    """(n_lines, n_dropped, kept) of each (doc_id, text) row."""
+    """(n_lines, n_dropped, kept) of each (doc_id, text) row; rows of equal id are one document."""
     cut = [(d, (t or "").split("\n")) for d, t in docs]
-    held = defaultdict(list)
+    held = defaultdict(set)
     for d, lines in cut:
         for k in {low(x.strip(SPACE)) for x in lines}:
-            held[k].append(rank_id(d))
+            held[k].add(rank_id(d))
     out = []
     for d, lines in cut:
         kept = []

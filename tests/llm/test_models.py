@@ -143,6 +143,26 @@ def test_unusable_vectors(spark):
     assert ann.search(ann.build_index(none), none, 5).count() == 0
 
 
+def test_vectors_of_extreme_size_and_odd_length(spark):
+    """Finite vectors take part whatever their size; those of another length than the commonest don't."""
+    rows = [(0, [1.0, 1.0]), (50, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [2.0, 1.0]), (3, [-1e308, 1e308]), (4, [5e-324, 0.0]),
+            (5, [1.0]), (6, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0])]
+    df = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index = ann.build_index(df).checkpoint()
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in
+           ann.search(index, df.where("vec_id % 50 = 0"), k=5).collect()}
+    assert {q for q, _ in got} == {0, 50} and len(got) == 10
+    want = [(50, 1.0), (1, 3 / 10 ** 0.5), (2, 3 / 10 ** 0.5), (4, 0.5 ** 0.5), (3, 0.0)]
+    assert sorted(got[0, i][0] for i in range(2, 4)) == [1, 2]
+    assert [got[0, i][1] for i in range(1, 6)] == pytest.approx([s for _, s in want], abs=1e-12)
+    assert got[50, 1][0] == 0 and got[50, 1][1] == pytest.approx(1.0)
+
+
+def test_shards_grow_with_the_table():
+    assert ann._shards(0, 8, 16_384) == 1 and ann._shards(10_000, 8, 16_384) == 3
+    assert ann._shards(100_000, 8, 16_384) == 8 and ann._shards(10 ** 8, 8, 16_384) == 6104
+
+
 # ---- 10 -----------------------------------------------------------------------
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "lang")
