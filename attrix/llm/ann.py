@@ -16,10 +16,6 @@ shards win, ties to the smaller id.
 Norms are taken of vectors scaled by a power of two to components around one, so
 very large and very small finite vectors keep their cosine.
 
-Shards hold ``SHARD_ROWS`` vectors; a small table is cut finer, down to
-``LEAST_ROWS``, so that all cores build.  A query's work grows with the number of
-shards, so shards are as large as a task's memory allows.
-
 Defined cases: a vector that is NULL, zero, or has NULL or non-finite
 components takes no part, as query or candidate; neither does one whose length
 isn't the commonest of the table (ties: the smaller length).  NULL ids take no part.  A query's own row isn't among its
@@ -39,8 +35,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 16_384
-LEAST_ROWS = 4096
+SHARD_ROWS = 4096
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
@@ -210,14 +205,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1).astype(np.float64)
 
 
-def _shards(n: int, cores: int, shard_rows: int) -> int:
-    return max(1, -(-n // shard_rows), min(cores, -(-n // LEAST_ROWS)))
-
-
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM,
                 alpha: float = ALPHA) -> DataFrame:
     """``shard, index`` (binary) over ``vec_id, v``; every row is indexed."""
-    shards = _shards(vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism, shard_rows)
+    shards = max(1, -(-vectors.count() // shard_rows))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:

@@ -3,10 +3,11 @@
 Every document is its token ids and one end id.  Whole windows are cut off
 long documents; the remainder goes, online, to the fill level that makes the
 sum over levels of (number of windows at that level)^2 smallest.  The state is
-one level array and the open windows of one task.  When a task's rows end, the
-emptiest open windows are cut up to fill the fullest, so a task leaves at most
-one window that isn't full, and that one is cut at powers of two, which need
-no padding.
+one level array and at most ``OPEN`` open windows.  When more are open (pieces that
+never add up to a window), and when a task's rows end, the emptiest open windows are
+cut up to fill the fullest: half of the open ones in the first case, all of them at
+the end.  So memory is bounded whatever the lengths, and a task leaves at most one
+window that isn't full, which is cut at powers of two and needs no padding.
 
 Each task packs its own rows: no shuffle, nothing gathered.  Window ids are
 (task number, running number), so a rerun of a lost task makes the same rows.
@@ -29,8 +30,8 @@ from . import byte_bpe
 from .common import picked, text_slices, tokenizer_path
 
 WINDOW = 1024
-#: The last window of a task is cut into powers of two down to this length.
-LEAST_TAIL = 16
+#: Windows that may be open at once in a task (4 KB each).
+OPEN = 2048
 TASK_BITS = 36
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -47,6 +48,7 @@ class SumOfSquaresPacker:
         self.count = np.zeros(window + 1, np.int64)     # level array: open windows at each fill level
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.done: list[tuple] = []
+        self.n_open = 0
 
     def _close(self, pieces: list) -> None:
         offset = 0
@@ -86,6 +88,7 @@ class SumOfSquaresPacker:
         level = self._level_for(size)
         pieces = self.open[level].pop() if level else []
         self.count[level] -= level > 0
+        self.n_open -= level > 0
         pieces.append(piece)
         level += size
         if level == self.window:
@@ -93,12 +96,16 @@ class SumOfSquaresPacker:
         else:
             self.open[level].append(pieces)
             self.count[level] += 1
+            self.n_open += 1
+            if self.n_open > OPEN:
+                self._fill(OPEN // 2)
 
-    def finish(self) -> None:
-        """Fill the fullest open windows with cut pieces of the emptiest."""
+    def _fill(self, keep: int) -> list[list]:
+        """Fill the fullest open windows with cut pieces of the emptiest until ``keep``
+        are open (or one is); returns what is left, which stays open."""
         left = [w for level in self.open for w in level]           # emptiest first
         lo, hi = 0, len(left) - 1
-        while lo < hi:
+        while lo < hi and hi - lo + 1 > keep:
             room = self.window - sum(len(p[2]) // 4 for p in left[hi])
             while room and lo < hi:
                 if not left[lo]:
@@ -115,12 +122,20 @@ class SumOfSquaresPacker:
                 break
             self._close(left[hi])
             hi -= 1
-        rest = [p for w in left[lo:hi + 1] for p in w]
+        left = [w for w in left[lo:hi + 1] if w]
+        self.open = [[] for _ in range(self.window + 1)]
+        for w in left:
+            self.open[sum(len(p[2]) // 4 for p in w)].append(w)
+        self.count[:] = list(map(len, self.open))
+        self.n_open = len(left)
+        return left
+
+    def finish(self) -> None:
+        """Close all windows; the last one is cut into powers of two."""
+        rest = [p for w in self._fill(1) for p in w]
         size = sum(len(p[2]) // 4 for p in rest)
         while size:
             take = 1 << (size.bit_length() - 1)
-            if take < LEAST_TAIL:
-                take = size
             size -= take
             head = []
             while take:
@@ -134,6 +149,7 @@ class SumOfSquaresPacker:
             self._close(head)
         self.open = [[] for _ in range(self.window + 1)]
         self.count[:] = 0
+        self.n_open = 0
 
     def take(self) -> pa.RecordBatch | None:
         if not self.done:

@@ -243,7 +243,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     roots = components(links(nodes.select("fp"), distance))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    # a computed key, so that the join shuffles both of its sides itself: only then does
+    # adaptive execution split a component of very many fingerprints
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id")) \
+        .select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("root"), "component_id")
     of = joined.join(lowest, "root").select("fp", "root", "component_id")
     return marked.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 

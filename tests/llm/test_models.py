@@ -158,11 +158,6 @@ def test_vectors_of_extreme_size_and_odd_length(spark):
     assert got[50, 1][0] == 0 and got[50, 1][1] == pytest.approx(1.0)
 
 
-def test_shards_grow_with_the_table():
-    assert ann._shards(0, 8, 16_384) == 1 and ann._shards(10_000, 8, 16_384) == 3
-    assert ann._shards(100_000, 8, 16_384) == 8 and ann._shards(10 ** 8, 8, 16_384) == 6104
-
-
 # ---- 10 -----------------------------------------------------------------------
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "lang")
