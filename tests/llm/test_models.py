@@ -242,6 +242,17 @@ def test_pipeline_keeps_documents_without_any_label(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
 
 
+def test_pipeline_rejects_long_undecided_texts_only(spark, monkeypatch):
+    scores = {1: 0.30, 2: 0.32, 3: 0.30, 4: 0.99}
+    docs = spark.createDataFrame([(1, "a" * 600, "x"), (2, "b" * 600, "y"), (3, "short", "z"), (4, "d" * 600, "w")],
+                                 "doc_id long, text string, lang string")
+    def predict(rows, model):
+        found = F.create_map(*[F.lit(v) for kv in scores.items() for v in kv])[F.col("doc_id")]
+        return rows.select(F.struct("*").alias("row"), F.lit("x").alias("lang_pred"), found.alias("score"))
+    monkeypatch.setattr(corpus_pipeline.language_id, "predict", predict)
+    assert sorted(r[0] for r in corpus_pipeline.identify_language(spark, docs, "").select("doc_id").collect()) == [2, 3, 4]
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
