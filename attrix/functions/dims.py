@@ -3,7 +3,7 @@
 Everything in this module is data, not logic: state names, codes and
 regions, coordinates, bin edges and labels, risk thresholds and display
 labels.  They are stated once, in their natural order, and turned into Spark
-lookups by :mod:`attrix.functions.lookup`.
+lookups by :mod:`attrix.operators.features`.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from .conftest import SF_SMALL
 
 # queries that train, stream or need the larger scale when they are planned
 HEAVY = ("job_4", "job_6", "job_7", "st_retrain", "spl_2", "ml_rf_", "ml_holdout", "ml_confusion_totals", "ml_model_selection",
-         "ml_decision_tree", "ml_random_search", "ml_dense_network", "ml_logreg", "ml_documents", "ml_training_history")
+         "ml_decision_tree", "ml_random_search", "ml_dense_network", "ml_network", "ml_fold", "ml_logreg", "ml_documents", "ml_training_history")
 
 
 def plan_text(df) -> str:
