@@ -407,7 +407,7 @@ def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float
     flagged = stratified_split(data, target, id_col, test_size, seed=seed, flag_col="__is_test").persist()
     train = flagged.where(F.col("__is_test") == 0).drop("__is_test")
     valid = flagged.where(F.col("__is_test") == 1).drop("__is_test")
-    preds, params = [], []
+    preds, params, models = [], [], {}
     shared = prepare_search(train, folds, seed, target, id_col)
     for family, n_draws in draws.items():
         best, _table, chosen = random_search(train, family, grids[family], n_draws, seed=seed, target=target,
@@ -415,6 +415,7 @@ def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float
         preds.append(validation_predictions(best, valid, target).select(
             F.lit(family).alias("model"), "y_true", "y_pred", "p_churn"))
         params += [(family, k, str(v)) for k, v in sorted(chosen.items())]
+        models[family] = best
     shared.release()
     all_preds = stack(preds).persist()
     wide = me.compare_models(all_preds)
@@ -426,6 +427,7 @@ def model_comparison(df: DataFrame, target: str = dims.TARGET, test_size: float
         "best_params": df.sparkSession.createDataFrame(params, "model string, param string, value string"),
         "predictions": all_preds,
         "data": flagged,
+        "models": models,
     }
 
 

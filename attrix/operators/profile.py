@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions import dims
 from ..functions.binning import cut, label_table
 from ..functions.columns import classify_risk, half_even
+from .fences import fenced_quartiles
 from .groups import attach_per_group
 from .quantiles import exact_quantiles, modes
 
@@ -237,25 +238,13 @@ def _long_numeric(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
 def outliers_iqr(df: DataFrame, numeric_cols: Sequence[str], iqr_factor: float = 1.5) -> DataFrame:
     """AGG-21 ``detect_outliers_iqr``: per column q1, q3, iqr, bounds, number
     and percent (of the values that are neither NULL nor NaN, rounded to 2) of values
-    outside.  All
-    columns in one unpivoted table: one quantile job and one counting pass
-    that carries the quartiles along (the quartile table is used once)."""
-    long = _long_numeric(df, numeric_cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    q = exact_quantiles(long, "value", [0.25, 0.75], ["column"], names=["q1", "q3"])
-    lo = F.col("q1") - F.lit(iqr_factor) * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + F.lit(iqr_factor) * (F.col("q3") - F.col("q1"))
-    counted = (attach_per_group(long, q, ["column"])
-               .groupBy("column")
-               .agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"),
-                    F.count(F.lit(1)).alias("__n"),
-                    F.sum(((F.col("value") < lo) | (F.col("value") > hi)).cast("long")).alias("n_outliers")))
-    return (counted.withColumn("iqr", F.col("q3") - F.col("q1"))
-                   .withColumn("lower_bound", F.col("q1") - F.lit(iqr_factor) * F.col("iqr"))
-                   .withColumn("upper_bound", F.col("q3") + F.lit(iqr_factor) * F.col("iqr"))
-                   .withColumn("pct_outliers", half_even(F.col("n_outliers") * 100.0 / F.col("__n"), 2))
-                   .select("column", "q1", "q3", "iqr", "lower_bound", "upper_bound", "n_outliers",
-                           "pct_outliers")
-                   .orderBy(F.col("pct_outliers").desc(), "column"))
+    outside.  All columns in two scans of the wide rows (:mod:`.fences`)."""
+    found = fenced_quartiles(df, numeric_cols, iqr_factor)
+    return (found.withColumn("iqr", F.col("q3") - F.col("q1"))
+                 .withColumn("pct_outliers", half_even(F.col("n_outliers") * 100.0 / F.col("n"), 2))
+                 .select("column", "q1", "q3", "iqr", "lower_bound", "upper_bound", "n_outliers",
+                         "pct_outliers")
+                 .orderBy(F.col("pct_outliers").desc(), "column"))
 
 
 def boxplot_long(df: DataFrame, metric_col: str, churn_col: str = dims.TARGET,
@@ -269,21 +258,10 @@ def boxplot_long(df: DataFrame, metric_col: str, churn_col: str = dims.TARGET,
 
 def boxplot_stats(df: DataFrame, value: str, group_col: str, whisker: float = 1.5) -> DataFrame:
     """AGG-22: q1, median, q3, whiskers (most extreme values inside
-    1.5 IQR) and number of outliers per group.  The quartile table is joined
-    once and carried through the second aggregate."""
-    base = df.where(F.col(group_col).isNotNull()).select(group_col, F.col(value).cast("double").alias(value)) \
-             .where(F.col(value).isNotNull() & ~F.isnan(value))
-    q = exact_quantiles(base, value, [0.25, 0.5, 0.75], [group_col], names=["q1", "median", "q3"])
-    lo = F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))
-    inside = (F.col(value) >= lo) & (F.col(value) <= hi)
-    return (attach_per_group(base, q, [group_col])
-            .groupBy(group_col)
-            .agg(F.count(F.lit(1)).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
-                 F.first("q3").alias("q3"),
-                 F.min(F.when(inside, F.col(value))).alias("lower_whisker"),
-                 F.max(F.when(inside, F.col(value))).alias("upper_whisker"),
-                 F.sum((~inside).cast("long")).alias("n_outliers"))
+    1.5 IQR) and number of outliers per group, in two scans (:mod:`.fences`)."""
+    base = df.where(F.col(group_col).isNotNull())
+    return (fenced_quartiles(base, [value], whisker, [group_col])
+            .select(group_col, "n", "q1", "median", "q3", "lower_whisker", "upper_whisker", "n_outliers")
             .orderBy(group_col))
 
 

@@ -6,11 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import none_text_to_null, parse_int_tuple
 from ..operators import features as fe
 from ..operators import filters as fl
 from ..operators import metrics as me
-from ..operators import ml
+from ..operators import ml, model_store
 from .catalog import register, round_doubles
 from .fixtures import labelled_documents, scores, subscribers
 from .queries_rest import _quota_sql
@@ -167,16 +166,30 @@ def _model_ready(spark, sf):
     return subscribers(spark, sf).transform(fe.build_model_ready)
 
 
-_BUNDLE_CACHE: dict = {}
+def _published(spark, name, df, make, *parts):
+    """What ``make()`` gives (tables, models, cached tables to release), published once for these rows and
+    parameters in the shared folder: any session reads it from there."""
+    from ..operators.search import fingerprint
+    from ..session import shared_path
+    root, tag = shared_path(spark, "models", name), fingerprint(df, name, *parts)
+    if model_store.latest(spark, root, tag) is None:
+        tables, models, cached = make()
+        model_store.publish(spark, root, tables, models, tag)
+        for table in cached:
+            table.unpersist()
+    return model_store.load(spark, root, tag=tag)
 
 
 def _bundle(spark, sf, n_trees: int = 300):
-    from ..session import session_key
-    key = (session_key(spark), sf, n_trees)
-    if key not in _BUNDLE_CACHE:
-        _BUNDLE_CACHE[key] = ml.train_final_model(_model_ready(spark, sf),
-                                                  rf_params={"n_estimators": n_trees})
-    return _BUNDLE_CACHE[key]
+    df = _model_ready(spark, sf)
+
+    def make():
+        bundle = ml.train_final_model(df, rf_params={"n_estimators": n_trees})
+        bundle["valid_predictions_df"].persist()           # scored once for the tables below
+        tables = ("metrics_df", "cm_df", "feature_importance_df", "valid_predictions_df")
+        return {t: bundle[t] for t in tables}, {"forest": bundle["model"]}, [bundle["valid_predictions_df"], bundle["data"]]
+
+    return _published(spark, "final_forest", df, make, n_trees).tables
 
 
 @register("ml_rf_final_metrics")
@@ -371,14 +384,41 @@ def ml_documents(spark, sf):
 
 @register("ml_best_params_parse")
 def ml_params(spark, sf):
-    """ML-19: best-parameter table read back with type repair (tuple text ->
-    int array, 'none' -> NULL) — over one row per model of the comparison."""
-    models = scores(spark, sf).select("model").distinct()
-    raw = models.select("model",
-                        F.concat(F.lit("("), (F.length("model") * 64).cast("string"), F.lit(", 64)")).alias("hidden_units"),
-                        F.when(F.col("model") == "m0", F.lit("None")).otherwise(F.lit("12")).alias("max_depth"))
-    return raw.select("model", parse_int_tuple("hidden_units").alias("hidden_units"),
-                      none_text_to_null("max_depth").cast("int").alias("max_depth"))
+    """ML-19: the winning draws of the whole comparison, exported as wide CSV and read back
+    with types (tuple text -> int array, 'None' -> NULL, '12.0' -> 12)."""
+    import uuid
+    from ..session import shared_path
+    best = _comparison(spark, sf)["best_params"]
+    return model_store.read_params(spark, model_store.export_params(best, shared_path(spark, "params", uuid.uuid4().hex)))
+
+
+_PART = "SELECT CAST(1 + customer_id % 2 AS BIGINT) AS version, * FROM scores"
+
+
+@register("ml_store_versions", with_ctes(
+    "SELECT version, model, count(*) AS n_rows, CAST(sum(y_true) AS BIGINT) AS positives, "
+    "round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy "
+    f"FROM ({_PART}) GROUP BY version, model", "scores"))
+def ml_versions(spark, sf):
+    """ML-20 / SNK-3: results of the models over two halves of the customers, published as two
+    versions, with files of a third that was never committed; every model is picked from both."""
+    import uuid
+    from functools import reduce
+    from ..session import shared_path
+    root = shared_path(spark, "models", "versions", uuid.uuid4().hex)
+    preds = scores(spark, sf)
+    for half in (0, 1):
+        rows = preds.where(F.col("customer_id") % 2 == half)
+        model_store.publish(spark, root, {"comparison": me.compare_models(rows), "predictions": rows})
+    preds.write.parquet(f"{root}/data/{uuid.uuid4().hex}/tables/predictions")
+    out = []
+    for version in (1, 2):
+        tables = model_store.load(spark, root, version, verify=True).tables
+        sizes = tables["predictions"].groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                            F.sum("y_true").cast("long").alias("positives"))
+        out.append(tables["comparison"].select("model", "accuracy").join(sizes, "model")
+                   .select(F.lit(version).cast("long").alias("version"), "model", "n_rows", "positives", "accuracy"))
+    return round_doubles(reduce(lambda a, b: a.unionByName(b), out))
 
 
 @register("job_7_scoring_log")
@@ -388,13 +428,13 @@ def job_7(spark, sf):
     from pyspark.ml import Pipeline
     from .jobs import incoming_prediction_ready_job, scoring_log_job
     from .queries_prj import incoming
-    from ..session import session_key
-    key = (session_key(spark), sf, "scoring")
-    if key not in _BUNDLE_CACHE:
-        base = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
+    base = _model_ready(spark, sf).withColumn("churned", F.col("churned").cast("double"))
+
+    def make():
         nums, cats = ml.feature_columns(base)
-        _BUNDLE_CACHE[key] = Pipeline(stages=[*ml.build_preprocessor(base, nums, cats), ml.random_forest()]).fit(base)
-    model = _BUNDLE_CACHE[key]
+        return {}, {"forest": Pipeline(stages=[*ml.build_preprocessor(base, nums, cats), ml.random_forest()]).fit(base)}, []
+
+    model = _published(spark, "scoring", base, make).model("forest")
     aligned = incoming_prediction_ready_job(incoming(spark, sf), subscribers(spark, sf))
     return scoring_log_job(model, aligned, "incoming", "RF Tuned").select(
         "customer_id", "p_churn", "risk_level", "source", "model_used")
@@ -428,17 +468,22 @@ def st_retrain(spark, sf):
     return round_doubles(read_data(spark, f"{run}/log", fmt="parquet").drop("batch"))
 
 
-_COMPARISONS: dict = {}
+def _comparison(spark, sf):
+    """The tables of one model comparison per input: every family with its whole search, 5
+    folds, 20, 10 and 10 draws, up to 400 trees; published once, then read."""
+    df = _model_ready(spark, sf)
+
+    def make():
+        out = ml.model_comparison(df)
+        return *model_store.comparison_parts(out), [out["predictions"], out["data"]]
+
+    return _published(spark, "comparison", df, make).tables
 
 
-def _comparison(spark, sf):
-    """One model comparison per session and scale: every family with its whole
-    search, 5 folds, 20, 10 and 10 draws, up to 400 trees."""
-    from ..session import session_key
-    key = (session_key(spark), sf)
-    if key not in _COMPARISONS:
-        _COMPARISONS[key] = ml.model_comparison(_model_ready(spark, sf))
-    return _COMPARISONS[key]
+@register("job_6_feature_weights")
+def job_6_weights(spark, sf):
+    """ML-17 / ML-18: coefficients and importances of the compared models, as published."""
+    return round_doubles(_comparison(spark, sf)["weights"])
 
 
 @register("job_6_model_comparison")
@@ -466,10 +511,7 @@ def job_6_roc(spark, sf):
 @register("job_6_best_params")
 def job_6_params(spark, sf):
     """The chosen draws, written and read back (SNK-5, ML-19)."""
-    import uuid
-    from ..session import shared_path
-    paths = ml.export_comparison(_comparison(spark, sf), shared_path(spark, "comparison", uuid.uuid4().hex))
-    return spark.read.parquet(paths["best_params"])
+    return _comparison(spark, sf)["best_params"]
 
 
 @register("job_7_log_appended_once", with_ctes(

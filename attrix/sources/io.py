@@ -185,7 +185,7 @@ def clear_batch(spark: SparkSession, path: str, schema: StructType | str,
 
 # -- SET-2 / JOB-7: a log that grows, each batch once --------------------------------------------
 
-def _move_new(spark: SparkSession, source: str, target: str) -> bool:
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a file to a name that must be free; False if it is taken."""
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     paths = [jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
@@ -221,7 +221,7 @@ def append_once(records: DataFrame, log_path: str, batch: str) -> bool:
     staged = f"{root}/staged/{attempt}"
     spark.createDataFrame([(attempt,)], "value string").coalesce(1).write.text(staged)
     name = [f for f in spark.read.text(staged).inputFiles() if "part-" in f][0]
-    return _move_new(spark, name, f"{root}/commits/{batch}.txt")
+    return move_new(spark, name, f"{root}/commits/{batch}.txt")
 
 
 def read_log(spark: SparkSession, log_path: str, schema: StructType | str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attrix.operators import filters as fl
 from attrix.plans.jobs import combined_training_job
-from attrix.sources.io import (Catalogue, _move_new, append_once, clear_batch, read_data, read_export, read_log,
+from attrix.sources.io import (Catalogue, append_once, clear_batch, move_new, read_data, read_export, read_log,
                                read_optional, save_batch, write_table)
 
 
@@ -70,6 +70,6 @@ def test_a_batch_is_appended_once(spark, tmp_path):
     # two writers that both found the name free: the second rename is refused
     source = tmp_path / "late.txt"
     source.write_text("late")
-    assert not _move_new(spark, f"file://{source}", f"{log}/commits/2024-01-01.txt")
+    assert not move_new(spark, f"file://{source}", f"{log}/commits/2024-01-01.txt")
     with pytest.raises(ValueError):
         append_once(first, log, "a/b")

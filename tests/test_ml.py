@@ -119,7 +119,7 @@ def test_registered_searches_are_whole(spark, monkeypatch):
 
     for name in ("random_search", "model_comparison"):
         monkeypatch.setattr(queries_ml.ml, name, recorder(getattr(ml, name)))
-    monkeypatch.setattr(queries_ml, "_COMPARISONS", {})
+    monkeypatch.setattr(queries_ml.model_store, "latest", lambda *a: None)
     found = E.queries()
     for name in ("ml_random_search", "ml_random_search_forest", "ml_random_search_network", "job_6_model_comparison",
                  "job_6_comparison_long", "job_6_auc_summary", "job_6_roc_points", "job_6_best_params", "ml_model_selection"):

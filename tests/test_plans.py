@@ -10,7 +10,7 @@ from attrix.plans.catalog import load_all
 from .conftest import SF_SMALL
 
 # queries that train, stream or need the larger scale when they are planned
-HEAVY = ("job_4", "job_6", "job_7", "st_retrain", "spl_2", "ml_rf_", "ml_holdout", "ml_confusion_totals", "ml_model_selection",
+HEAVY = ("job_4", "job_6", "job_7", "st_retrain", "spl_2", "ml_rf_", "ml_holdout", "ml_confusion_totals", "ml_model_selection", "ml_best_params", "ml_store",
          "ml_decision_tree", "ml_random_search", "ml_dense_network", "ml_network", "ml_fold", "ml_logreg", "ml_documents", "ml_training_history")
 
 
