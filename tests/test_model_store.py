@@ -135,3 +135,23 @@ def test_published_halves(spark):
     rows = ml_versions(spark, SF_SMALL).groupBy("version").agg(F.sum("n_rows").alias("n")).collect()
     assert sorted(r["version"] for r in rows) == [1, 2]
     assert sum(r["n"] for r in rows) == scores(spark, SF_SMALL).count()
+
+
+def test_a_searched_comparison_is_published(spark, root):
+    """JOB-6 -> store: refitted models of all families, their weights and parameters."""
+    df = spark.range(240).select(F.col("id").alias("customer_id"), (F.col("id") % 13).cast("double").alias("x"),
+                                 F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("region"),
+                                 (F.col("id") % 13 > 6).cast("long").alias("churned"))
+    out = ml.model_comparison(df, folds=2, draws={"Random Forest": 1, "Logistic Regression": 1, "DNN": 1},
+                              grids={"Random Forest": {"n_estimators": [5], "max_depth": [None], "max_features": ["sqrt"],
+                                                       "min_samples_split": [2], "min_samples_leaf": [1], "class_weight": [None]},
+                                     "Logistic Regression": {"C": [1.0], "class_weight": ["balanced"]},
+                                     "DNN": {"hidden": [(4,)], "batch_size": [32], "epochs": [5]}})
+    ms.publish(spark, root, *ms.comparison_parts(out), tag="t")
+    ml.release(out)
+    found = ms.load(spark, root, tag="t", verify=True)
+    kinds = {m: ms.select_published(found, m)["kind"] for m in ml.SEARCH_SPACES}
+    assert kinds == {"Random Forest": "importance", "Logistic Regression": "coefficients", "DNN": "none"}
+    typed = ms.read_params(spark, ms.export_params(found.tables["best_params"], f"{root}/params"))
+    assert ms.chosen_params(typed, "DNN", ["hidden", "epochs"]) == {"hidden": (4,), "epochs": 5}
+    assert ms.chosen_params(typed, "Random Forest", ["n_estimators", "max_depth"]) == {"n_estimators": 5, "max_depth": None}
