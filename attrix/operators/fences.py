@@ -22,29 +22,74 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quantiles as qu
-from .groups import MAX_BROADCAST_GROUPS, cache_small
+from ..session import ensure_checkpoint_dir
+from .groups import MAX_BROADCAST_GROUPS
 
 PROBS = [0.25, 0.5, 0.75]
 #: Kinds of kept values: the brackets of the three quartiles, then both fences.
 LOWER, UPPER = 3, 4
 
 
-def _widened(low: Column, high: Column) -> tuple[Column, Column]:
-    """A range with room for the rounding of an interpolation; NaN bounds are open."""
-    def open_end(c: Column, end: float) -> Column:
-        return F.when(F.isnan(c), F.lit(end)).otherwise(c)
-    return (open_end(low - F.abs(low) * 1e-9, float("-inf")), open_end(high + F.abs(high) * 1e-9, float("inf")))
+#: The expressions below are SQL text: a wide table has hundreds of them, and one call to the
+#: JVM for each is quicker than one for each operator in it.
+LEAST, MOST = "double('-inf')", "double('inf')"
+
+
+def _limits(i: int, accuracy: int, factor: float) -> tuple[list[str], list[str]]:
+    """Ends of the brackets of column ``i`` (from its sketch ``s``), and from them the ranges in
+    which the fences lie.  A range has room for the rounding of an interpolation; NaN ends are open."""
+    ends = [f"if(n{i} < {accuracy}, {MOST if k % 2 else LEAST}, s{i}[{k}]) AS b{i}_{k}" for k in range(6)]
+    b = [f"b{i}_{k}" for k in range(6)]
+    most, least, f = f"({b[5]} - {b[0]})", f"({b[4]} - {b[1]})", f"{float(factor)!r}D"
+    known = f"{b[0]} = {b[1]} AND {b[4]} = {b[5]}"
+    fences = []
+    for j, low, high in ((LOWER, f"({b[0]} - {f} * {most})", f"({b[1]} - {f} * {least})"),
+                         (UPPER, f"({b[4]} + {f} * {least})", f"({b[5]} + {f} * {most})")):
+        fences += [f"if({known}, {low}, nanvl({low} - abs({low}) * 1e-9D, {LEAST})) AS b{i}_{2 * j}",
+                   f"if({known}, {low}, nanvl({high} + abs({high}) * 1e-9D, {MOST})) AS b{i}_{2 * j + 1}"]
+    return ends, fences
+
+
+def _kept(i: int) -> list[str]:
+    """A row's value of column ``i`` in each kind of range, or NULL."""
+    out = []
+    for j in range(5):
+        low, high = f"b{i}_{2 * j}", f"b{i}_{2 * j + 1}"
+        inside = f"v{i} > {low} AND v{i} < {high}" if j < LOWER else f"{low} < {high} AND v{i} BETWEEN {low} AND {high}"
+        out.append(f"if({inside}, named_struct('i', {i}, 'j', {j}, 'k', v{i}), NULL)")
+    return out
+
+
+def _counters(i: int) -> list[str]:
+    """What all rows add to: rows below a bracket and at its ends, rows surely beyond a fence, extremes surely inside."""
+    out = []
+    for j in range(3):
+        low, high = f"b{i}_{2 * j}", f"b{i}_{2 * j + 1}"
+        out += [f"sum(cast(({hit}) AS long)) AS {what}{i}_{j}" for what, hit in
+                (("below", f"v{i} < {low}"), ("low", f"v{i} = {low}"), ("high", f"v{i} = {high} AND {low} < {high}"))]
+    b = [f"b{i}_{k}" for k in range(10)]
+    sure = f"(v{i} > {b[7]} OR ({b[6]} = {b[7]} AND v{i} = {b[6]})) AND (v{i} < {b[8]} OR ({b[8]} = {b[9]} AND v{i} = {b[8]}))"
+    return [*out, f"sum(cast((v{i} < {b[6]} OR v{i} > {b[9]}) AS long)) AS beyond{i}",
+            f"min(if({sure}, v{i}, NULL)) AS least{i}", f"max(if({sure}, v{i}, NULL)) AS most{i}"]
+
+
+def _counted(i: int) -> str:
+    """Column ``i``'s counters as one value: the ends of the brackets with their rows, and the rest."""
+    ends = [f"named_struct('j', {j}, 'k', {k}, 'c', {what}{i}_{j})" for j in range(3) for what, k in
+            (("below", LEAST), ("low", f"b{i}_{2 * j}"), ("high", f"b{i}_{2 * j + 1}"))]
+    return (f"named_struct('i', {i}, 'ends', array({', '.join(ends)}), 'beyond', beyond{i}, "
+            f"'least', least{i}, 'most', most{i})")
 
 
 def fenced_quartiles(df: DataFrame, columns: Sequence[str], factor: float = 1.5, group_cols: Sequence[str] = (),
                      accuracy: int = qu.DEFAULT_ACCURACY) -> DataFrame:
     """One row per (group, column) that has a value: n, q1, median, q3, lower_bound,
     upper_bound, n_outliers, lower_whisker, upper_whisker (most extreme values inside the
-    fences).  NULL and NaN are missing values; a column without any other has no row.
+    fences), min, max.  NULL and NaN are missing values; a column without any other has no row.
     Groups are compared null-safe."""
     g, spark = list(group_cols), df.sparkSession
     columns = [c for c in columns if c in df.columns]
@@ -52,7 +97,8 @@ def fenced_quartiles(df: DataFrame, columns: Sequence[str], factor: float = 1.5,
     if not columns:
         return spark.createDataFrame([], ", ".join([*schema_g, "column string, n long", *[
             f"{c} double" for c in ("q1", "median", "q3", "lower_bound", "upper_bound")], "n_outliers long",
-            "lower_whisker double", "upper_whisker double"]))
+            "lower_whisker double", "upper_whisker double", "min double", "max double"]))
+    ensure_checkpoint_dir(spark)
     ids = range(len(columns))
     keys = [F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(g)]
     gk = [f"__g{i}" for i in range(len(g))]
@@ -63,19 +109,12 @@ def fenced_quartiles(df: DataFrame, columns: Sequence[str], factor: float = 1.5,
     margin = qu._MARGIN_FACTOR / accuracy
     at = [x for p in PROBS for x in (max(0.0, p - margin), min(1.0, p + margin))]
     stats = data.groupBy(*gk).agg(*[a for i in ids for a in (
-        F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", at, accuracy).alias(f"s{i}"))])
-    limits = []
-    for i in ids:
-        small = F.col(f"n{i}") < accuracy
-        ends = [F.when(small, F.lit(float("inf" if k % 2 else "-inf"))).otherwise(F.col(f"s{i}")[k]) for k in range(6)]
-        limits += [e.alias(f"b{i}_{k}") for k, e in enumerate(ends)]
-        spread_max, spread_min = ends[5] - ends[0], ends[4] - ends[1]
-        known = (ends[0] == ends[1]) & (ends[4] == ends[5])
-        for j, (low, high) in ((LOWER, (ends[0] - factor * spread_max, ends[1] - factor * spread_min)),
-                               (UPPER, (ends[4] + factor * spread_min, ends[5] + factor * spread_max))):
-            limits += [F.when(known, exact).otherwise(wide).alias(f"b{i}_{2 * j + k}")
-                       for k, (exact, wide) in enumerate(zip((low, low), _widened(low, high), strict=True))]
-    bounds = cache_small(stats.select(*gk, *[f"n{i}" for i in ids], *limits))
+        F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", at, accuracy).alias(f"s{i}"),
+        F.min(f"v{i}").alias(f"min{i}"), F.max(f"v{i}").alias(f"max{i}"))])
+    limits = [_limits(i, accuracy, factor) for i in ids]
+    carried = [*gk, *[f"{what}{i}" for i in ids for what in ("n", "min", "max")]]
+    bounds = stats.selectExpr(*carried, *[e for ends, _ in limits for e in ends]).selectExpr(
+        *carried, *[f"b{i}_{k}" for i in ids for k in range(6)], *[e for _, fences in limits for e in fences]).checkpoint()
     n_groups, *largest = bounds.agg(F.count(F.lit(1)), *[F.max(f"n{i}") for i in ids]).first()
     max_n = max([n or 0 for n in largest])
     largest_band = min(max_n, 2 * margin * max_n + 4) if max_n >= accuracy else max_n
@@ -88,35 +127,20 @@ def fenced_quartiles(df: DataFrame, columns: Sequence[str], factor: float = 1.5,
         side = side.withColumnsRenamed({k: f"{k}r" for k in gk})
         same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in gk]
         rows = data.join(side, same).drop(*[f"{k}r" for k in gk])
-    kept, counters = [], []
-    for i in ids:
-        v, b = F.col(f"v{i}"), [F.col(f"b{i}_{k}") for k in range(10)]
-        for j in range(5):
-            inside = (v > b[2 * j]) & (v < b[2 * j + 1]) if j < LOWER else (b[2 * j] < b[2 * j + 1]) & v.between(b[2 * j], b[2 * j + 1])
-            kept.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("k"))))
-        for j in range(3):
-            low, high = b[2 * j], b[2 * j + 1]
-            counters += [F.sum(hit.cast("long")).alias(f"{what}{i}_{j}") for what, hit in
-                         (("below", v < low), ("low", v == low), ("high", (v == high) & (low < high)))]
-        above = (v > b[7]) | ((b[6] == b[7]) & (v == b[6]))
-        under = (v < b[8]) | ((b[8] == b[9]) & (v == b[8]))
-        sure = above & under
-        counters += [F.sum(((v < b[2 * LOWER]) | (v > b[2 * UPPER + 1])).cast("long")).alias(f"beyond{i}"),
-                     F.min(F.when(sure, v)).alias(f"least{i}"), F.max(F.when(sure, v)).alias(f"most{i}")]
-    signature = F.array_compact(F.array(*kept)).alias("signature")
-    # read three times below; in memory or on disk, computed again where an executor is lost
-    by_signature = cache_small(rows.select(*gk, signature, *[f"v{i}" for i in ids], *[f"b{i}_{k}" for i in ids for k in range(10)])
-                               .groupBy(*gk, "signature").agg(F.count(F.lit(1)).alias("c"), *counters))
+    signature = F.expr(f"array_compact(array({', '.join(e for i in ids for e in _kept(i))}))").alias("signature")
+    # read three times below: written to the checkpoint folder, which also keeps the plan short
+    by_signature = (rows.select(*gk, signature, *[f"v{i}" for i in ids], *[f"b{i}_{k}" for i in ids for k in range(10)])
+                               .groupBy(*gk, "signature").agg(F.count(F.lit(1)).alias("c"), *[F.expr(e) for i in ids for e in _counters(i)])).checkpoint()
 
     # from here on: small tables
     names = F.array(*[F.lit(c) for c in columns])
     values = (by_signature.select(*gk, "c", F.explode("signature").alias("e"))
               .groupBy(*gk, "e.i", "e.j", "e.k").agg(F.sum("c").alias("c")))
     totals = by_signature.groupBy(*gk).agg(
-        *[F.sum(f"{what}{i}_{j}").alias(f"{what}{i}_{j}") for i in ids for j in range(3) for what in ("below", "low", "high")],
-        *[F.sum(f"beyond{i}").alias(f"beyond{i}") for i in ids],
-        *[F.min(f"least{i}").alias(f"least{i}") for i in ids], *[F.max(f"most{i}").alias(f"most{i}") for i in ids])
-    counted = bounds.select(*gk, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n")) for i in ids])).alias("e")) \
+        *[F.expr(f"sum({what}{i}_{j}) AS {what}{i}_{j}") for i in ids for j in range(3) for what in ("below", "low", "high")],
+        *[F.expr(f"{how}({what}{i}) AS {what}{i}") for i in ids for how, what in (("sum", "beyond"), ("min", "least"), ("max", "most"))])
+    sizes = ", ".join(f"named_struct('i', {i}, 'n', n{i}, 'min', min{i}, 'max', max{i})" for i in ids)
+    counted = bounds.selectExpr(*gk, f"explode(array({sizes})) AS e") \
         .select(*gk, "e.*").where(F.col("n") > 0)
     on = [*gk, "i"]
 
@@ -127,14 +151,8 @@ def fenced_quartiles(df: DataFrame, columns: Sequence[str], factor: float = 1.5,
     with_ends = totals.join(bounds.withColumnsRenamed({k: f"{k}_b" for k in gk}),
                             [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in gk]) if g else totals.crossJoin(F.broadcast(bounds))
 
-    def counted_at(i: int, j: int) -> list[Column]:
-        ends = (F.lit(float("-inf")), F.col(f"b{i}_{2 * j}"), F.col(f"b{i}_{2 * j + 1}"))
-        return [F.struct(F.lit(j).alias("j"), k.alias("k"), F.col(f"{what}{i}_{j}").alias("c"))
-                for what, k in zip(("below", "low", "high"), ends, strict=True)]
-
-    per_column = joined(with_ends.select(*gk, F.explode(F.array(*[F.struct(
-        F.lit(i).alias("i"), F.array(*[e for j in range(3) for e in counted_at(i, j)]).alias("ends"), F.col(f"beyond{i}").alias("beyond"),
-        F.col(f"least{i}").alias("least"), F.col(f"most{i}").alias("most")) for i in ids])).alias("e")).select(*gk, "e.*"), counted)
+    whole = f"explode(array({', '.join(_counted(i) for i in ids)})) AS e"
+    per_column = joined(with_ends.selectExpr(*gk, whole).select(*gk, "e.*"), counted)
     ends = per_column.select(*on, F.explode("ends").alias("e")).select(*on, "e.*").where(F.col("c") > 0)
     band = values.where(F.col("j") < LOWER).select(*on, "j", "k", "c").unionByName(ends)
     # one text per (group, column): the NULL group ranks as any other
@@ -157,4 +175,4 @@ def fenced_quartiles(df: DataFrame, columns: Sequence[str], factor: float = 1.5,
     return whole.select(*[F.col(k).alias(c) for k, c in zip(gk, g, strict=True)], F.element_at(names, F.col("i") + 1).alias("column"),
                         "n", "q1", "median", "q3", "lower_bound", "upper_bound",
                         (F.col("beyond") + F.coalesce("more", F.lit(0))).alias("n_outliers"),
-                        F.least("least", "low_k").alias("lower_whisker"), F.greatest("most", "high_k").alias("upper_whisker"))
+                        F.least("least", "low_k").alias("lower_whisker"), F.greatest("most", "high_k").alias("upper_whisker"), "min", "max")
