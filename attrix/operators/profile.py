@@ -213,28 +213,19 @@ def churn_crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence |
 def describe_by_group(df: DataFrame, value: str, group_col: str, digits: int | None = 3) -> DataFrame:
     """AGG-17: count, mean, median, sample std, min, max per group (null
     group dropped); rounded half-even like the page.  Count, mean, std, min
-    and max ride along the quantile operator's first pass: two scans total."""
+    and max ride along the quantile operator's first pass, which also has the
+    groups whose values are all missing (count 0): two scans total."""
     base = df.where(F.col(group_col).isNotNull())
     v = F.col("v")
-    out = exact_quantiles(base, value, [0.5], [group_col], names=["median"], extra_aggs=[
+    out = exact_quantiles(base, value, [0.5], [group_col], names=["median"], keep_empty=True, extra_aggs=[
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max")])
-    # groups whose values are all null still get a row (count 0)
-    keys = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("__rows"))
-    out = keys.join(out, [group_col], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     if digits is not None:
         out = out.select(group_col, "count",
                          *[half_even(c, digits).alias(c) for c in ["mean", "median", "std", "min", "max"]])
     return out.select(group_col, "count", "mean", "median", "std", "min", "max")
 
 
-def _long_numeric(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep…, column, value) with every numeric column as double."""
-    cols = [c for c in cols if c in df.columns]
-    return (df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot(list(keep), cols, "column", "value"))
-
-
 def outliers_iqr(df: DataFrame, numeric_cols: Sequence[str], iqr_factor: float = 1.5) -> DataFrame:
     """AGG-21 ``detect_outliers_iqr``: per column q1, q3, iqr, bounds, number
     and percent (of the values that are neither NULL nor NaN, rounded to 2) of values
@@ -328,42 +319,6 @@ def histogram_by_group(df: DataFrame, value: str, group_col: str, nbins: int = 3
     return out.drop("__lo", "__w").orderBy(group_col, "bin")
 
 
-def kde_by_group(df: DataFrame, value: str, group_col: str, grid_points: int = 200,
-                 fine_bins: int = 2048) -> DataFrame:
-    """AGG-24: Gaussian kernel density per group at ``grid_points`` points,
-    Scott's factor as the plotting library uses it: ``std * n^(-1/5)``.
-
-    Binned KDE: values are first counted into ``fine_bins`` equal-width bins
-    (one aggregate), then the kernel is summed over the bin centres.  The
-    expansion is bins x grid points per group — both fixed sizes, never
-    data rows x grid points."""
-    base = df.where(F.col(value).isNotNull() & F.col(group_col).isNotNull()) \
-             .select(group_col, F.col(value).cast("double").alias("v"))
-    rng = base.agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
-    stats = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("__n"),
-                                        F.stddev_samp("v").alias("__sd"))
-    span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
-    fb = F.least(F.floor((F.col("v") - F.col("__lo")) / span * fine_bins), F.lit(fine_bins - 1))
-    binned = (base.crossJoin(F.broadcast(rng))
-              .groupBy(group_col, fb.alias("fb"), "__lo", span.alias("__span"))
-              .agg(F.count(F.lit(1)).alias("cnt"))
-              .withColumn("centre", F.col("__lo") + (F.col("fb") + 0.5) * F.col("__span") / fine_bins))
-    grid = (rng.select(F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("gi"),
-                       "__lo", span.alias("__span"))
-            .select("gi", (F.col("__lo") + F.col("gi") * F.col("__span") / (grid_points - 1)).alias("x")))
-    bw = F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
-    z = (F.col("x") - F.col("centre")) / F.col("__bw")
-    return (binned.join(stats.withColumn("__bw", bw), group_col)
-            .where(F.col("__bw") > 0)
-            .crossJoin(F.broadcast(grid))
-            .groupBy(group_col, "gi", "x", "__n", "__bw")
-            .agg(F.sum(F.col("cnt") * F.exp(-0.5 * z * z)).alias("__k"))
-            .select(group_col, "x",
-                    (F.col("__k") / (F.col("__n") * F.col("__bw") * F.lit((2 * 3.141592653589793) ** 0.5)))
-                    .alias("density"))
-            .orderBy(group_col, "x"))
-
-
 # -- AGG-25..29: counts and column profiles ---------------------------------------------------------
 
 def value_counts_ordered(df: DataFrame, col: str = "risk_level",
@@ -396,13 +351,12 @@ def scoring_kpis(df: DataFrame, proba: str = "p_churn", risk: str = "risk_level"
 
 def numeric_profile(df: DataFrame, numeric_cols: Sequence[str]) -> DataFrame:
     """AGG-28 (numbers): min, max and exact median per numeric column, long
-    format (column, min, max, median); all columns in one unpivoted plan."""
-    long = _long_numeric(df, numeric_cols)
-    mm = long.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"))
-    med = exact_quantiles(long, "value", [0.5], ["column"], names=["median"])
+    format (column, min, max, median); NULL and NaN are missing.  All columns in
+    two scans of the wide rows (:mod:`.fences`)."""
     cols = [c for c in numeric_cols if c in df.columns]
+    found = fenced_quartiles(df, cols).select(F.col("column").alias("c"), "min", "max", "median")
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return (names.join(mm, "column", "left").join(med, "column", "left")
+    return (names.join(found, F.col("column") == F.col("c"), "left")
                  .select("column", "min", "max", "median").orderBy("column"))
 
 
@@ -424,7 +378,7 @@ def default_profile(df: DataFrame, numeric_cols: Sequence[str], text_cols: Seque
     tcols = [c for c in text_cols if c in df.columns]
     parts = []
     if ncols:
-        med = exact_quantiles(_long_numeric(df, ncols), "value", [0.5], ["column"], names=["m"])
+        med = fenced_quartiles(df, ncols).select("column", F.col("median").alias("m"))
         names = spark.createDataFrame([(c,) for c in ncols], "column string")
         parts.append(names.join(med, "column", "left").select(
             "column", F.lit("numeric").alias("kind"),

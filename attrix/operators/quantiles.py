@@ -47,39 +47,43 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
                     names: Sequence[str] | None = None, extra_aggs: Sequence = (),
                     band_rows_per_task: int = BAND_ROWS_PER_TASK,
-                    sub_buckets: int = SUB_BUCKETS) -> DataFrame:
+                    sub_buckets: int = SUB_BUCKETS, keep_empty: bool = False) -> DataFrame:
     """One row per group with a non-null value: group columns + one column per
     probability (``q0``, ``q1``… or ``names``), exact with linear interpolation.
 
     ``extra_aggs`` are aggregate expressions over the non-null values (column
     ``v``) computed in the first pass and returned alongside (e.g. count,
-    mean, min, max), so a profile needs no extra scan."""
-    g = list(group_cols)
+    mean, min, max), so a profile needs no extra scan.  ``keep_empty`` also
+    returns the groups without any value (quantiles NULL)."""
+    # group columns go by names that no column made below has
+    g = [f"__g{i}" for i in range(len(group_cols))]
+    named = [F.col(k).alias(c) for k, c in zip(g, group_cols, strict=True)]
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
     margin = _MARGIN_FACTOR / accuracy
-    data = (df.select(*g, F.col(value).cast("double").alias("v"))
-              .where(F.col("v").isNotNull() & ~F.isnan("v")))
+    v = F.col(value).cast("double")
+    rows = df.select(*[F.col(c).alias(k) for k, c in zip(g, group_cols, strict=True)], F.when(~F.isnan(v), v).alias("v"))
+    data = rows.where(F.col("v").isNotNull())
 
     # pass 1: count + sketch per group -> bracket [lower_j, upper_j] per probability
     fracs = []
     for p in probs:
         fracs += [max(0.0, p - margin), min(1.0, p + margin)]
-    sketch = [F.count(F.lit(1)).alias("n"),
+    sketch = [F.count("v").alias("n"),
               F.percentile_approx("v", fracs, accuracy).alias("__s"), *extra_aggs]
-    stats = data.groupBy(*g).agg(*sketch) if g else data.agg(*sketch)
+    stats = (rows if keep_empty else data).groupBy(*g).agg(*sketch)
+    extras = [c for c in stats.columns if c not in (*g, "n", "__s")]
     # Rank guarantee: the sketch answer at q has rank within n/accuracy of
     # q*n, and the wanted 0-based positions floor/ceil((n-1)p) lie within two
     # elements of p*n; with margin 4/accuracy the bracket holds them once
     # n >= accuracy.  A smaller group takes its whole range as the band
     # (fewer than ``accuracy`` rows).
     small = F.col("n") < F.lit(accuracy)
-    bounds = stats.select(*g, "n", *[
+    first_pass = cache_small(stats.select(*g, "n", *extras, *[
         F.when(F.lit(p - margin <= 0.0) | small, F.lit(float("-inf")))
          .otherwise(F.col("__s")[2 * j]).alias(f"lo{j}") for j, p in enumerate(probs)], *[
         F.when(F.lit(p + margin >= 1.0) | small, F.lit(float("inf")))
-         .otherwise(F.col("__s")[2 * j + 1]).alias(f"hi{j}") for j, p in enumerate(probs)])
-    bounds = cache_small(bounds.where(F.col("n") > 0))
-    extras = stats.drop("n", "__s")
+         .otherwise(F.col("__s")[2 * j + 1]).alias(f"hi{j}") for j, p in enumerate(probs)]))
+    bounds = first_pass.where(F.col("n") > 0).drop(*extras)
     # one job on the small cached table: its size (broadcast check) and the
     # largest group (band size)
     n_groups, max_n = bounds.agg(F.count(F.lit(1)), F.max("n")).first()
@@ -103,9 +107,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                   .select(*g, "n", "e.j", "e.k")
                   .groupBy(*g, "n", "j", "k").agg(F.count(F.lit(1)).alias("c")))
     out = _interpolated(band, g, probs, names, largest_band, band_rows_per_task, sub_buckets)
-    if extra_aggs:
-        out = out.join(extras, g) if g else out.crossJoin(extras)
-    return out
+    if extras or keep_empty:
+        kept = first_pass if keep_empty or not g else first_pass.where(F.col("n") > 0)
+        kept = kept.select(*g, *extras)
+        if not g:
+            return kept.crossJoin(F.broadcast(out))
+        out = out.withColumnsRenamed({k: f"__key_{k}" for k in g})
+        same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in g]
+        return kept.join(out, same, "left").select(*named, *names, *extras)
+    return out.select(*named, *names)
 
 
 def _interpolated(band: DataFrame, g: Sequence[str], probs: Sequence[float], names: Sequence[str],
